@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslake.llm import language, packing, simhash
+from corpuslake.llm import contamination, language, oracles, packing, quality, secrets, simhash, url_rules
 from corpuslake.llm.common import table
 
 
@@ -20,6 +20,29 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op2_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    found = contamination.contamination(docs.select("doc_id", "text"), benchmark.select("item_id", "text"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+    )
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book = quality.ledger(quality.measure(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    passed = quality.kept(quality.POLICIES["base"])
+    return book.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        (~passed).alias("base_failed"), quality.kept(quality.POLICIES["strict"]).alias("kept"), "failed_rules",
+    )
+
+
+def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "labels"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -33,13 +56,26 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return found.select(
+        "doc_id", *[secrets.count("base", k).alias(f"n_{k}") for k in secrets.PATTERNS],
+        F.sha2(secrets.listed("base"), 256).alias("base_sha256"), secrets.listed("base", "added").alias("spans"),
+        "n_live", "n_copied",
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language": op1_language,
+        "op2_contamination": op2_contamination,
+        "op3_quality": op3_quality,
+        "op5_url_rules": op5_url_rules,
         "op6_packing": op6_packing,
         "op8_simhash": op8_simhash,
+        "op10_secrets": op10_secrets,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)

@@ -1,0 +1,57 @@
+import random
+import re
+
+from corpuslake.llm import secrets
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+ACCESS, HEX, TOKEN = re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]+"), re.compile("[A-Za-z0-9+/_-]{20,}")
+
+
+def base(text):
+    t, out = text or "", []
+    out += [(m.start(), 0, m.end(), "assign", m[2]) for m in ASSIGN.finditer(t) if len(m[2]) >= 12]
+    out += [(m.start(), 1, m.end(), "access", m[0]) for m in ACCESS.finditer(t) if len(m[0]) >= 18]
+    out += [(m.start(), 2, m.end(), "hex", m[0]) for m in HEX.finditer(t) if len(m[0]) >= 16]
+    return sorted(out)
+
+
+def plain(rows, owners=2):
+    held = {}
+    found = []
+    for i, t, s in rows:
+        b = base(t)
+        c = [(m.start(), 3, m.end(), "token", m[0]) for m in TOKEN.finditer(t or "") if re.search("[0-9]", m[0]) and re.search("[A-Z]", m[0]) and re.search("[a-z]", m[0])]
+        c = [x for x in c if not any(y[0] < x[2] and x[0] < y[2] for y in b)]
+        found.append((i, b, c))
+        for x in b + c:
+            held.setdefault(x[4], set()).add(s or "")
+    say = lambda spans: ",".join(f"{k}:{s}:{e}" for s, _, e, k, _ in sorted(spans))
+    live = lambda x: len(held[x[4]]) <= owners
+    return sorted((i, say(b), say(b + [x for x in c if live(x)]), sum(map(live, b + c)), sum(not live(x) for x in b + c)) for i, b, c in found)
+
+
+def cases():
+    rng = random.Random(4)
+    odd = ["é", "password: ", "SECRET = 'abcdEFGH1234xyz", "secret: token: abcdefghijklmnop", "api_key=\"Ab0/+_.=-Ab0/+_.=-", "tokenpassword=", "AKIAABCDEFGHIJ1234", "AKIAAKIA12", "0123456789abcdef", "deadbeef" * 3, "Abcdefghij0123456789XyZ", "aB3" * 8, " \n", "passwd  =  short", "apikey:abcdefghijkl", "日本", "=", "x"]
+    rows = [(i, "".join(rng.choice(odd) + rng.choice(["", " ", ","]) for _ in range(rng.randint(0, 14))), rng.choice(["a", "b", "c", None])) for i in range(80)]
+    return [*rows, (200, None, "a"), (201, "", "a"), (202, "é0123456789abcdef " * 1500, "d"), (203, "QqWwEeRrTt1234567890", "z"), (203, "QqWwEeRrTt1234567890", "z")]
+
+
+def test_against_brute_force(spark):
+    rows = cases()
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, source string, base string, hash int")
+    got = secrets.scan(docs.drop("base"))
+    found = sorted((r.doc_id, r.b, r.s, r.n_live, r.n_copied) for r in got.select("doc_id", secrets.listed("base").alias("b"), secrets.listed("base", "added").alias("s"), "n_live", "n_copied").collect())
+    assert found == plain(rows) and any("token" in r[2] for r in found) and any(r[4] for r in found)
+
+
+def test_redaction_joins_overlapping_spans(spark):
+    rows = [(1, "é password=0123456789abcdef end", "a"), (2, "clean", "b"), (3, None, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    spans = secrets.scan(docs).select("doc_id", "base")
+    got = docs.join(spans, "doc_id").withColumn("__spans", spans["base"]).select("doc_id", secrets.redact("text", None).alias("t")).collect()
+    assert {r.doc_id: r.t for r in got} == {1: "é [secret] end", 2: "clean", 3: None}
+
+
+def test_empty_table(spark):
+    assert secrets.scan(spark.createDataFrame([], "doc_id long, text string, source string")).collect() == []
