@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslake.llm import contamination, language, oracles, packing, quality, secrets, simhash, url_rules
+from corpuslake.llm import contamination, html_text, language, oracles, packing, quality, secrets, simhash, url_rules
 from corpuslake.llm.common import table
 
 
@@ -52,6 +52,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -72,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality": op3_quality,
         "op5_url_rules": op5_url_rules,
         "op6_packing": op6_packing,
+        "op7_html_text": op7_html_text,
         "op8_simhash": op8_simhash,
         "op10_secrets": op10_secrets,
     }
