@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslake.llm import contamination, html_text, language, oracles, packing, quality, secrets, simhash, url_rules
+from corpuslake.llm import contamination, html_text, language, oracles, packing, quality, secrets, simhash, substrings, url_rules
 from corpuslake.llm.common import table
 
 
@@ -61,6 +61,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return found.select(
@@ -79,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_packing": op6_packing,
         "op7_html_text": op7_html_text,
         "op8_simhash": op8_simhash,
+        "op9_substrings": op9_substrings,
         "op10_secrets": op10_secrets,
     }
 
