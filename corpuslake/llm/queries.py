@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslake.llm import contamination, html_text, language, oracles, packing, quality, secrets, simhash, substrings, url_rules
+from corpuslake.llm import contamination, hmm, html_text, language, oracles, packing, quality, secrets, simhash, substrings, url_rules
 from corpuslake.llm.common import table
 
 
@@ -38,6 +38,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
+    return hmm.score(table(spark, sf_dir, "documents"), held_out)
+
+
 def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "labels"))
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -79,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language": op1_language,
         "op2_contamination": op2_contamination,
         "op3_quality": op3_quality,
+        "op4_hmm": op4_hmm,
         "op5_url_rules": op5_url_rules,
         "op6_packing": op6_packing,
         "op7_html_text": op7_html_text,
