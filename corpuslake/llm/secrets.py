@@ -139,10 +139,13 @@ def listed(*spans: str) -> Column:
 
 
 def redact(text: str, spans: Column, mark: str = "[secret]") -> Column:
-    """The text with each of its spans, overlapping ones together, replaced by mark."""
-    return F.expr(
-        f"""aggregate(array_sort(__spans), named_struct('at', 0, 'out', ''),
-        (a, s) -> named_struct('at', greatest(a.at, s.end), 'out', case when s.start >= a.at
-          then concat(a.out, substring({text}, a.at + 1, s.start - a.at), '{mark}') else a.out end),
-        a -> concat(a.out, substring({text}, a.at + 1)))"""
-    )
+    """The text column with each of its spans replaced by mark; spans that overlap share one."""
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(a: Column, s: Column) -> Column:
+        gap = F.concat(a["out"], F.substring(F.col(text), a["at"] + 1, s["start"] - a["at"]), F.lit(mark))
+        return F.struct(
+            F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], gap).otherwise(a["out"]).alias("out")
+        )
+
+    return F.aggregate(F.array_sort(spans), begin, step, lambda a: F.concat(a["out"], F.substring(F.col(text), a["at"] + 1, F.length(text))))

@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from corpuslake.llm import secrets
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -49,7 +51,7 @@ def test_redaction_joins_overlapping_spans(spark):
     rows = [(1, "é password=0123456789abcdef end", "a"), (2, "clean", "b"), (3, None, "c")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     spans = secrets.scan(docs).select("doc_id", "base")
-    got = docs.join(spans, "doc_id").withColumn("__spans", spans["base"]).select("doc_id", secrets.redact("text", None).alias("t")).collect()
+    got = docs.join(spans, "doc_id").select("doc_id", secrets.redact("text", F.col("base")).alias("t")).collect()
     assert {r.doc_id: r.t for r in got} == {1: "é [secret] end", 2: "clean", 3: None}
 
 
