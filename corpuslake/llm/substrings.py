@@ -5,7 +5,8 @@ earlier, in a smaller doc_id or before in the same document. The corpus is never
 against all of itself. Each window has an anchor, the leftmost smallest hash among its
 GRAM-word sequences, so equal windows have equal anchors, wherever they occur:
 
-1. Documents give their anchors' hashes; a hash that one document or block of documents
+1. Later copies of a whole text lose all their windows and need no more search. The other
+   documents give their anchors' hashes; a hash that one document or block of documents
    has once is compared with the other blocks' by one sorted pass over a shuffle of one
    row for each hash and block. What repeats, goes back to its documents.
 2. Windows that share an anchor make a piece of at most 2 * WINDOW - GRAM words. Pieces
@@ -16,8 +17,7 @@ GRAM-word sequences, so equal windows have equal anchors, wherever they occur:
 3. Documents drop what their repeated anchors cover, but for windows that are new there.
 
 Shards are routed and not broadcast to every task, as broadcast shards would make the work
-grow with the square of the corpus. An anchor with very many different pieces is dealt
-out again by whole windows. Texts are shuffled once, for steps 2 and 3 together.
+grow with the square of the corpus. Texts are shuffled once, for all steps together.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ WINDOW = 20
 GRAM = 6
 #: Anchors of one block in step 1 (12 MB), and pieces that step 2 merges before it sends them.
 BLOCK_ANCHORS, BLOCK_PIECES = 400_000, 40_000
-#: A shard with more different pieces of one anchor is dealt by windows: bounds an automaton to some 100 MB.
+#: An automaton takes so many different pieces of one anchor: bounds it to some 100 MB.
 SHARD_PIECES = 5_000
 _FACTORS = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) ** 7 & 0xFFFFFFFFFFFFFFFF | 1 for i in range(64)], np.uint64)
 
@@ -238,32 +238,40 @@ class Automaton:
             last = now
 
 
-def _new_windows(window: int):
-    """Rows sorted by anchor and first occurrence: row_key, doc_key, place, mask of windows that are new in it."""
+def _new_windows(window: int, shard_pieces: int):
+    """Rows sorted by anchor and first occurrence: where a piece first occurs, and mask, the windows that are
+    new in it. Past shard_pieces a row for each window that the automaton lacks instead: the window, and its
+    place i in the piece.
+    """
+    names = ["row_key", "doc_key", "place", "mask", "one", "i"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchor: int | None = None
         held: bytes | None = None  # the shard's first piece: no automaton is built before a second one comes
         shard = Automaton()
+        added = 0
         for b in batches:
-            masks = []
-            for a, content in zip(b.column("anchor").to_pylist(), b.column("content").to_pylist()):
+            rows: list[tuple] = []
+            for a, content, *at in zip(*(b.column(c).to_pylist() for c in ("anchor", "content", "row_key", "doc_key", "place"))):
                 if a != anchor:
-                    anchor, held = a, content
+                    anchor, held, added = a, content, 1
                     shard = Automaton()
-                    masks.append((1 << (content.count(b" ") + 2 - window)) - 1)
+                    rows.append((*at, (1 << (content.count(b" ") + 2 - window)) - 1, None, None))
                     continue
                 if held is not None:
                     shard.add(held.split())
                     held = None
                 words = content.split()
-                mask = sum(1 << i for i, n in enumerate(shard.statistics(words)[window - 1 :]) if n < window)
-                if mask:
+                new = [i for i, n in enumerate(shard.statistics(words)[window - 1 :]) if n < window]
+                if new and added < shard_pieces:
                     shard.add(words)
-                masks.append(mask)
-            columns = [b.column(c) for c in ("row_key", "doc_key", "place")]
-            out = pa.RecordBatch.from_arrays([*columns, pa.array(masks, pa.int64())], names=["row_key", "doc_key", "place", "mask"])
-            yield out.filter(pa.array([bool(m) for m in masks], pa.bool_()))
+                    added += 1
+                    rows.append((*at, sum(1 << i for i in new), None, None))
+                else:
+                    rows += [(*at, None, b" ".join(words[i : i + window]), i) for i in new]
+            columns = list(zip(*rows)) or [()] * 6
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
     return run
 
@@ -276,21 +284,24 @@ def new_windows(found: DataFrame, window: int = WINDOW, shard_pieces: int = SHAR
     parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     merged = (
         found.repartition(parts, "anchor").groupBy("anchor", "lead", "content")
-        .agg(F.min(F.struct("doc_key", "row_key", "place")).alias("at")).select("anchor", "lead", "content", "at.*")
-    )
-    crowded = merged.groupBy("anchor").agg(F.count("*").alias("__n")).filter(F.col("__n") > shard_pieces)
-    calm = merged.join(crowded, "anchor", "left_anti")
-    sorted_ = calm.select("anchor", "content", "doc_key", "row_key", "place").sortWithinPartitions("anchor", "doc_key", "row_key", "place", "content")
-    by_automaton = sorted_.mapInArrow(_new_windows(window), "row_key long, doc_key long, place int, mask long")
-    # an anchor with very many different pieces: each of its windows apart
-    words = merged.join(crowded, "anchor").select("*", F.split(F.col("content").cast("string"), " ").alias("w"))
-    each = words.select(
-        "anchor", "lead", "doc_key", "row_key", "place",
-        F.posexplode(F.expr(f"transform(sequence(1, size(w) - {window - 1}), i -> array_join(slice(w, i, {window}), ' '))")).alias("i", "one"),
+        .agg(F.min(F.struct("doc_key", "row_key", "place")).alias("at")).select("anchor", "content", "at.*")
     )
-    first = each.groupBy("anchor", (F.col("lead") - F.col("i")).alias("shift"), "one").agg(F.min(F.struct("doc_key", "row_key", "place", "i")).alias("at"))
-    by_window = first.select("at.*").groupBy("row_key", "doc_key", "place").agg(F.sum(F.expr("shiftleft(1L, i)")).alias("mask"))
-    return by_automaton.unionByName(by_window).groupBy("row_key").agg(F.collect_list(F.struct("doc_key", "place", "mask")).alias("news"))
+    judged = merged.sortWithinPartitions("anchor", "doc_key", "row_key", "place", "content").mapInArrow(
+        _new_windows(window, shard_pieces), "row_key long, doc_key long, place int, mask long, one binary, i int"
+    )
+    # a row with a mask is a group of its own; windows past the automaton go to their first occurrence
+    own = [F.when(F.col("one").isNull(), F.col(c)).alias("_" + c) for c in ("row_key", "doc_key", "place")]
+    first = judged.groupBy("one", "mask", *own).agg(F.min(F.struct("doc_key", "row_key", "place", "i")).alias("at"))
+    news = first.select("at.row_key", "at.doc_key", "at.place", F.coalesce("mask", F.expr("shiftleft(1L, at.i)")).alias("mask"))
+    return news.groupBy("row_key").agg(F.collect_list(F.struct("doc_key", "place", "mask")).alias("news"))
+
+
+def later_copies(rows: DataFrame) -> DataFrame:
+    """row_key, copy (true) of rows whose whole text a smaller doc_id has too."""
+    keyed = rows.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_key"), "row_key", F.sha2("text", 256).alias("digest"))
+    groups = keyed.groupBy("digest").agg(F.min("doc_key").alias("first"), F.max("doc_key").alias("last")).filter("first < last")
+    later = keyed.join(groups.select("digest", "first"), "digest").filter("doc_key > first")
+    return later.select("row_key").distinct().withColumn("copy", F.lit(True))
 
 
 def _drop(window: int, gram: int, with_text: bool):
@@ -299,16 +310,21 @@ def _drop(window: int, gram: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             totals, removed, digests, texts = [], [], [], []
-            hashes, news = b.column("hashes"), b.column("news").to_pylist()
+            hashes, news, copies = b.column("hashes"), b.column("news").to_pylist(), b.column("copy").to_pylist()
             for i, (doc_id, text) in enumerate(zip(b.column("doc_id").to_pylist(), blob(b.column("text")))):
                 words = text.split()
                 n = len(words)
                 gone = None
-                if hashes[i].is_valid and n >= window:
+                if copies[i] and n >= window:
+                    words = []
+                elif hashes[i].is_valid and n >= window:
                     h, place, first, last = pieces(words, window, gram)
                     hit = np.isin(h.view(np.int64), hashes[i].values.to_numpy())
                     doc_key = NULL_ID if doc_id is None else doc_id
-                    fresh = {x["place"]: x["mask"] for x in news[i] or () if x["doc_key"] == doc_key}
+                    fresh: dict[int, int] = {}
+                    for x in news[i] or ():
+                        if x["doc_key"] == doc_key:
+                            fresh[x["place"]] = fresh.get(x["place"], 0) | x["mask"]
                     edge = np.zeros(n + 1, np.int64)
                     for p, f, z in zip(place[hit].tolist(), first[hit].tolist(), last[hit].tolist()):
                         mask = fresh.get(p)
@@ -345,11 +361,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with
     """
     text_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key("doc_id", "text").alias("row_key"), F.col("text").cast("binary").alias("text"))
-    again = repeated(rows.select("row_key", "text"), window, gram)
+    copies = later_copies(rows)
+    again = repeated(rows.join(copies, "row_key", "left_anti"), window, gram)
     concerned = rows.join(again, "row_key").select("doc_id", "row_key", "text", "hashes")
     found = concerned.mapInArrow(_cut(window, gram), "anchor long, lead int, content binary, doc_key long, row_key long, place int")
     new = new_windows(found, window)
-    whole = rows.join(again, "row_key", "left").join(new, "row_key", "left").select("doc_id", "text", "hashes", "news")
+    whole = (
+        rows.join(copies, "row_key", "left").join(again, "row_key", "left").join(new, "row_key", "left")
+        .select("doc_id", "text", "hashes", "news", "copy")
+    )
     return whole.mapInArrow(
         _drop(window, gram, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
     )

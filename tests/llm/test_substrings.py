@@ -55,7 +55,7 @@ def test_against_brute_force(make_docs, monkeypatch, seed, block):
     assert all(hashlib.sha256(r.kept.encode()).hexdigest() == r.kept_sha256 for r in got)
 
 
-def test_crowded_anchor_is_dealt_by_windows(spark, make_docs, monkeypatch):
+def test_crowded_anchor_goes_on_by_windows(spark, make_docs, monkeypatch):
     """One passage, followed by something else in each document."""
     rng = random.Random(9)
     passage = " ".join(f"p{i}" for i in range(30))
