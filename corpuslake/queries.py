@@ -65,16 +65,16 @@ r AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER
 """
 
 
-@query(_RANKED + "SELECT query_id, id, round(score, 4) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5")
+@query(_RANKED + "SELECT query_id, id, round(score, 4) + 0.0 AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5")
 def k1_topk_in_tenant(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, rows = _vectors(spark, sf_dir)
-    return retrieval.ranked(queries, rows, 5).withColumn("score", F.round("score", 4))
+    return retrieval.ranked(queries, rows, 5).withColumn("score", F.round("score", 4) + 0.0)
 
 
-@query(_RANKED + "SELECT query_id, id, round(score, 4) AS score, CAST(rank AS INTEGER) AS rank FROM r")
+@query(_RANKED + "SELECT query_id, id, round(score, 4) + 0.0 AS score, CAST(rank AS INTEGER) AS rank FROM r")
 def k2_full_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, rows = _vectors(spark, sf_dir)
-    return retrieval.ranked(queries, rows).withColumn("score", F.round("score", 4))
+    return retrieval.ranked(queries, rows).withColumn("score", F.round("score", 4) + 0.0)
 
 
 @query(_RANKED + """, e AS (SELECT q.vec_id AS query_id, c.vec_id AS id FROM embeddings q JOIN embeddings c ON q.label = c.label AND c.vec_id % 7 = q.vec_id % 7 AND c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)
@@ -87,7 +87,7 @@ def w3_first_hit_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH q AS (SELECT embedding AS v, label AS t FROM embeddings WHERE vec_id = 0)
-SELECT vec_id AS id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])), 4) AS score FROM embeddings, q WHERE label = t
+SELECT vec_id AS id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])), 4) + 0.0 AS score FROM embeddings, q WHERE label = t
 ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])) DESC, vec_id LIMIT 5""")
 def k1_scope_top_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: the five chunks of its own tenant that are nearest to vector 0."""
@@ -98,7 +98,7 @@ def k1_scope_top_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("").alias("content"), "embedding", F.lit("m").alias("embedding_model"),
     )
     scope = retrieval.TenantScope(chunks, chunks, first["label"], "m")
-    return scope.top_chunks(list(first["embedding"]), 5).select("id", F.round("score", 4).alias("score"))
+    return scope.top_chunks(list(first["embedding"]), 5).select("id", (F.round("score", 4) + 0.0).alias("score"))
 
 
 @query("""SELECT vec_id AS id, CAST(label AS INTEGER) AS tenant, CAST(len(embedding) AS INTEGER) AS dims, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 4) AS norm FROM embeddings""")
