@@ -107,7 +107,16 @@ class Vocabulary:
 
 def vocabulary(counts: DataFrame, n_docs: int) -> Vocabulary:
     """The bounded part of a table of counts that tasks need."""
-    head = counts.orderBy(F.desc("n"), "word").limit(HEAD).toArrow()
+    # the least count of the head, from a histogram of a few thousand buckets at most; words of one bucket stay together
+    bucket = F.floor(F.log2("n") * 64).cast("int")
+    least, held = None, 0
+    for r in counts.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).orderBy(F.desc("b")).collect():
+        held += r["n"]
+        if held > HEAD:
+            break
+        least = r["b"]
+    head = counts.filter(F.lit(False) if least is None else bucket >= least).toArrow()
+    head = head.sort_by([("n", "descending"), ("word", "ascending")])
     by_class = counts.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("d")).collect()
     words, n = head.column("word").to_pylist(), head.column("n").to_numpy()
     classes = head.column("class").to_numpy()
@@ -276,8 +285,11 @@ def train(coded: DataFrame, v: Vocabulary, states: int = STATES, rounds: int = R
     move = np.full((states, states), 0.1 / states) + 0.9 * np.eye(states)
     m = Model(np.full(states, 1 / states, np.float32), move.astype(np.float32), emit.astype(np.float32))
     known = coded.filter("not held_out")
-    sample = known.orderBy(F.xxhash64("doc_id"), "n_tokens", "row").limit(SAMPLE)
-    codes = [bytes(r[0]) for r in sample.select(F.substring("codes", 1, 2 * STRETCH)).collect()]
+    # documents whose hash is small enough for about SAMPLE of them, so that no task sends many
+    place = F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(1 << 30))
+    near = known.filter(place < int(min(1.0, 1.5 * SAMPLE / max(1, v.n_docs)) * (1 << 30)))
+    start = near.select(F.expr(f"substring(codes, 1, {2 * STRETCH})").alias("codes"), place.alias("place"), "row")
+    codes = [bytes(r["codes"]) for r in start.orderBy("place", "row").limit(SAMPLE).collect()]
     if codes:
         x = stretches(sorted(codes))
         for _ in range(SAMPLE_ROUNDS):
