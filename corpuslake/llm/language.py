@@ -168,9 +168,12 @@ def train(docs: DataFrame, is_training, seed: int = 7) -> Model | None:
     if not counts:
         return None
     languages = sorted(r["lang"] for r in counts)
-    best = Window.partitionBy("_lang").orderBy("_hash", "_n")
+    # of each language those with a small enough hash for some more than the sample, so that the window sees few
+    size = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], float(r["count"]))])[F.col("_lang")]
+    few = F.pmod(F.col("_hash"), F.lit(1 << 30)) < F.lit(2.0 * SAMPLE_PER_LANGUAGE * (1 << 30)) / size
+    best = Window.partitionBy("_lang").orderBy(F.pmod(F.col("_hash"), F.lit(1 << 30)), "_hash", "_n")
     picked = (
-        ranked.filter(F.col("_lang").isin(languages))
+        ranked.filter(F.col("_lang").isin(languages) & few)
         .withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= SAMPLE_PER_LANGUAGE)
         .select("_lang", "_hash").distinct()
     )
