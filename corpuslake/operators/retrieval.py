@@ -2,7 +2,7 @@
 
 TenantScope is the only way to the chunks of a tenant: it owns a DataFrame that the tenant
 filter has already cut, and none of its methods takes a tenant. For many queries at once
-ranked() joins them to chunks on the tenant, an equi-join, and scores tenant by tenant.
+ranked() joins them to chunks on the tenant and scores them by matrix products.
 """
 
 from __future__ import annotations
@@ -77,48 +77,66 @@ def check_no_leakage(hits: DataFrame, resolved: DataFrame) -> None:
         raise LeakageError(f"retrieved chunks outside the tenant: {foreign}")
 
 
-def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with two vectors: their cosine similarity, as a numpy mat-vec for each run of one query."""
-    for b in batches:
-        a, q = (b.column(c) for c in ("embedding", "query"))
-        out = np.full(b.num_rows, np.nan)
-        sizes = [np.diff(np.asarray(x.offsets)) for x in (a, q)]
-        good = np.flatnonzero((sizes[0] == sizes[1]) & (sizes[0] > 0))
-        for width in np.unique(sizes[0][good]):
-            rows = good[sizes[0][good] == width]
-            x, y = (c.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width) for c in (a, q))
-            with np.errstate(invalid="ignore", divide="ignore"):
-                out[rows] = np.einsum("ij,ij->i", x, y) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
-        names = [n for n in b.schema.names if n not in ("embedding", "query")]
-        score = pa.array(out, mask=np.isnan(out))
-        yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), score], names=[*names, "score"])
+def _nearest(queries: dict, k: int | None):
+    """Chunks to query_id, id, score: of each batch the k best of each query of the same tenant, or all.
+
+    One matrix product for each tenant in a batch; ties at the k-th place are kept.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            vectors_, tenants, ids = b.column("embedding"), np.array(b.column("__t").to_pylist(), object), b.column("id")
+            sizes = np.diff(np.asarray(vectors_.offsets))
+            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for tenant in {t for t in tenants.tolist() if t in queries}:
+                for width, (names, q) in queries[tenant].items():
+                    rows = np.flatnonzero((tenants == tenant) & (sizes == width))
+                    if not len(rows):
+                        continue
+                    x = vectors_.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        score = (q @ x.T) / np.linalg.norm(x, axis=1)
+                    fine = ~np.isnan(score)
+                    if k is not None and len(rows) > k:
+                        ranked_ = np.where(fine, score, -np.inf)
+                        fine &= score >= np.partition(ranked_, -k, axis=1)[:, -k][:, None] - 1e-12
+                    at, row = np.nonzero(fine)
+                    found.append((names[at], rows[row], score[at, row]))
+            if found:
+                names, rows, score = (np.concatenate(c) for c in zip(*found))
+                yield pa.RecordBatch.from_arrays([pa.array(names.tolist()), ids.take(pa.array(rows)), pa.array(score)], names=["query_id", "id", "score"])
+
+    return run
 
 
 def ranked(queries: DataFrame, chunks: DataFrame, k: int | None = None, tenant: str = "tenant") -> DataFrame:
     """query_id, id, score, rank of each query's nearest chunks in its own tenant; all of them if k is None.
 
-    queries: query_id, tenant, query (vector); chunks: id, tenant, embedding. Exact. The
-    join is on the tenant, with queries, in blocks by their hash, as the broadcast side where
-    they are few; a tenant's chunks stay in the partitions they are read in, so a large
-    tenant is no hot task, and row_number <= k is cut in each partition before its shuffle.
+    queries: query_id, tenant, query (vector); chunks: id, tenant, embedding. Exact. A
+    stated set of queries goes to every task in blocks of at most QUERY_BLOCK; chunks stay
+    in the partitions they are read in, so a large tenant is no hot task, and each batch of
+    them sends only its own k best. Equal vectors tie and go by id.
     """
-    q = queries.select("query_id", F.col(tenant).alias("__t"), F.col("query").cast("array<float>").alias("query"))
-    c = chunks.filter("embedding is not null").select("id", F.col(tenant).alias("__t"), F.col("embedding").cast("array<float>").alias("embedding"))
-    n = q.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    kinds = {f.name: f.dataType.simpleString() for f in [*q.schema, *c.schema]}
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    parts = []
+    kinds = {f.name: f.dataType.simpleString() for f in [*queries.schema, *chunks.schema]}
+    q = queries.select("query_id", F.col(tenant).alias("t"), F.col("query").cast("array<double>").alias("v")).filter("v is not null")
+    c = chunks.filter(F.col("embedding").isNotNull()).select("id", F.col(tenant).alias("__t"), F.col("embedding").cast("array<float>").alias("embedding"))
+    blocks = max(1, -(-q.count() // QUERY_BLOCK))
+    best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "id")
+    out = None
     for i in range(blocks):
         some = q if blocks == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        few = F.broadcast(some) if n <= 2 * QUERY_BLOCK * blocks else some
-        pairs = c.join(few, "__t").select("query_id", "id", "embedding", "query")
-        scored = pairs.mapInArrow(_scores, f"query_id {kinds['query_id']}, id {kinds['id']}, score double").filter("score is not null")
+        held: dict = {}
+        for r in some.toArrow().to_pylist():
+            size = float(np.linalg.norm(r["v"]))
+            if size:
+                names, rows = held.setdefault(r["t"], {}).setdefault(len(r["v"]), ([], []))
+                names.append(r["query_id"])
+                rows.append(np.array(r["v"]) / size)
+        ready = {t: {w: (np.array(names, object), np.stack(rows)) for w, (names, rows) in by.items()} for t, by in held.items()}
+        scored = c.mapInArrow(_nearest(ready, k), f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
         one = scored.withColumn("rank", F.row_number().over(best))
-        parts.append(one if k is None else one.filter(F.col("rank") <= k))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+        one = one if k is None else one.filter(F.col("rank") <= k)
+        out = one if out is None else out.unionByName(one)
     return out
 
 

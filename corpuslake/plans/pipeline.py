@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuslake.functions import urls
 from corpuslake.operators import chunking, dedup, html, signals
+from corpuslake.plans.storage import stored
 from corpuslake.settings import DEFAULTS, Settings
 from corpuslake.sources.schemas import ARTIFACT, SIGNALS
 
@@ -14,14 +15,13 @@ from corpuslake.sources.schemas import ARTIFACT, SIGNALS
 def crawl_tables(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """documents, outcomes, signals and parsed pages of raw pages (url, html); the tenant is the host.
 
-    One Python pass over the pages. Store the last table before using several of them, or
-    each use parses again.
+    One Python pass over the pages, written to the shared folder.
     """
-    parsed = html.parse_pages(pages.select(urls.netloc("url").alias("domain"), urls.normalise("url").alias("url"), "html").dropDuplicates(["url"]))
+    parsed = stored(html.parse_pages(pages.select(urls.netloc("url").alias("domain"), urls.normalise("url").alias("url"), "html").dropDuplicates(["url"])), "pages-parsed")
     survivors, duplicates = dedup.deduplicate(html.stored_documents(parsed, "domain"))
     thin = parsed.filter("text is null").select("domain", "url", F.lit("thin_extraction").alias("outcome"), F.col("reason").alias("detail"))
-    stored = survivors.select("domain", "url", F.lit("stored").alias("outcome"), F.lit("").alias("detail"))
-    outcomes = stored.unionByName(duplicates.select("domain", "url", "outcome", "detail")).unionByName(thin)
+    whole = survivors.select("domain", "url", F.lit("stored").alias("outcome"), F.lit("").alias("detail"))
+    outcomes = whole.unionByName(duplicates.select("domain", "url", "outcome", "detail")).unionByName(thin)
     return survivors, outcomes, signals.signals(survivors, parsed), parsed
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from corpuslake.functions import dates, text, urls, vectors
 from corpuslake.operators import answering, chunking, dedup, embedding, evaluation, frontier, html, loading, retrieval, signals
+from corpuslake.plans.storage import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -351,7 +352,7 @@ def a20_urls_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", urls.netloc("url").alias("domain"), "url", "html")
-    return html.parse_pages(pages)
+    return stored(html.parse_pages(pages), "pages-parsed")
 
 
 @query()
