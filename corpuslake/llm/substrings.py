@@ -37,8 +37,8 @@ WINDOW = 20
 GRAM = 6
 #: Anchors of one block in step 1 (12 MB), and pieces that step 2 merges before it sends them.
 BLOCK_ANCHORS, BLOCK_PIECES = 400_000, 40_000
-#: An automaton takes so many different pieces of one anchor: bounds it to some 100 MB.
-SHARD_PIECES = 5_000
+#: An anchor that occurs so often is dealt out by windows; bounds a shard's automaton to some 20 MB.
+CROWDED = 1_000
 _FACTORS = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) ** 7 & 0xFFFFFFFFFFFFFFFF | 1 for i in range(64)], np.uint64)
 
 
@@ -70,22 +70,24 @@ def pieces(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple[
 
 
 def _anchors(window: int, gram: int):
-    """route, hash, row_key rows (see repeated())."""
+    """route, hash, row_key, n rows (see repeated())."""
 
     def rows(hashes: list[np.ndarray], keys: list[int]) -> pa.RecordBatch:
         h = np.concatenate(hashes)
         k = np.repeat(np.array(keys, np.int64), [len(x) for x in hashes])
         values, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
         many = count[inverse] > 1
-        one = pa.array(h[~many].view(np.int64)), k[~many]
+        single, spoken = h[~many].view(np.int64), values[count > 1].view(np.int64)
         known = np.unique(np.stack([h[many].view(np.int64), k[many]]), axis=1)
         scattered = (known[0].view(np.uint64) * _FACTORS[41] ^ known[1].view(np.uint64) * _FACTORS[42]).view(np.int64)
-        spokesmen = values[count > 1].view(np.int64)
         nothing = lambda n: pa.nulls(n, pa.int64())
-        route = pa.concat_arrays([one[0], pa.array(spokesmen), pa.array(scattered)])
-        hash_ = pa.concat_arrays([nothing(len(one[1])), nothing(len(spokesmen)), pa.array(known[0])])
-        key = pa.concat_arrays([pa.array(one[1]), nothing(len(spokesmen)), pa.array(known[1])])
-        return pa.RecordBatch.from_arrays([route, hash_, key], names=["route", "hash", "row_key"])
+        columns = [
+            pa.concat_arrays([pa.array(single), pa.array(spoken), pa.array(scattered)]),
+            pa.concat_arrays([nothing(len(single)), nothing(len(spoken)), pa.array(known[0])]),
+            pa.concat_arrays([pa.array(k[~many]), nothing(len(spoken)), pa.array(known[1])]),
+            pa.array(np.concatenate([np.ones(len(single), np.int32), count[count > 1].astype(np.int32), np.zeros(len(scattered), np.int32)])),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["route", "hash", "row_key", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes: list[np.ndarray] = []
@@ -107,74 +109,103 @@ def _anchors(window: int, gram: int):
     return run
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by route: row_key, hash of anchors that another block has too, or that are known to repeat."""
-    last: int | None = None  # the last batch's last route, and its row if that has not been given out
-    waiting: int | None = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        hash_, key = b.column("hash"), b.column("row_key")
-        known = hash_.is_valid().to_numpy(zero_copy_only=False)
-        out_h, out_k = [hash_.filter(pa.array(known)).to_numpy()], [key.filter(pa.array(known)).to_numpy()]
-        route = b.column("route").to_numpy()[~known]
-        rest = key.filter(pa.array(~known))
-        single = rest.is_valid().to_numpy(zero_copy_only=False)
-        row = rest.fill_null(0).to_numpy()
-        if len(route):
-            same = route[1:] == route[:-1]
-            twice = np.zeros(len(route), bool)
-            twice[1:] |= same
-            twice[:-1] |= same
-            if last == route[0]:
-                twice[0] = True
-                if waiting is not None:
-                    out_h.append(np.array([last]))
-                    out_k.append(np.array([waiting]))
-            take = twice & single
-            out_h.append(route[take])
-            out_k.append(row[take])
-            last, waiting = int(route[-1]), int(row[-1]) if single[-1] and not twice[-1] else None
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_k)), pa.array(np.concatenate(out_h))], names=["row_key", "hash"])
-
-
-def repeated(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """row_key, hashes: the anchors of a row that occur elsewhere in the corpus, or twice in it.
+def _meet(crowded: int):
+    """Rows sorted by route: row_key, hash of anchors that another block has too, or that are known to repeat;
+    and a row without row_key for each anchor that occurs crowded times or more in all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: int | None = None  # the last batch's last route, its row if that has not been given out, and its count
+        waiting: int | None = None
+        total = 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            hash_, key = b.column("hash"), b.column("row_key")
+            known = hash_.is_valid().to_numpy(zero_copy_only=False)
+            out_h, out_k = [hash_.filter(pa.array(known)).to_numpy()], [key.filter(pa.array(known)).to_numpy()]
+            route, n = b.column("route").to_numpy()[~known], b.column("n").to_numpy()[~known].astype(np.int64)
+            rest = key.filter(pa.array(~known))
+            single = rest.is_valid().to_numpy(zero_copy_only=False)
+            row = rest.fill_null(0).to_numpy()
+            often = np.zeros(0, np.int64)
+            if len(route):
+                same = route[1:] == route[:-1]
+                twice = np.zeros(len(route), bool)
+                twice[1:] |= same
+                twice[:-1] |= same
+                starts = np.flatnonzero(np.concatenate([[True], ~same]))
+                totals = np.add.reduceat(n, starts)
+                fresh = np.ones(len(starts), bool)
+                if last == route[0]:
+                    twice[0] = True
+                    fresh[0] = total < crowded
+                    totals[0] += total
+                    if waiting is not None:
+                        out_h.append(np.array([last]))
+                        out_k.append(np.array([waiting]))
+                often = route[starts][(totals >= crowded) & fresh]
+                take = twice & single
+                out_h.append(route[take])
+                out_k.append(row[take])
+                last, total = int(route[-1]), int(totals[-1])
+                waiting = int(row[-1]) if single[-1] and not twice[-1] else None
+            keys = np.concatenate(out_k)
+            yield pa.RecordBatch.from_arrays(
+                [pa.concat_arrays([pa.array(keys), pa.nulls(len(often), pa.int64())]), pa.array(np.concatenate([*out_h, often]))], names=["row_key", "hash"]
+            )
+
+    return run
+
+
+def repeated(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, crowded: int = CROWDED) -> DataFrame:
+    """row_key, hashes, crowded: the anchors of a row that occur elsewhere in the corpus, or
+    twice in it; and those of them that occur very often.
 
     rows: row_key, text (binary). A block of documents sends a hash that it has once with
-    its row, and one that it has more often without; the rows of the latter are known to
-    repeat and only pass through, scattered. So a hash has one row for each block at most.
+    its row, and one that it has more often without, but with their number; the rows of
+    the latter are known to repeat and only pass through, scattered. So a hash has one row
+    for each block at most.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = rows.mapInArrow(_anchors(window, gram), "route long, hash long, row_key long")
-    met = sent.repartition(parts, "route").sortWithinPartitions("route").mapInArrow(_meet, "row_key long, hash long")
-    return met.groupBy("row_key").agg(F.collect_set("hash").alias("hashes"))
+    sent = rows.mapInArrow(_anchors(window, gram), "route long, hash long, row_key long, n int")
+    met = sent.repartition(parts, "route").sortWithinPartitions("route").mapInArrow(_meet(crowded), "row_key long, hash long")
+    often = met.filter("row_key is null").select("hash", F.lit(True).alias("often"))
+    each = met.filter("row_key is not null").join(often, "hash", "left")
+    return each.groupBy("row_key").agg(F.collect_set("hash").alias("hashes"), F.collect_set(F.when(F.col("often"), F.col("hash"))).alias("crowded"))
 
 
 def _cut(window: int, gram: int):
-    """anchor, lead, content, doc_key, row_key, place of the pieces whose anchors repeat; equal ones of a block once."""
+    """anchor, lead, content, doc_key, row_key, place, shift of the pieces whose anchors repeat; equal ones of a block once.
+
+    Of a crowded anchor each window by itself, under its own hash: shift is its number in the piece.
+    """
 
     def rows(best: dict) -> pa.RecordBatch:
         columns = list(zip(*((*k, *v) for k, v in best.items())))
-        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
-        names = ["anchor", "lead", "content", "doc_key", "row_key", "place"]
+        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        names = ["anchor", "lead", "content", "doc_key", "row_key", "place", "shift"]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict = {}
         for b in batches:
-            hashes = b.column("hashes")
+            hashes, crowded = b.column("hashes"), b.column("crowded")
             for i, (doc_id, row_key, text) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("row_key").to_pylist(), blob(b.column("text")))):
                 words = text.split()
                 h, place, first, last = pieces(words, window, gram)
                 h = h.view(np.int64)
                 doc_key = NULL_ID if doc_id is None else doc_id
+                often = np.isin(h, crowded[i].values.to_numpy())
                 for j in np.flatnonzero(np.isin(h, hashes[i].values.to_numpy())).tolist():
-                    f, p = int(first[j]), int(place[j])
-                    key = (int(h[j]), p - f, b" ".join(words[f : int(last[j]) + window]))
-                    at = (doc_key, row_key, p)
-                    if key not in best or at < best[key]:
-                        best[key] = at
+                    f, p, z = int(first[j]), int(place[j]), int(last[j])
+                    if often[j]:
+                        each = [(s - f, b" ".join(words[s : s + window])) for s in range(f, z + 1)]
+                        found = [((xxhash.xxh64_intdigest(c) - (1 << 63), -1, c), (doc_key, row_key, p, n)) for n, c in each]
+                    else:
+                        found = [((int(h[j]), p - f, b" ".join(words[f : z + window])), (doc_key, row_key, p, 0))]
+                    for key, at in found:
+                        if key not in best or at < best[key]:
+                            best[key] = at
                 if len(best) >= BLOCK_PIECES:
                     yield rows(best)
                     best = {}
@@ -238,62 +269,51 @@ class Automaton:
             last = now
 
 
-def _new_windows(window: int, shard_pieces: int):
-    """Rows sorted by anchor and first occurrence: where a piece first occurs, and mask, the windows that are
-    new in it. Past shard_pieces a row for each window that the automaton lacks instead: the window, and its
-    place i in the piece.
-    """
-    names = ["row_key", "doc_key", "place", "mask", "one", "i"]
+def _new_windows(window: int):
+    """Rows sorted by anchor and first occurrence: row_key, doc_key, place, mask of windows that are new in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchor: int | None = None
         held: bytes | None = None  # the shard's first piece: no automaton is built before a second one comes
         shard = Automaton()
-        added = 0
         for b in batches:
-            rows: list[tuple] = []
-            for a, content, *at in zip(*(b.column(c).to_pylist() for c in ("anchor", "content", "row_key", "doc_key", "place"))):
+            masks = []
+            for a, content, shift in zip(*(b.column(c).to_pylist() for c in ("anchor", "content", "shift"))):
                 if a != anchor:
-                    anchor, held, added = a, content, 1
+                    anchor, held = a, content
                     shard = Automaton()
-                    rows.append((*at, (1 << (content.count(b" ") + 2 - window)) - 1, None, None))
+                    masks.append(((1 << (content.count(b" ") + 2 - window)) - 1) << shift)
                     continue
                 if held is not None:
                     shard.add(held.split())
                     held = None
                 words = content.split()
-                new = [i for i, n in enumerate(shard.statistics(words)[window - 1 :]) if n < window]
-                if new and added < shard_pieces:
+                mask = sum(1 << i for i, n in enumerate(shard.statistics(words)[window - 1 :]) if n < window)
+                if mask:
                     shard.add(words)
-                    added += 1
-                    rows.append((*at, sum(1 << i for i in new), None, None))
-                else:
-                    rows += [(*at, None, b" ".join(words[i : i + window]), i) for i in new]
-            columns = list(zip(*rows)) or [()] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+                masks.append(mask << shift)
+            columns = [b.column(c) for c in ("row_key", "doc_key", "place")]
+            out = pa.RecordBatch.from_arrays([*columns, pa.array(masks, pa.int64())], names=["row_key", "doc_key", "place", "mask"])
+            yield out.filter(pa.array([bool(m) for m in masks], pa.bool_()))
 
     return run
 
 
-def new_windows(found: DataFrame, window: int = WINDOW, shard_pieces: int = SHARD_PIECES) -> DataFrame:
+def new_windows(found: DataFrame, window: int = WINDOW) -> DataFrame:
     """row_key, news: places of anchors with windows that occur nowhere earlier, and which these are.
 
-    found: what _cut gives. All windows of one anchor meet in one shard, its pieces merged.
+    found: what _cut gives. All windows of one anchor, or all equal windows of a crowded
+    one, meet in one shard, equal pieces merged.
     """
     parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     merged = (
         found.repartition(parts, "anchor").groupBy("anchor", "lead", "content")
-        .agg(F.min(F.struct("doc_key", "row_key", "place")).alias("at")).select("anchor", "content", "at.*")
+        .agg(F.min(F.struct("doc_key", "row_key", "place", "shift")).alias("at")).select("anchor", "content", "at.*")
     )
     judged = merged.sortWithinPartitions("anchor", "doc_key", "row_key", "place", "content").mapInArrow(
-        _new_windows(window, shard_pieces), "row_key long, doc_key long, place int, mask long, one binary, i int"
+        _new_windows(window), "row_key long, doc_key long, place int, mask long"
     )
-    # a row with a mask is a group of its own; windows past the automaton go to their first occurrence
-    own = [F.when(F.col("one").isNull(), F.col(c)).alias("_" + c) for c in ("row_key", "doc_key", "place")]
-    first = judged.groupBy("one", "mask", *own).agg(F.min(F.struct("doc_key", "row_key", "place", "i")).alias("at"))
-    news = first.select("at.row_key", "at.doc_key", "at.place", F.coalesce("mask", F.expr("shiftleft(1L, at.i)")).alias("mask"))
-    return news.groupBy("row_key").agg(F.collect_list(F.struct("doc_key", "place", "mask")).alias("news"))
+    return judged.groupBy("row_key").agg(F.collect_list(F.struct("doc_key", "place", "mask")).alias("news"))
 
 
 def later_copies(rows: DataFrame) -> DataFrame:
@@ -363,11 +383,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key("doc_id", "text").alias("row_key"), F.col("text").cast("binary").alias("text"))
     copies = later_copies(rows)
     again = repeated(rows.join(copies, "row_key", "left_anti"), window, gram)
-    concerned = rows.join(again, "row_key").select("doc_id", "row_key", "text", "hashes")
-    found = concerned.mapInArrow(_cut(window, gram), "anchor long, lead int, content binary, doc_key long, row_key long, place int")
+    concerned = rows.join(again, "row_key").select("doc_id", "row_key", "text", "hashes", "crowded")
+    found = concerned.mapInArrow(_cut(window, gram), "anchor long, lead int, content binary, doc_key long, row_key long, place int, shift int")
     new = new_windows(found, window)
     whole = (
-        rows.join(copies, "row_key", "left").join(again, "row_key", "left").join(new, "row_key", "left")
+        rows.join(copies, "row_key", "left").join(again.select("row_key", "hashes"), "row_key", "left").join(new, "row_key", "left")
         .select("doc_id", "text", "hashes", "news", "copy")
     )
     return whole.mapInArrow(

@@ -55,17 +55,38 @@ def test_against_brute_force(make_docs, monkeypatch, seed, block):
     assert all(hashlib.sha256(r.kept.encode()).hexdigest() == r.kept_sha256 for r in got)
 
 
-def test_crowded_anchor_goes_on_by_windows(spark, make_docs, monkeypatch):
+@pytest.mark.parametrize("crowded, block", [(2, 400_000), (10, 50), (40, 20)])
+def test_crowded_anchor_is_dealt_by_windows(make_docs, monkeypatch, crowded, block):
     """One passage, followed by something else in each document."""
     rng = random.Random(9)
     passage = " ".join(f"p{i}" for i in range(30))
     rows = [(i, f"{rng.randint(0, 9)} {passage} " + " ".join(f"{rng.randint(0, 3)}" for _ in range(30))) for i in range(50)]
-    source = substrings.new_windows
-    monkeypatch.setattr(substrings, "new_windows", lambda f, w: source(f, w, 3))
-    got = substrings.remove_repeats(make_docs(rows), with_text=False).collect()
+    monkeypatch.setattr(substrings, "BLOCK_ANCHORS", block)
+    source = substrings.repeated
+    monkeypatch.setattr(substrings, "repeated", lambda rows, w, g: source(rows, w, g, crowded))
+    got = substrings.remove_repeats(make_docs(rows).repartition(6), with_text=False).collect()
     assert sorted(tuple(r) for r in got) == plain(rows, 20)
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 100])
+def test_meeting_over_batch_ends(size):
+    """Counts and repeats are the same however the sorted rows are cut into batches."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(size)
+    rows = sorted((r, k, n) for r in range(12) for k, n in [(100 * r + i, 1) for i in range(rng.choice([1, 1, 2, 3]))])
+    rows = [(r, k, n) if rng.random() < 0.8 else (r, None, 4) for r, k, n in rows]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*((r, None, k, n) for r, k, n in rows[i : i + size])), kinds)], names=["route", "hash", "row_key", "n"]) for i in range(0, len(rows), size)]
+    got = [tuple(x.values()) for b in substrings._meet(5)(iter(batches)) for x in b.to_pylist()]
+    by = {}
+    for r, k, n in rows:
+        by.setdefault(r, []).append((k, n))
+    want = [(k, r) for r, g in by.items() if len(g) > 1 for k, _ in g if k is not None] + [(None, r) for r, g in by.items() if sum(n for _, n in g) >= 5]
+    assert sorted(got, key=str) == sorted(want, key=str) and np.all([len(x) == 2 for x in got])
+
+
 def test_automaton_against_plain_search():
     rng = random.Random(4)
     for _ in range(200):
