@@ -53,4 +53,51 @@ b AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed_rules & 3) <> 0 AS base_failed, failed_rules = 0 AS kept, failed_rules FROM b
 """
 
-SQL = {"op2_contamination": OP2, "op3_quality": OP3}
+OP9 = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (
+  SELECT doc_id, i, list_aggregate(list_slice(w, i, i + 19), 'string_agg', ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+again AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS n FROM win) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS k FROM again),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS k FROM d),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY k) AS t FROM word ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+_ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def _matches(kind: str, rank: int, pattern: str) -> str:
+    return f"SELECT doc_id, source, '{kind}' AS kind, {rank} AS rank, regexp_extract_all(t, '{pattern}') AS m, regexp_split_to_array(t, '{pattern}') AS g FROM d"
+
+
+OP10 = rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
+m AS (
+  {_matches("assign", 0, _ASSIGN)} UNION ALL {_matches("access", 1, "AKIA[A-Z0-9]+")}
+  UNION ALL {_matches("hex", 2, "[0-9a-f]{16,}")} UNION ALL {_matches("token", 3, "[A-Za-z0-9+/_-]{20,}")}),
+e AS (SELECT doc_id, source, kind, rank, i, m[i] AS m, length(g[i]) AS gap, length(m[i]) AS n FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM m)),
+s AS (SELECT *, CAST(sum(gap + n) OVER (PARTITION BY doc_id, kind ORDER BY i) AS BIGINT) AS e, CASE kind WHEN 'assign' THEN regexp_extract(m, '{_ASSIGN}', 2) ELSE m END AS v FROM e),
+f AS (
+  SELECT doc_id, source, kind, rank, e - n AS b, e, v FROM s
+  WHERE CASE kind WHEN 'assign' THEN length(v) >= 12 WHEN 'access' THEN n >= 18 WHEN 'hex' THEN n >= 16
+    ELSE regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]') END),
+c AS (
+  SELECT * FROM f WHERE kind <> 'token' OR NOT EXISTS (SELECT 1 FROM f AS o WHERE o.doc_id = f.doc_id AND o.kind <> 'token' AND o.b < f.e AND f.b < o.e)),
+o AS (SELECT v, count(DISTINCT source) <= 2 AS live FROM c GROUP BY v),
+j AS (SELECT c.*, live, concat(kind, ':', b, ':', e) AS x FROM c JOIN o USING (v)),
+a AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    coalesce(string_agg(x, ',' ORDER BY b, rank) FILTER (kind <> 'token'), '') AS base, coalesce(string_agg(x, ',' ORDER BY b, rank) FILTER (kind <> 'token' OR live), '') AS spans,
+    count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied
+  FROM j GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+FROM d LEFT JOIN a USING (doc_id)
+"""
+
+SQL = {"op2_contamination": OP2, "op3_quality": OP3, "op9_substrings": OP9, "op10_secrets": OP10}
