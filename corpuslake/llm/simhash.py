@@ -69,27 +69,27 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def _forest(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> list[tuple[int, int]]:
-    """Links that span the components of a tile pair's graph of near fingerprints."""
-    n = len(a)
-    parent = list(range(n + (0 if same else len(b))))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
+    """Links that span the components of a tile pair's graph of near fingerprints.
 
+    Each fingerprint has its component's label; a row of the comparison joins its label with
+    the others that it meets. There are fewer joins than fingerprints, however many are near.
+    """
+    n, m = len(a), len(b)
+    label = np.arange(n) if same else np.arange(n + m)
+    right = label if same else label[n:]  # a view of b's labels
     found = []
-    step = max(1, (1 << 21) // max(1, len(b)))
+    step = max(1, (1 << 21) // max(1, m))
     for i in range(0, n, step):
         near = np.bitwise_count(a[i : i + step, None] ^ b[None, :]) <= radius
-        for p, q in zip(*np.nonzero(near)):
-            p, q = int(p) + i, int(q)
-            if same and p >= q:
-                continue
-            x, y = root(p), root(q if same else q + n)
-            if x != y:
-                parent[x] = y
-                found.append((int(a[p]), int(b[q])))
+        if same:
+            near[np.arange(len(near)), np.arange(i, i + len(near))] = False
+        for p in np.flatnonzero(near.any(axis=1)).tolist():
+            columns = np.flatnonzero(near[p])
+            met = right[columns]
+            own = label[i + p]
+            for other in np.unique(met[met != own]).tolist():
+                found.append((int(a[i + p]), int(b[columns[met == other][0]])))
+                label[label == other] = own
     return found
 
 

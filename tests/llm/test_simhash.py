@@ -56,6 +56,37 @@ def test_tiles_are_cut_and_groups_are_not_squared(spark, monkeypatch):
     assert len(found) < 20 * len(prints)
 
 
+def test_a_dense_tile_pair_has_a_spanning_forest():
+    """Thousands of prints that are all near each other give fewer links than prints, and soon."""
+    import time
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    pairs = [(1 << i) | (1 << j) for i in range(40) for j in range(i)]  # any two differ in four bits at most
+    a = np.array([0, *(1 << i for i in range(40)), *pairs] + [int(x) << 50 for x in range(1, 64)], np.uint64)
+    b = np.concatenate([a[::2] ^ np.uint64(1 << 45), rng.integers(0, 2**63, 2000).astype(np.uint64)])
+    for x, y, same in ((a, a, True), (a, b, False)):
+        began = time.perf_counter()
+        links = simhash._forest(x, y, same, 3)
+        assert len(links) < len(x) + (0 if same else len(y)) and time.perf_counter() - began < 5
+        nodes = list(range(len(x))) + ([] if same else [len(x) + i for i in range(len(y))])
+
+        def groups(edges):
+            label = {i: i for i in nodes}
+            for p, q in edges:
+                if label[p] != label[q]:
+                    old, new = label[p], label[q]
+                    label = {i: new if g == old else g for i, g in label.items()}
+            return sorted(sorted(i for i in nodes if label[i] == g) for g in set(label.values()))
+
+        place = {int(v): i for i, v in enumerate(x)}
+        right = place if same else {int(v): len(x) + i for i, v in enumerate(y)}
+        near = np.argwhere(np.bitwise_count(x[:, None] ^ y[None, :]) <= 3)
+        want = [(int(p), int(q) if same else len(x) + int(q)) for p, q in near]
+        assert groups([(place[u], right[v]) for u, v in links]) == groups(want)
+
+
 def test_components_of_a_long_path(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1001), (7, 7)]
     got = dict(tuple(r) for r in simhash.components(spark.createDataFrame(edges, "u long, v long")).collect())
