@@ -39,6 +39,8 @@ GRAM = 6
 BLOCK_ANCHORS, BLOCK_PIECES = 400_000, 40_000
 #: An anchor that occurs so often is dealt out by windows; bounds a shard's automaton to some 20 MB.
 CROWDED = 1_000
+#: Parts of a hot group of copies.
+SALTS = 32
 _FACTORS = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) ** 7 & 0xFFFFFFFFFFFFFFFF | 1 for i in range(64)], np.uint64)
 
 
@@ -320,7 +322,10 @@ def later_copies(rows: DataFrame) -> DataFrame:
     """row_key, copy (true) of rows whose whole text a smaller doc_id has too."""
     keyed = rows.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_key"), "row_key", F.sha2("text", 256).alias("digest"))
     groups = keyed.groupBy("digest").agg(F.min("doc_key").alias("first"), F.max("doc_key").alias("last")).filter("first < last")
-    later = keyed.join(groups.select("digest", "first"), "digest").filter("doc_key > first")
+    # a text may be copied a million times: its rows are dealt by digest and salt
+    salted = groups.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = keyed.withColumn("salt", F.pmod(F.xxhash64("row_key"), F.lit(SALTS)).cast("int"))
+    later = dealt.join(salted, ["digest", "salt"]).filter("doc_key > first")
     return later.select("row_key").distinct().withColumn("copy", F.lit(True))
 
 
