@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslake.operators import answering, chunking, embedding, evaluation, loading, retrieval
+from corpuslake.operators import report as lines
 from corpuslake.plans import integrity, pipeline
 from corpuslake.settings import DEFAULTS
 from corpuslake.sources import artifact, ground_truth
@@ -78,12 +79,12 @@ def crawl(spark: SparkSession, pages: str, out: str, crawled_at: str) -> int:
     docs, outcomes, facts, _ = pipeline.crawl_tables(table.select("url", "html"))
     made = pipeline.artifacts(docs, outcomes, facts, crawled_at)
     artifact.write_artifacts(made, out)
-    return int(not artifact.parse_artifacts(spark.read.text(out), "value").filter(F.size("documents") == 0).isEmpty())
+    return int(not artifact.read_artifacts(spark, out).filter(F.size("documents") == 0).isEmpty())
 
 
 def load(spark: SparkSession, warehouse: str, artifacts: str, now: str | None = None, counter: chunking.Counter | None = None) -> tuple[int, DataFrame]:
     """Load a path of artifacts, one JSON object a line or a file. 1 if one is refused; the others are loaded."""
-    found = artifact.parse_artifacts(spark.read.text(artifacts), "value")
+    found = artifact.read_artifacts(spark, artifacts)
     at = F.to_timestamp(F.lit(now)) if now else F.current_timestamp()
     store = Warehouse(spark, warehouse)
     tables, report = loading.load(store.tables(), found, at, pipeline.chunker(counter or chunking.word_counter()))
@@ -102,7 +103,9 @@ def embed(spark: SparkSession, warehouse: str, domain: str, dry_run: bool = Fals
     model = embedder or make_embedder()
     tables = store.tables()
     counts = retrieval.TenantScope(tables.chunks, tables.documents, tenant, model.name).counts().first()
-    print(f"  chunks {counts.chunks}, embedded {counts.embedded}, pending tokens {counts.pending_tokens}, model {model.name}")
+    own = tables.chunks.filter(F.col("prospect_id") == tenant)
+    over = own.agg(embedding.over_window("token_count", model.window)).first()[0]
+    print("\n".join(lines.embed_lines(counts, model.name, over, embedding.cost(model.name, counts.pending_tokens))))
     if not dry_run and counts.embedded < counts.chunks:
         pending = tables.chunks.filter((F.col("prospect_id") == tenant) & F.col("embedding").isNull())
         new = embedding.embed(pending, model).join(pending.select("id", "prospect_id"), "id")
@@ -206,9 +209,7 @@ def main(argv: list[str] | None = None) -> int:
         parser.error("k must be 1 or more")
     if a.command == "validate":
         report = ground_truth.validate(a.directory)
-        for f in report.findings:
-            print(f"  {f.severity}: {f.file} {f.where} {f.message}")
-        print(f"  files {report.files}, pairs {report.pairs}, {len(report.errors)} errors")
+        print("\n".join(lines.validation_lines(report)))
         return int(not report.ok)
     if a.command == "scaffold":
         from pathlib import Path
@@ -223,31 +224,32 @@ def main(argv: list[str] | None = None) -> int:
         return crawl(spark, a.pages, a.out, a.at)
     if a.command == "load":
         code, report = load(spark, a.warehouse, a.artifacts, a.now)
-        report.show(truncate=False)
+        print("\n".join(lines.load_lines(report.collect())))
         return code
     if a.command == "embed":
         return embed(spark, a.warehouse, a.domain, a.dry_run)
     if a.command == "ask":
         hits = ask(spark, a.warehouse, a.domain, a.question or a.id, a.id, None if a.full else a.k)
         if hits is not None:
-            hits.select("score", "kind", "source_url", F.substring("content", 1, 200).alias("content")).show(1000, truncate=False)
+            print("\n".join(lines.hit_lines(hits.collect())))
         return int(hits is None)
     if a.command == "answer":
         got = answer(spark, a.warehouse, a.domain, a.question or a.id, a.id, a.k)
         if got is not None:
-            print(f"  {got.text}\n  cites {got.passages}; {'; '.join(got.problems) or 'no detectable problem'}; {'declined' if got.declined else 'answered'}")
+            print("\n".join(lines.answer_lines(got)))
         return int(got is None)
     if a.command == "eval":
         found = evaluate(spark, a.warehouse, a.directory)
-        for name, table in found.items():
-            if a.json:
+        if a.json:
+            for name, table in found.items():
                 table.write.mode("overwrite").json(f"{a.json}/{name}")
-            else:
-                table.show(1000, truncate=False)
+        recall = evaluation.recall_at(found["recalls"]).orderBy("k").collect()
+        print("\n".join(lines.run_lines(found["pairs"].collect(), recall, found["coverage"].collect(), found["signals"].collect())))
         return 0
-    found = artifact.find_documents(artifact.parse_artifacts(spark.read.text(a.artifacts), "value"), a.needle)
-    found.select("url", "kind", "title").show(1000, truncate=False)
-    return int(found.isEmpty())
+    found = artifact.find_documents(artifact.read_artifacts(spark, a.artifacts), a.needle)
+    rows = found.collect()
+    print("\n".join(lines.text_lines(rows[0]) if len(rows) == 1 else lines.document_lines(rows)))
+    return int(not rows)
 
 
 if __name__ == "__main__":

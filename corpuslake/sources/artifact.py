@@ -21,13 +21,16 @@ _KEYS = [f.name for f in ARTIFACT.fields]
 
 
 def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
-    """Validated artifacts of a path, with a `file` column.
+    """Validated artifacts of a path, with a `file` column: files of one object, or of one a line.
 
     Spark drops unknown JSON keys without a word, so each text is parsed a second time
     for its key names alone; unknown keys are an error, except in signals.
     """
     raw = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
-    return parse_artifacts(raw, "value")
+    lines = F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")
+    by_line = F.forall(lines, lambda x: F.json_object_keys(x).isNotNull())
+    each = raw.select("file", F.explode(F.when(by_line, lines).otherwise(F.array("value"))).alias("value"))
+    return parse_artifacts(each, "value")
 
 
 def parse_artifacts(raw: DataFrame, column: str) -> DataFrame:
