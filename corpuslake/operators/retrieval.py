@@ -13,12 +13,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corpuslake.functions import vectors
 from corpuslake.settings import DEFAULTS
 
 #: Queries that are broadcast at most, with their vectors (384 floats: 15 MB); more are taken in blocks.
 QUERY_BLOCK = 10_000
+#: Scores that a task holds at once: 16 MB.
+SCORES = 1_000_000
 
 
 class LeakageError(AssertionError):
@@ -77,7 +80,7 @@ def check_no_leakage(hits: DataFrame, resolved: DataFrame) -> None:
         raise LeakageError(f"retrieved chunks outside the tenant: {foreign}")
 
 
-def _nearest(queries: dict, k: int | None):
+def _nearest(queries: dict, k: int | None, kind: pa.DataType):
     """Chunks to query_id, id, score: of each batch the k best of each query of the same tenant, or all.
 
     One matrix product for each tenant in a batch; ties at the k-th place are kept.
@@ -87,24 +90,25 @@ def _nearest(queries: dict, k: int | None):
         for b in batches:
             vectors_, tenants, ids = b.column("embedding"), np.array(b.column("__t").to_pylist(), object), b.column("id")
             sizes = np.diff(np.asarray(vectors_.offsets))
-            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for tenant in {t for t in tenants.tolist() if t in queries}:
                 for width, (names, q) in queries[tenant].items():
                     rows = np.flatnonzero((tenants == tenant) & (sizes == width))
                     if not len(rows):
                         continue
                     x = vectors_.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
-                    with np.errstate(invalid="ignore", divide="ignore"):
-                        score = (q @ x.T) / np.linalg.norm(x, axis=1)
-                    fine = ~np.isnan(score)
-                    if k is not None and len(rows) > k:
-                        ranked_ = np.where(fine, score, -np.inf)
-                        fine &= score >= np.partition(ranked_, -k, axis=1)[:, -k][:, None] - 1e-12
-                    at, row = np.nonzero(fine)
-                    found.append((names[at], rows[row], score[at, row]))
-            if found:
-                names, rows, score = (np.concatenate(c) for c in zip(*found))
-                yield pa.RecordBatch.from_arrays([pa.array(names.tolist()), ids.take(pa.array(rows)), pa.array(score)], names=["query_id", "id", "score"])
+                    size = np.linalg.norm(x, axis=1)
+                    step = max(1, SCORES // len(rows))
+                    for i in range(0, len(names), step):
+                        with np.errstate(invalid="ignore", divide="ignore"):
+                            score = (q[i : i + step] @ x.T) / size
+                        fine = ~np.isnan(score)
+                        if k is not None and len(rows) > k:
+                            ordered = np.where(fine, score, -np.inf)
+                            fine &= score >= np.partition(ordered, -k, axis=1)[:, -k][:, None] - 1e-12
+                        at, row = np.nonzero(fine)
+                        columns = [pa.array(names[i + at].tolist(), kind), ids.take(pa.array(rows[row])), pa.array(score[at, row])]
+                        if len(at):
+                            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "id", "score"])
 
     return run
 
@@ -133,7 +137,7 @@ def ranked(queries: DataFrame, chunks: DataFrame, k: int | None = None, tenant:
                 names.append(r["query_id"])
                 rows.append(np.array(r["v"]) / size)
         ready = {t: {w: (np.array(names, object), np.stack(rows)) for w, (names, rows) in by.items()} for t, by in held.items()}
-        scored = c.mapInArrow(_nearest(ready, k), f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
+        scored = c.mapInArrow(_nearest(ready, k, to_arrow_type(queries.schema["query_id"].dataType)), f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
         one = scored.withColumn("rank", F.row_number().over(best))
         one = one if k is None else one.filter(F.col("rank") <= k)
         out = one if out is None else out.unionByName(one)

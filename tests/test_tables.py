@@ -48,7 +48,7 @@ def test_leak_gate_and_model_mix(spark, stored):
 
 def test_ranked_in_blocks(spark, stored, monkeypatch):
     chunks = stored[0].withColumnRenamed("prospect_id", "tenant")
-    queries = spark.createDataFrame([(i, 1 + i % 2, [1.0, 0.0, 0.0]) for i in range(6)], "query_id long, tenant long, query array<double>")
+    queries = spark.createDataFrame([(i, 1 + i % 2, [1.0, 0.0, 0.0]) for i in range(6)], "query_id int, tenant long, query array<double>")
     whole = sorted(tuple(r) for r in retrieval.ranked(queries, chunks, 2).collect())
     monkeypatch.setattr(retrieval, "QUERY_BLOCK", 2)
     assert sorted(tuple(r) for r in retrieval.ranked(queries, chunks, 2).collect()) == whole and len(whole) == 3 * 2 + 3 * 1
