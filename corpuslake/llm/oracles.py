@@ -100,4 +100,31 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN a USING (doc_id)
 """
 
-SQL = {"op2_contamination": OP2, "op3_quality": OP3, "op9_substrings": OP9, "op10_secrets": OP10}
+#: FP-growth by brute force: every combination of a labelled page's tokens is counted.
+OP5 = r"""
+WITH u AS (
+  SELECT page_id, url, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(coalesce(url, ''), '\?([^#]*)', 1) AS q FROM pages),
+t AS (
+  SELECT *, list_distinct(list_concat(
+    list_transform(list_slice(list_reverse(string_split(host, '.')), 1, 4), lambda x, i: concat('h', i - 1, '=', x)),
+    list_transform(list_slice(list_filter(string_split(path, '/'), lambda x: x <> ''), 1, 4), lambda x, i: concat('p', i - 1, '=', x)),
+    list_transform(list_slice(list_filter(list_transform(regexp_split_to_array(q, '[&;]'), lambda x: regexp_extract(x, '^([^=]*)', 1)), lambda x: x <> ''), 1, 4), lambda x: concat('q=', x)))) AS tokens
+  FROM u),
+l AS (SELECT doc_id, bool_or(coalesce(toxic, 0) = 1 OR coalesce(quality, 1) = 0) AS bad FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL GROUP BY doc_id),
+s AS (SELECT tokens, bad FROM t JOIN l ON page_id = doc_id),
+n AS (SELECT count(*) AS n, count(*) FILTER (bad) AS b FROM s),
+m AS (SELECT tokens, bad, unnest(range(1, CAST(power(2, len(tokens)) AS BIGINT))) AS m FROM s),
+c AS (SELECT list_sort(list_filter(tokens, lambda x, i: (m >> (i - 1)) % 2 = 1)) AS a, bad FROM m),
+r AS (SELECT a FROM c GROUP BY a HAVING count(*) FILTER (bad) >= (SELECT ceil(greatest(20, 1e-4 * n)) FROM n) AND count(*) FILTER (bad) >= 0.75 * count(*) AND (SELECT b FROM n) >= 20),
+g AS (
+  SELECT *, CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM t)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+  WHEN EXISTS (SELECT 1 FROM r WHERE list_has_all(g.tokens, r.a)) THEN 'block' ELSE 'allow' END AS verdict
+FROM g
+"""
+
+SQL = {"op2_contamination": OP2, "op3_quality": OP3, "op5_url_rules": OP5, "op9_substrings": OP9, "op10_secrets": OP10}
