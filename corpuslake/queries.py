@@ -494,3 +494,129 @@ def f13_retrieval_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     qid = F.when(F.expr("conv_id % 3 = 0"), "q2_technical_capacity").when(F.expr("conv_id % 3 = 1"), "other")
     return rows.select("conv_id", "turn", answering.retrieval_query(F.col("text"), qid).alias("q"))
+
+
+# ---- smaller operators
+
+
+@query("""SELECT event_id % 500 AS url, event_type AS outcome FROM (SELECT *, row_number() OVER (PARTITION BY event_id % 500 ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1""")
+def j2_latest_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outcomes = table(spark, sf_dir, "events").select(F.expr("event_id % 500").alias("url"), "event_id", F.col("event_type").alias("outcome"))
+    runs = table(spark, sf_dir, "events").select("event_id", F.col("ts").alias("started_at"))
+    joined = outcomes.join(runs, "event_id")
+    return joined.groupBy("url").agg(F.max_by("outcome", F.struct("started_at", "event_id")).alias("outcome"))
+
+
+@query("""SELECT doc_id, CAST(CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS INTEGER) AS admitted, 2 AS total FROM documents""")
+def j9_sources_admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    want = F.array(F.lit("https://A.com/x/"), F.lit("https://a.com/y"), F.lit("https://a.com/y/"))
+    shown = F.array_compact(F.array(F.when(F.expr("doc_id % 2 = 0"), "https://a.com/x"), F.when(F.expr("doc_id % 3 = 0"), "HTTPS://a.com/y/"), F.lit("https://a.com/z")))
+    return table(spark, sf_dir, "documents").select("doc_id", evaluation.sources_admitted(want, shown).alias("s")).select("doc_id", "s.admitted", "s.total")
+
+
+@query(rf"""WITH {_HASHED}, g AS (SELECT domain, stable_hash, min(url) AS u FROM h GROUP BY ALL)
+SELECT DISTINCT h.domain, u AS document, h.url FROM h JOIN g ON h.domain = g.domain AND h.stable_hash = g.stable_hash""")
+def j11_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    survivors, _ = dedup.deduplicate(_crawled(spark, sf_dir))
+    return signals.aliases(survivors)
+
+
+@query("SELECT DISTINCT concat('m', CAST(label % 3 AS VARCHAR)) AS embedding_model FROM embeddings WHERE vec_id % 2 = 0")
+def a3_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = F.when(F.expr("vec_id % 2 = 0"), F.concat(F.lit("m"), F.expr("cast(label % 3 as string)")))
+    chunks = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.lit(1).alias("prospect_id"), model.alias("embedding_model"))
+    return retrieval.TenantScope(chunks, chunks, 1).models()
+
+
+_ROLES = "concat(coalesce(text, ''), case doc_id % 3 when 0 then ' | Senior Developer, CTO' when 1 then ' | data  scientist; engineers' else ' | Tech Lead' end)"
+
+
+@query(rf"""SELECT doc_id, CAST(CASE doc_id % 3 WHEN 0 THEN 2 ELSE 1 END + len(regexp_extract_all(coalesce(text, ''), '(?i)(?:^|[^\p{{L}}\p{{N}}_])(developer|engineer|cto|programmer|architect|devops|sre|data\s+scientist|desarrollador|ingenier[oa]|programador|tech\s+lead)(?:$|[^\p{{L}}\p{{N}}_])')) AS INTEGER) AS mentions FROM documents""")
+def a9_role_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", text.technical_mentions(F.expr(_ROLES)).cast("int").alias("mentions"))
+
+
+@query(r"""SELECT conv_id, turn, trim(regexp_replace(regexp_replace(concat('<think>plan ', text, '</think>', left(text, 20), '<think>more', CAST(turn AS VARCHAR)), '<think>.*?</think>', '', 'gs'), '<think>.*$', '', 's'), chr(10) || ' ') AS reply FROM conversations WHERE text IS NOT NULL AND NOT contains(text, '<think>')""")
+def f8_strip_reasoning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").filter("text is not null and not contains(text, '<think>')")
+    reply = F.expr("concat('<think>plan ', text, '</think>', left(text, 20), '<think>more', cast(turn as string))")
+    return rows.select("conv_id", "turn", text.strip_reasoning(reply).alias("reply"))
+
+
+@query(r"""SELECT doc_id, concat('COMPUTED FACTS [S], counted from the company''s own pages:', chr(10), CASE WHEN quality IS NULL THEN '- none were computed for this company'
+  ELSE concat('- people_listed = ', CAST(quality AS VARCHAR), ': people on that page, which is not a headcount', chr(10), '- latest_post_date = "d', CAST(toxic AS VARCHAR), '": newest date that a crawled post declares') END) AS block
+FROM documents LEFT JOIN labels USING (doc_id)""")
+def f15_signals_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    facts = rows.select("doc_id", F.col("quality").alias("people_listed"), F.concat(F.lit("d"), F.col("toxic").cast("string")).alias("latest_post_date"))
+    return facts.select("doc_id", answering.signals_block(["people_listed", "latest_post_date"]).alias("block"))
+
+
+@query(rf"""WITH {_WEB}, r AS (SELECT domain, doc_id, kind, url, list_aggregate(list_concat([''], words), 'string_agg', ' ')[2:] AS t, len(words) AS n, row_number() OVER (PARTITION BY domain ORDER BY doc_id) AS rank FROM k),
+s AS (SELECT *, sum(n) OVER (PARTITION BY domain ORDER BY rank) AS used FROM r)
+SELECT domain, concat('RETRIEVED PASSAGES, most similar first:', chr(10), chr(10), string_agg(concat('[', CAST(rank AS VARCHAR), '] (', kind, ') ', url, chr(10), t), chr(10) || chr(10) ORDER BY rank)) AS rendered
+FROM s WHERE rank = 1 OR used <= 2000 GROUP BY domain""")
+def f16_render_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    docs = web_documents(spark, sf_dir).select("domain", F.col("doc_id").alias("id"), urls.page_kind("url").alias("kind"), F.col("url").alias("source_url"), F.col("text").alias("content"), text.word_count("text").alias("tokens"))
+    hits = docs.withColumn("rank", F.row_number().over(Window.partitionBy("domain").orderBy("id")))
+    return answering.contexts(answering.admit(hits, ["domain"], "rank", "tokens", 2000), ["domain"]).select("domain", "rendered")
+
+
+@query("""SELECT vec_id AS id, CASE WHEN vec_id % 3 = 0 THEN 'new' ELSE 'old' END AS embedding_model, CASE WHEN vec_id % 3 = 0 THEN 0.5 ELSE round(embedding[1], 4) + 0.0 END AS first FROM embeddings""")
+def snk8_write_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.lit("old").alias("embedding_model"))
+    new = chunks.filter("id % 3 = 0").select("id", F.array_repeat(F.lit(0.5).cast("float"), 64).alias("embedding"), F.lit("new").alias("embedding_model"))
+    done = embedding.write_embeddings(chunks, new, 64, ["id"])
+    return done.select("id", "embedding_model", (F.round(F.col("embedding")[0].cast("double"), 4) + 0.0).alias("first"))
+
+
+@query("""SELECT c_custkey, n FROM (SELECT o_custkey AS c_custkey, count(*) AS n FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49) GROUP BY 1)
+UNION ALL SELECT l_orderkey, -1 FROM (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity > 49)""")
+def snk7_replace_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_id"), F.col("o_custkey").alias("chunk"), F.lit(1).alias("prospect_id"))
+    new = table(spark, sf_dir, "lineitem").filter("l_quantity > 49").select(F.col("l_orderkey").alias("document_id")).distinct()
+    new = new.select("document_id", F.lit(None).cast("long").alias("chunk"), F.lit(1).alias("prospect_id"))
+    done = loading.replace_chunks(rows, rows.select(F.col("document_id").alias("id"), "prospect_id"), new, 1)
+    kept = done.filter("chunk is not null").groupBy(F.col("chunk").alias("c_custkey")).agg(F.count("*").alias("n"))
+    return kept.unionByName(done.filter("chunk is null").select(F.col("document_id").alias("c_custkey"), F.lit(-1).cast("long").alias("n")))
+
+
+@query("""SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O')""")
+def integrity_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpuslake.plans import integrity
+
+    parents = table(spark, sf_dir, "orders").filter("o_orderstatus = 'O'")
+    return integrity.orphans(table(spark, sf_dir, "lineitem"), parents, {"l_orderkey": "o_orderkey"}).select("l_orderkey", "l_linenumber")
+
+
+@query("""SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O')""")
+def integrity_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpuslake.plans import integrity
+
+    parents = table(spark, sf_dir, "orders").filter("o_orderstatus = 'O'")
+    return integrity.cascade(table(spark, sf_dir, "lineitem"), parents, {"l_orderkey": "o_orderkey"}).select("l_orderkey", "l_linenumber")
+
+
+@query("""SELECT CASE WHEN doc_id % 3 = 0 THEN 1 WHEN doc_id % 3 = 1 THEN 0 END AS written, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END AS signals, doc_id FROM documents""")
+def p15_p16_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = F.when(F.expr("doc_id % 3 = 0"), F.array(F.lit("https://a.com/x"))).when(F.expr("doc_id % 3 = 1"), F.array(F.lit("TODO https://")))
+    given = F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.when(F.expr("doc_id % 2 = 0"), "TODO count").otherwise("2"))
+    written = F.when(evaluation.written_sources(listed).isNotNull(), 1).when(listed.isNotNull(), 0)
+    return table(spark, sf_dir, "documents").select(written.alias("written"), F.size(evaluation.written_signals(given)).alias("signals"), "doc_id")
+
+
+@query(r"""SELECT DISTINCT lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS domain,
+  concat(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*:)?(//[^/?#]*)?'), coalesce(nullif(regexp_replace(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*:)?(//[^/?#]*)?([^?#]*)', 3), '/+$', ''), ''), '/')) AS url FROM pages""")
+def p19_crawled_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select(urls.netloc("url").alias("domain"), urls.normalise("url").alias("url")).distinct()
+
+
+@query()
+def p5_p7_links_and_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _pages(spark, sf_dir)
+    worth = F.filter("links", lambda u: urls.path(u).rlike(urls.WORTH_READING))
+    roles = F.filter("headings", lambda h: h.rlike(text.JOB_TITLE))
+    return pages.select("page_id", F.size("links").alias("links"), F.size(worth).alias("worth"), F.size("headings").alias("headings"), F.size(roles).alias("roles"))
