@@ -27,6 +27,8 @@ HINT = r"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]{14}|[0-9a-f]{16
 #: A candidate of at most so many owners looks live.
 OWNERS = 2
 KINDS = [*PATTERNS, "token"]
+#: Matches of a text that are summed together.
+BLOCK = 128
 _SPAN = "struct<start:int,rank:int,end:int,kind:string,hash:string>"
 
 
@@ -34,33 +36,36 @@ def _literal(pattern: str) -> str:
     return "r'" + pattern.replace("'", "\\x27") + "'"
 
 
-def _spans(kind: str, pattern: str, value: str, keep: str) -> str:
-    """SQL: array of spans of a pattern's leftmost matches in `text`, in code points.
+def _spans(kind: str, pattern: str, keep: str) -> str:
+    """SQL: array of spans (start, rank, end, kind, m) of a pattern's leftmost matches in `text`, in code points.
 
     The gaps between matches come from split(), the matches from regexp_extract_all();
-    their lengths, summed, are the places. value: SQL over m for what is hashed.
+    their lengths, summed, are the places. Sums run in blocks of matches, each block's
+    spans appended at once, so the cost follows the number of matches. keep: SQL over y.
     """
     rank, p = KINDS.index(kind), _literal(pattern)
+    span = "struct<start:int,rank:int,end:int,kind:string,m:string>"
+    one = f"""named_struct('at', c.at + length(element_at(x.g, i)) + length(element_at(x.m, i)),
+          'out', concat(c.out, array(named_struct('start', c.at + length(element_at(x.g, i)), 'rank', {rank},
+            'end', c.at + length(element_at(x.g, i)) + length(element_at(x.m, i)), 'kind', '{kind}', 'm', element_at(x.m, i)))))"""
+    block = f"""aggregate(sequence(b * {BLOCK} + 1, least(size(x.m), (b + 1) * {BLOCK})), named_struct('at', a.at, 'out', cast(array() as array<{span}>)), (c, i) -> {one})"""
     return f"""filter(element_at(transform(array(named_struct('m', regexp_extract_all(text, {p}, 0), 'g', split(text, {p}, -1))), x ->
-      aggregate(sequence(1, size(x.m)),
-        named_struct('at', 0, 'out', cast(array() as array<struct<start:int,rank:int,end:int,kind:string,m:string>>)),
-        (a, i) -> named_struct('at', a.at + length(element_at(x.g, i)) + length(element_at(x.m, i)),
-          'out', concat(a.out, array(named_struct('start', a.at + length(element_at(x.g, i)), 'rank', {rank},
-            'end', a.at + length(element_at(x.g, i)) + length(element_at(x.m, i)), 'kind', '{kind}', 'm', element_at(x.m, i))))),
-        a -> a.out)), 1), y -> {keep})"""
+      aggregate(sequence(0, cast(greatest(size(x.m) - 1, 0) div {BLOCK} as int)), named_struct('at', 0, 'out', cast(array() as array<array<{span}>>)),
+        (a, b) -> element_at(transform(array({block}), z -> named_struct('at', z.at, 'out', concat(a.out, array(z.out)))), 1),
+        a -> flatten(a.out))), 1), y -> {keep})"""
 
 
 def _found(kind: str) -> str:
     pattern, least = PATTERNS[kind]
     value = f"regexp_extract(y.m, {_literal(pattern)}, 2)" if kind == "assign" else "y.m"
-    spans = _spans(kind, pattern, value, f"length({value}) >= {least}")
+    spans = _spans(kind, pattern, f"length({value}) >= {least}")
     hashed = f"transform({spans}, y -> named_struct('start', y.start, 'rank', y.rank, 'end', y.end, 'kind', y.kind, 'hash', sha2({value}, 256)))"
     return f"if(text rlike {_literal(pattern)}, {hashed}, cast(array() as array<{_SPAN}>))"
 
 
 def _tokens() -> str:
     mixed = "y.m rlike '[0-9]' and y.m rlike '[A-Z]' and y.m rlike '[a-z]'"
-    spans = _spans("token", TOKEN, "y.m", mixed)
+    spans = _spans("token", TOKEN, mixed)
     hashed = f"transform({spans}, y -> named_struct('start', y.start, 'rank', y.rank, 'end', y.end, 'kind', y.kind, 'hash', sha2(y.m, 256)))"
     return f"if(text rlike {_literal(TOKEN)}, {hashed}, cast(array() as array<{_SPAN}>))"
 
