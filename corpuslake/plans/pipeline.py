@@ -19,6 +19,7 @@ def crawl_tables(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Dat
     """
     parsed = stored(html.parse_pages(pages.select(urls.netloc("url").alias("domain"), urls.normalise("url").alias("url"), "html").dropDuplicates(["url"])), "pages-parsed")
     survivors, duplicates = dedup.deduplicate(html.stored_documents(parsed, "domain"))
+    survivors = stored(survivors, "survivors")
     thin = parsed.filter("text is null").select("domain", "url", F.lit("thin_extraction").alias("outcome"), F.col("reason").alias("detail"))
     whole = survivors.select("domain", "url", F.lit("stored").alias("outcome"), F.lit("").alias("detail"))
     outcomes = whole.unionByName(duplicates.select("domain", "url", "outcome", "detail")).unionByName(thin)

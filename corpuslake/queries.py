@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from corpuslake.functions import dates, text, urls, vectors
 from corpuslake.operators import answering, chunking, dedup, embedding, evaluation, frontier, html, loading, retrieval, signals
-from corpuslake.plans.storage import stored
+from corpuslake.plans.storage import spread, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -31,8 +31,13 @@ def query(sql: str | None = None):
     return register
 
 
+#: Tables whose rows are long texts.
+TEXTS = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(found) if name in TEXTS else found
 
 
 #: A URL of a document: blog posts with a date, careers pages, others. The same text in both dialects.
@@ -218,7 +223,8 @@ def p8_p9_role_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _crawled(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = web_documents(spark, sf_dir)
-    return docs.select("doc_id", "domain", "url", urls.page_kind("url").alias("kind"), "text", text.content_hash("text").alias("content_hash"), text.stable_hash("text").alias("stable_hash"))
+    hashed = docs.select("doc_id", "domain", "url", urls.page_kind("url").alias("kind"), text.content_hash("text").alias("content_hash"), text.stable_hash("text").alias("stable_hash"))
+    return stored(hashed, "hashed")
 
 
 _HASHED = rf"""{_WEB}, h AS (SELECT doc_id, domain, url, kind, text, lang, words, substr(sha256(text), 1, 16) AS content_hash,
@@ -366,7 +372,7 @@ def c7_c9_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = _pages(spark, sf_dir)
     docs = html.stored_documents(parsed, "domain")
     survivors, _ = dedup.deduplicate(docs)
-    return signals.signals(survivors, parsed)
+    return signals.signals(stored(survivors, "survivors"), parsed.select("domain", "url", "links", "headings", "people"))
 
 
 # ---- chunks and embedding
