@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslake.llm import contamination, language, packing, secrets, simhash
+from corpuslake.llm import contamination, language, near_copies, packing, secrets
 from corpuslake.llm.common import stored, table, text_key
 
 #: A text whose language the network is less sure of than this is no text of any; of four, a guess has 0.25.
@@ -28,11 +28,11 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id; repeated rows once.
+    """Of each group of near copies (five-word shingles, Jaccard 0.8) the document with the smallest doc_id; repeated rows once.
 
     Documents without an id stay if no document with one is near.
     """
-    found = simhash.near_duplicates(docs.select("doc_id", "text"))
+    found = near_copies.near_copies(docs.select("doc_id", "text"))
     stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stay")).distinct()
     keyed = docs.withColumn("__text", text_key("text"))
     once = keyed.join(stay, F.col("doc_id").eqNullSafe(F.col("__stay")), "left_semi").dropDuplicates(["doc_id", "__text"])
@@ -76,7 +76,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: The network, the fingerprints and the tokeniser are beyond SQL; see tests/llm/test_pipeline.py.
+#: The network, the near copies and the tokeniser are beyond SQL; see tests/llm/test_pipeline.py.
 ORACLE_SQL = None
 
 
