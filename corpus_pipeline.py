@@ -64,7 +64,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' tokens in sequences: one row for each piece."""
     import public_tokenizers
 
-    found = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    found = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True)
     return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

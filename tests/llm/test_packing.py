@@ -52,3 +52,25 @@ def test_pieces_cover_every_length():
 
 def test_empty_table(make_docs):
     assert packing.pack(make_docs([(1, "a")]).limit(0), P.path("byte_bpe_50k.json")).collect() == []
+
+
+def test_added_tokens_and_long_white_space_as_the_default_tokenizer_has_them(spark, tmp_path):
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    from corpuslake.llm import queries
+
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "<|endoftext|> <|endoftext", "plain", None, ""]
+    texts += [f"a{c * 1_000_000}b" for c in (" ", "\n", "\t", "\u3000")]
+    schema = "doc_id long, text string"
+    spark.createDataFrame(list(enumerate(texts)), schema).repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    want = {i: np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for i, t in enumerate(texts)}
+    got = {i: 0 for i in want}
+    for r in queries.op6_packing(spark, str(tmp_path)).collect():
+        assert r.doc_tokens == len(want[r.doc_id])
+        assert r.ids_crc32 == zlib.crc32(want[r.doc_id][r.start : r.start + r.length].tobytes())
+        got[r.doc_id] += r.length
+    assert got == {i: len(x) for i, x in want.items()}
+    assert packing.encoder(P.path("byte_bpe_50k.json"))(texts[0]) == [64, 27, 91, 437, 1659, 5239, 91, 29, 65]
