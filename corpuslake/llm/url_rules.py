@@ -14,6 +14,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuslake.llm.common import stored
+
 #: (verdict, host, path), fixed.
 RULES = (
     ("block", "net", "/"),
@@ -52,22 +54,41 @@ def given(host_column: str, path_column: str, rules=RULES) -> Column:
 
 
 def tokens(host_column: str = "host", path_column: str = "path", url: str = "url") -> Column:
-    """Features of a URL: its last four host labels with their place, its first four
-    path segments, its first four query keys. No more than twelve, so that a URL met
-    millions of times has at most 4096 combinations to mine."""
+    """Features of a URL: all its host labels, from the last, and path segments with their place, and its query keys."""
     labels = F.reverse(F.split(F.col(host_column), r"\."))
     segments = F.filter(F.split(F.col(path_column), "/"), lambda s: s != "")
     query = F.split(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"\?([^#]*)", 1), "[&;]")
     keys = F.filter(F.transform(query, lambda s: F.regexp_extract(s, "^([^=]*)", 1)), lambda s: s != "")
     return F.array_distinct(
         F.concat(
-            F.transform(F.slice(labels, 1, 4), lambda s, i: F.concat(F.lit("h"), i.cast("string"), F.lit("="), s)),
-            F.transform(F.slice(segments, 1, 4), lambda s, i: F.concat(F.lit("p"), i.cast("string"), F.lit("="), s)),
-            F.transform(F.slice(keys, 1, 4), lambda s: F.concat(F.lit("q="), s)),
+            F.transform(labels, lambda s, i: F.concat(F.lit("h"), i.cast("string"), F.lit("="), s)),
+            F.transform(segments, lambda s, i: F.concat(F.lit("p"), i.cast("string"), F.lit("="), s)),
+            F.transform(keys, lambda s: F.concat(F.lit("q="), s)),
         )
     )
 
 
+def classes(labelled: DataFrame, min_rows: int = MIN_ROWS, min_support: float = MIN_SUPPORT) -> DataFrame:
+    """token, rep: tokens often enough for a rule; those of just the same rows share a rep.
+
+    labelled: row (an id), tokens. A rule is as right with one token of a class as with any
+    others of it, so rules over reps, met by any token of the class, block the same pages;
+    and a long URL met millions of times is one item, not 2^n combinations.
+    """
+    least = F.lit(max(min_rows, min_support * labelled.count()) - 1e-6)
+    each = labelled.select("row", F.explode("tokens").alias("token"))
+    where = [F.bit_xor(F.xxhash64("row", F.lit(i))).alias(f"where{i}") for i in (0, 1)]
+    often = each.groupBy("token").agg(F.count("*").alias("n"), *where).filter(F.col("n") >= least)
+    groups = often.groupBy("n", "where0", "where1").agg(F.min("token").alias("rep"), F.collect_list("token").alias("tokens"))
+    return groups.select(F.explode("tokens").alias("token"), "rep")
+
+
+def by_class(rows: DataFrame, found: DataFrame, *keys: str) -> DataFrame:
+    """keys and tokens of rows, one for each different keys, each token by its rep in found; others go."""
+    each = rows.select(*keys, F.explode_outer("tokens").alias("token")).join(found, "token", "left")
+    return each.groupBy(*keys).agg(F.collect_set("rep").alias("tokens"))
+
+
 def mine(labelled: DataFrame, min_rows: int = MIN_ROWS, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame | None:
     """antecedent (array of tokens), confidence, support of rules that say bad.
 
@@ -123,13 +144,15 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, id_column: str = "pa
     bad = (F.coalesce(F.col("toxic"), F.lit(0)) == 1) | (F.coalesce(F.col("quality"), F.lit(1)) == 0)
     truth = labels.filter("quality is not null or toxic is not null").groupBy("doc_id").agg(F.max(bad).alias("bad"))
     seen = parsed.select(F.col(id_column).alias("doc_id"), tokens().alias("tokens")).join(truth, "doc_id")
-    mined = mine(seen.select("tokens", "bad"), **mining)
+    seen = stored(seen.select(F.monotonically_increasing_id().alias("row"), "tokens", "bad"), "url-labelled")
+    found = stored(classes(seen, **{k: v for k, v in mining.items() if k != "min_confidence"}), "url-classes")
+    mined = mine(by_class(seen, found, "row", "bad").select("tokens", "bad"), **mining)
     out = parsed.withColumn("__given", given("host", "path", rules))
     if mined is None:
         blocked = F.lit(False)
     else:
-        found = matching(parsed.select("url", tokens().alias("tokens")), pruned(mined))
-        out = out.join(found.withColumn("__hit", F.lit(True)), "url", "left")
+        hit = matching(by_class(parsed.select("url", tokens().alias("tokens")), found, "url"), pruned(mined))
+        out = out.join(hit.withColumn("__hit", F.lit(True)), "url", "left")
         blocked = F.coalesce("__hit", F.lit(False))
     verdict = F.coalesce(F.col("__given.verdict"), F.when(blocked, "block").otherwise("allow"))
     return out.select(*rest, "host", "path", F.col("__given.rule").alias("rule"), verdict.alias("verdict"))

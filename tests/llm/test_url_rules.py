@@ -69,3 +69,14 @@ def test_mined_rules_against_brute_force(spark):
 def test_shorter_rules_as_good_replace_longer_ones(spark):
     rules = spark.createDataFrame([(["a"], 0.8, 0.1), (["a", "b"], 0.8, 0.1), (["a", "c"], 0.9, 0.1), (["d", "b"], 0.8, 0.1)], "antecedent array<string>, confidence double, support double")
     assert sorted(r.antecedent for r in url_rules.pruned(rules).collect()) == [["a"], ["a", "c"], ["d", "b"]]
+
+
+def test_tokens_past_the_fourth_are_mined_and_matched(spark):
+    deep = "/".join(f"d{k}" for k in range(30))
+    good = ["http://x.a.b.c.info/1/2/3/4/good?a&b&c&d&fine", f"http://good.info/{deep}"]
+    bad = ["http://ads.a.b.c.info/1/2/3/4/good?a&b&c&d&fine", "http://x.a.b.c.info/1/2/3/4/casino?a&b&c&d&fine", "http://x.a.b.c.info/1/2/3/4/good?a&b&c&d&track", f"http://bad.info/{deep}"]
+    rows = [(i, u) for i, u in enumerate([u for u in good for _ in range(100)] + [u for u in bad for _ in range(25)])]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    truth = spark.createDataFrame([(i, int(u in good), 0) for i, u in rows], "doc_id long, quality int, toxic int")
+    got = {r.url: r.verdict for r in url_rules.judge(pages, truth).collect()}
+    assert got == {u: "allow" for u in good} | {u: "block" for u in bad}
