@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share, as the session names it in spark.checkpoint.dir.
 
-    It is what the session names in spark.checkpoint.dir; only where that is
-    unset (local runs, tests) a temporary folder is made for this session.
+    Only a session in one process (master local, as in tests) gets a temporary folder where
+    that is unset; on a cluster it must be set, as no machine's own folder is seen by the others.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="corpuslake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -26,7 +29,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._stage = path
+    return found
+
+
+def forget(*stages: DataFrame) -> None:
+    """Delete stages of stored() that nothing reads any more."""
+    for stage in stages:
+        path = getattr(stage, "_stage", None)
+        if isinstance(path, str):
+            spark = stage.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
