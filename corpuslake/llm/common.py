@@ -1,4 +1,4 @@
-"""What the operators of this subpackage share: keys, words, stored stages."""
+"""What the operators of this subpackage share: keys, columns that pass through, stored stages."""
 
 from __future__ import annotations
 
@@ -6,24 +6,56 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslake.plans.storage import stored
+from corpuslake.plans.storage import forget, stored
 
-__all__ = ["NULL_ID", "TEXT_BATCH_ROWS", "blob", "id_key", "stored", "table", "text_batches", "text_key"]
+__all__ = ["NULL_ID", "ROW", "blob", "bounded", "forget", "id_key", "passed", "passing", "stored", "table", "text_batches", "text_key", "unnamed"]
 
-#: Rows of an Arrow batch that carries whole texts; bounds a Python worker's memory.
-TEXT_BATCH_ROWS = 1024
+#: Bytes of an Arrow batch that carries whole texts; bounds a Python worker's memory.
+TEXT_BATCH_BYTES = 16 << 20
 
 #: A null id sorts before every other one.
 NULL_ID = -(2**63)
 
+#: The struct in which a row's own columns pass through an operator, so that no name of theirs meets one of its own.
+ROW = "__row"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
-    """Hand whole texts to Python in small batches (a session setting)."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def text_batches(spark: SparkSession) -> None:
+    """Bound the bytes of batches that go to Python, where the session does not (a session setting)."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(name, None)
+    size = int(held.rstrip("bB")) if held and held.rstrip("bB").lstrip("-").isdigit() else 0
+    if size <= 0 or size > 1 << 30:
+        spark.conf.set(name, str(TEXT_BATCH_BYTES))
+
+
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def unnamed(docs: DataFrame, *taken: str) -> list[str]:
+    """Columns of docs that have none of the taken names, in any case (Spark tells no case apart)."""
+    gone = {n.lower() for n in taken}
+    return [c for c in docs.columns if c.lower() not in gone]
+
+
+def passing(names: list[str]) -> Column:
+    """ROW: the named columns in one struct."""
+    return F.struct(*[quoted(c).alias(c) for c in names] or [F.lit(None).cast("int").alias("nothing")]).alias(ROW)
+
+
+def passed(names: list[str]) -> list[Column]:
+    """The columns of ROW again."""
+    return [F.col(ROW).getField(c).alias(c) for c in names]
+
+
+def bounded(small: DataFrame, most: int) -> DataFrame:
+    """small, to be broadcast if it has at most so many rows; else as it is, for Spark to shuffle."""
+    return F.broadcast(small) if small.limit(most + 1).count() <= most else small
 
 
 def id_key(column: str = "doc_id") -> Column:

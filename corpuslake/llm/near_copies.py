@@ -1,20 +1,26 @@
-"""Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
-
-Candidates come from minima of 240 hashes of a text's shingles, in 40 bands of six: texts
-of similarity 0.8 agree in no band with probability (1 - 0.8^6)^40, 5 in a million; the more
-alike, the fewer. Every link is then checked on the sets themselves (of 64-bit hashes).
-
-1. In each band's bucket every text is compared with the bucket's smallest node: as many
-   pairs as rows, however large a group is. What is linked so, is one component.
-2. In buckets that still hold several components the pairs across them are compared, but for
-   those whose sizes forbid 0.8 or that agree in under half of 64 minima (at 0.8: under
-   one in ten million).
+"""Near copies by SimHash: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+The operator of simhash.py at the settings of a training-data stage, with an exact check
+of each link:
+
+1. A text's set of shingles gets a fingerprint of BITS bits, and its size. Texts with the
+   same set are one node, so copies cost nothing. Two sets of similarity 0.8 differ in
+   19 of 128 bits on average and in more than RADIUS with probability 5 in 100,000; the
+   more alike, the fewer. Sets without a common shingle differ in 64 on average and in RADIUS or
+   fewer with probability 4 in 10 million.
+2. Fingerprints are compared tile by tile with numpy's exclusive-or and bit counts. Tile pairs whose
+   population counts differ beyond the radius are skipped, and those whose sizes forbid 0.8. Each
+   tile pair gives a spanning forest of what it links, never all pairs of a group.
+3. Each link is checked on the sets themselves (of 64-bit hashes). Where a link fails, the
+   fingerprints of the group that it held together are compared again, and every pair across the
+   parts is checked.
 
 A link inside a component adds nothing, so this finds the components of all links.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,18 +29,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslake.llm.common import blob, stored, text_batches, text_key
+from corpuslake.llm.common import blob, bounded, forget, stored, text_batches, text_key
 from corpuslake.llm.simhash import components
 
 SHINGLE_WORDS = 5
 #: The least similarity, as a fraction.
 ALIKE = (4, 5)
-BANDS, ROWS = 40, 6
-SKETCH = 64
+BITS, RADIUS = 128, 36
+#: Smaller sets are alike only if they are equal, and so are one node.
+LEAST_SET = ALIKE[0] // (ALIKE[1] - ALIKE[0])
+#: Fingerprints of one tile at most: 0.9 MB with sizes and nodes.
+TILE = 32768
+#: Elements of one comparison.
+STEP = 1 << 21
+#: Nodes whose texts are read again are broadcast up to so many (some 20 MB); beyond, they are joined by a shuffle.
+BROADCAST_NODES = 500_000
 _RNG = np.random.default_rng(42)
-_FACTORS = _RNG.integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-_SHIFTS = _RNG.integers(0, 2**63, BANDS * ROWS, np.uint64)
-_PLACES = _RNG.integers(0, 2**63, max(SHINGLE_WORDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+_PLACES = _RNG.integers(0, 2**63, SHINGLE_WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
+_SECOND = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -57,35 +69,36 @@ def shingles(text: bytes) -> np.ndarray:
     return np.unique(_mix(total))
 
 
-def minima(found: np.ndarray) -> np.ndarray:
-    """The smallest of each of BANDS * ROWS hashes over a set; of an empty set all the largest."""
-    least = np.full(BANDS * ROWS, 2**32 - 1, np.uint64)
-    for i in range(0, len(found), 512):
-        part = (found[i : i + 512, None] * _FACTORS + _SHIFTS) >> np.uint64(32)
-        least = np.minimum(least, part.min(axis=0))
-    return least
+def fingerprint(found: np.ndarray) -> np.ndarray:
+    """Two unsigned 64-bit halves: a bit is 1 if set in over half of a set's hashes (and of their second ones)."""
+    bits = np.zeros(BITS, np.int64)
+    for i in range(0, len(found), 65536):
+        part = found[i : i + 65536]
+        octets = np.stack([part, _mix(part + _SECOND)], axis=1).view(np.uint8)
+        bits += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return np.packbits(2 * bits > len(found), bitorder="little").view(np.uint64)
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets have at least the least similarity; two empty ones have."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both * ALIKE[1] >= ALIKE[0] * (len(a) + len(b) - both)
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sizes, bands, sketches = [], [], []
+        nodes, sizes, prints = [], [], []
         for text in blob(b.column("text")):
             found = shingles(text)
-            least = minima(found)
-            key = np.arange(BANDS, dtype=np.uint64)
-            for i in range(ROWS):
-                key = _mix(key + least.reshape(BANDS, ROWS)[:, i] * _PLACES[i])
+            nodes.append(xxhash.xxh64_intdigest(found.tobytes(), 1))
             sizes.append(len(found))
-            bands.append(key.view(np.int64))
-            sketches.append(least[:SKETCH].astype(np.uint8).tobytes())
-        listed = pa.ListArray.from_arrays(
-            pa.array(np.arange(0, BANDS * len(bands) + 1, BANDS), pa.int32()),
-            pa.array(np.concatenate(bands) if bands else [], pa.int64()),
-        )
-        yield pa.RecordBatch.from_arrays(
-            [b.column("node"), pa.array(sizes, pa.int64()), listed, pa.array(sketches, pa.binary())],
-            names=["node", "n", "bands", "sketch"],
-        )
+            prints.append(fingerprint(found))
+        halves = np.array(prints, np.uint64).reshape(-1, 2).view(np.int64)
+        arrays = [
+            b.column("doc_id"), b.column("text_key"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()),
+            pa.array(halves[:, 0]), pa.array(halves[:, 1]),
+        ]
+        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_key", "node", "n", "a", "b"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,117 +107,216 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(found, pa.binary())], names=["node", "set"])
 
 
-def alike(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sorted sets have at least the least similarity; two empty ones have."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both * ALIKE[1] >= ALIKE[0] * (len(a) + len(b) - both)
-
-
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sets = zip(blob(b.column("x")), blob(b.column("y")))
         good = [alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in sets]
-        yield b.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+        yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v"), pa.array(good, pa.bool_())], names=["u", "v", "good"])
 
 
-def _crossing(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one bucket that are in different components and may be alike."""
-    node, root, n, sketch = rows
-    us, vs = [], []
-    step = max(1, (1 << 22) // (SKETCH * len(node)))
-    for i in range(0, len(node), step):
-        a = slice(i, i + step)
-        may = (root[a, None] != root[None, :]) & (node[a, None] < node[None, :])
-        small, large = np.minimum(n[a, None], n[None, :]), np.maximum(n[a, None], n[None, :])
-        may &= small * ALIKE[1] >= large * ALIKE[0]
-        p, q = np.nonzero(may)
-        for j in range(0, len(p), 1 << 16):
-            x, y = p[j : j + (1 << 16)] + i, q[j : j + (1 << 16)]
-            near = 2 * (sketch[x] == sketch[y]).sum(axis=1) >= SKETCH
-            us.append(node[x[near]])
-            vs.append(node[y[near]])
-    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
-
-
-def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by band; a bucket may reach over several batches."""
-
-    def pairs(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
-        u, v = _crossing([np.concatenate(x) for x in zip(*parts)])
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-
-    held: list[list[np.ndarray]] = []
-    last = None
-    for b in batches:
-        if not b.num_rows:
+_COLUMNS = ("a", "b", "node", "part", "root", "n")
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key and population count: one row for each tile, its columns as bytes."""
+
+    def tile(held: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
+        rows = {c: np.concatenate([h[c] for h in held]) for c in (*_COLUMNS, "key", "ones")}
+        data = [pa.array([rows[c].tobytes()], pa.binary()) for c in _COLUMNS]
+        facts = [int(rows["key"][0]), int(rows["node"][0]), int(rows["ones"].min()), int(rows["ones"].max())]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        return pa.RecordBatch.from_arrays([*(pa.array([x], k) for x, k in zip(facts, kinds)), *data], names=["key", "tile", "low", "high", *_COLUMNS])
+
+    held: list[dict[str, np.ndarray]] = []
+    n = 0
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        band, node, root, n = (b.column(c).to_numpy() for c in ("band", "node", "root", "n"))
-        sketch = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
-        ends = [*(np.flatnonzero(np.diff(band)) + 1).tolist(), len(band)]
+        rows = {c: batch.column(c).to_numpy() for c in (*_COLUMNS, "key", "ones")}
+        ends = [*(np.flatnonzero(np.diff(rows["key"])) + 1).tolist(), batch.num_rows]
         start = 0
         for end in ends:
-            if held and band[start] != last:
-                yield pairs(held)
-                held = []
-            last = band[start]
-            held.append([x[start:end] for x in (node, root, n, sketch)])
-            start = end
+            if held and held[-1]["key"][0] != rows["key"][start]:
+                yield tile(held)
+                held, n = [], 0
+            while start < end:
+                stop = min(end, start + TILE - n)
+                held.append({c: x[start:stop] for c, x in rows.items()})
+                n += stop - start
+                start = stop
+                if n == TILE:
+                    yield tile(held)
+                    held, n = [], 0
     if held:
-        yield pairs(held)
+        yield tile(held)
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
-    """doc_id, component_id of every row of docs: the smallest doc_id that links reach, itself included.
+def _tile(row: dict) -> dict[str, np.ndarray]:
+    kinds = {c: np.int32 if c == "n" else np.int64 for c in _COLUMNS}
+    found = {c: np.frombuffer(row[c], kinds[c]) for c in _COLUMNS}
+    return found | {c: found[c].view(np.uint64) for c in ("a", "b")}
 
-    Texts without a word are alike. A null doc_id counts only if its component has no
-    other. Repeated rows are returned as often as they came.
+
+def _near(x: dict, y: dict, same: bool, inside: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places p in x and q in y that may be alike, and their distances, nearest first, some at a time.
+
+    With inside only pairs of one part with different roots.
     """
-    text_batches(docs.sparkSession, 256)
-    keyed = docs.select("doc_id", text_key("text").alias("node"), F.col("text").cast("binary").alias("text"))
-    sigs = stored(
-        keyed.select("node", "text")
-        .mapInArrow(_signatures, "node long, n long, bands array<long>, sketch binary")
-        .groupBy("node")
-        .agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
-        "near-signatures",
+    m = len(y["a"])
+    step = max(1, STEP // m)
+    for i in range(0, len(x["a"]), step):
+        rows = slice(i, i + step)
+        d = np.bitwise_count(x["a"][rows, None] ^ y["a"][None, :])
+        d += np.bitwise_count(x["b"][rows, None] ^ y["b"][None, :])
+        p, q = np.nonzero(d <= RADIUS)
+        d = d[p, q]
+        p = p + i
+        small, large = np.minimum(x["n"][p], y["n"][q]).astype(np.int64), np.maximum(x["n"][p], y["n"][q]).astype(np.int64)
+        keep = small * ALIKE[1] >= large * ALIKE[0]
+        if same:
+            keep &= p < q
+        if inside:
+            keep &= (x["part"][p] == y["part"][q]) & (x["root"][p] != y["root"][q])
+        order = np.argsort(d[keep], kind="stable")
+        yield p[keep][order], q[keep][order], d[keep][order]
+
+
+def forest(x: dict, y: dict, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of links that span what a tile pair's fingerprints link: fewer links than fingerprints."""
+    n = len(x["node"])
+    label = np.arange(n if same else n + len(y["node"]))
+    us, vs = [], []
+    for p, q, _ in _near(x, y, same, False):
+        at = q if same else q + n
+        while True:
+            low, high = np.minimum(label[p], label[at]), np.maximum(label[p], label[at])
+            apart = low != high
+            if not apart.any():
+                break
+            p, q, at, low, high = (z[apart] for z in (p, q, at, low, high))
+            joined, first = np.unique(high, return_index=True)  # each label hangs on one that is lower
+            us.append(x["node"][p[first]])
+            vs.append(y["node"][q[first]])
+            onto = np.arange(len(label))
+            onto[joined] = low[first]
+            while (onto != onto[onto]).any():
+                onto = onto[onto]
+            label = onto[label]
+    return tuple(np.concatenate(z) if z else np.zeros(0, np.int64) for z in (us, vs))
+
+
+def crossing(x: dict, y: dict, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of all pairs that may be alike, in one part, with different roots."""
+    found = [(x["node"][p], y["node"][q]) for p, q, _ in _near(x, y, same, True)]
+    return tuple(np.concatenate(z) if z else np.zeros(0, np.int64) for z in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+
+
+def _compare(pairs):
+    """Rows sorted by (ta, tb, side): the two tiles of a pair follow one another; a tile with itself comes once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None
+        for b in batches:
+            for row in b.to_pylist():
+                one = _tile(row)
+                if row["ta"] == row["tb"]:
+                    found = pairs(one, one, True)
+                elif row["side"] == 0:
+                    left = one
+                    continue
+                else:
+                    found = pairs(left, one, False)
+                u, v = found
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+
+    return run
+
+
+def links(nodes: DataFrame, pairs) -> DataFrame:
+    """u, v of pairs (forest or crossing) over nodes (a, b, node, part, root, n)."""
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # sets that are alike have sizes of ratio 0.8, so equal or neighbouring keys
+    keyed = nodes.select(
+        *_COLUMNS, F.floor(F.log("n") / math.log(1.26)).cast("long").alias("key"), (F.bit_count("a") + F.bit_count("b")).alias("ones"),
+        F.pmod(F.xxhash64("node"), F.lit(4)).alias("salt"),
+    )
+    schema = "key long, tile long, low int, high int, a binary, b binary, node binary, part binary, root binary, n binary"
+    tiles = stored(keyed.repartition(parts, "key", "salt").sortWithinPartitions("key", "ones").mapInArrow(_tiles, schema), "near-tiles")
+    index = tiles.select("key", "tile", "low", "high")
+    other = index.select(F.col("key").alias("k"), F.col("tile").alias("tb"), F.col("low").alias("lb"), F.col("high").alias("hb"))
+    ahead = index.select(F.explode(F.array("key", F.col("key") + 1)).alias("k"), F.col("tile").alias("ta"), "key", "low", "high")
+    met = ahead.join(other, "k").filter((F.col("k") > F.col("key")) | (F.col("ta") <= F.col("tb")))
+    near = met.filter((F.col("lb") - F.col("high") <= RADIUS) & (F.col("low") - F.col("hb") <= RADIUS)).select("ta", "tb")
+    sides = near.select("ta", "tb", F.explode(F.expr("if(ta = tb, array(0), array(0, 1))")).alias("side"))
+    placed = sides.withColumn("tile", F.when(F.col("side") == 0, F.col("ta")).otherwise(F.col("tb")))
+    dealt = placed.join(tiles.drop("key", "low", "high"), "tile").repartition(parts, "ta", "tb").sortWithinPartitions("ta", "tb", "side")
+    return dealt.select("ta", "tb", "side", *_COLUMNS).mapInArrow(_compare(pairs), "u long, v long")
+
+
+def rooted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(signatures, nodes): doc_id, node of each row; and node, first (its smallest doc_id), root (the component's smallest node)."""
+    text_batches(docs.sparkSession)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    keyed = docs.select("doc_id", text_key("text").alias("text_key"), F.col("text").cast("binary").alias("text"))
+    signatures = stored(keyed.mapInArrow(_signatures, f"doc_id {kind}, text_key long, node long, n int, a long, b long"), "near-signatures")
+    nodes = stored(
+        signatures.groupBy("node").agg(
+            F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "text_key")).alias("at"), F.first("n").alias("n"), F.first("a").alias("a"), F.first("b").alias("b")
+        ),
+        "near-nodes",
     )
-    rows = sigs.select(F.explode("bands").alias("band"), "node")
-    heads = rows.groupBy("band").agg(F.min("node").alias("head"), F.max("node").alias("tail")).filter("head < tail")
-    # by (band, node): rows of the buckets with several texts
-    shared = stored(rows.join(heads.select("band", "head"), "band"), "near-buckets")
-    some = shared.select("node").distinct()
-    texts = keyed.groupBy("node").agg(F.first("text").alias("text"))
-    sets = stored(texts.join(some, "node", "left_semi").mapInArrow(_sets, "node long, set binary"), "near-sets")
-
-    def verified(pairs: DataFrame) -> DataFrame:
+    sized = nodes.filter(F.col("n") >= LEAST_SET).select("a", "b", "node", "n")
+    found = stored(links(sized.withColumns({"part": F.lit(0).cast("long"), "root": F.lit(0).cast("long")}), forest).distinct(), "near-links")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        """pairs with good: whether their sets are alike. One text of each node is read again."""
+        some = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        wanted = stored(nodes.join(some, "node", "left_semi").select("at", "node"), "near-wanted")
+        where = bounded(wanted, BROADCAST_NODES)
+        texts = keyed.join(where, F.struct("doc_id", "text_key").eqNullSafe(F.col("at"))).select("node", "text")
+        sets = stored(texts.mapInArrow(_sets, "node long, set binary").dropDuplicates(["node"]), "near-sets")
         x = sets.select(F.col("node").alias("u"), F.col("set").alias("x"))
         y = sets.select(F.col("node").alias("v"), F.col("set").alias("y"))
-        return pairs.distinct().join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(_verify, "u long, v long")
+        judged = stored(pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(_verify, "u long, v long, good boolean"), "near-judged")
+        forget(wanted, sets)
+        return judged
+
+    judged = checked(found)
+    roots = components(judged.filter("good"))
+    failed = judged.filter("not good")
+    if not failed.isEmpty():
+        # groups that a failed link held together: their parts are compared with each other
+        whole = components(judged)
+        parts = stored(
+            whole.join(roots.withColumnRenamed("root", "good_root"), "node", "left")
+            .select("node", F.col("root").alias("part"), F.coalesce("good_root", "node").alias("root")),
+            "near-parts",
+        )
+        mixed = parts.groupBy("part").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("part")
+        again = stored(links(sized.join(parts.join(mixed, "part", "left_semi"), "node"), crossing).distinct(), "near-crossing")
+        more = checked(again.join(judged.select("u", "v"), ["u", "v"], "left_anti")).filter("good")
+        u = parts.select(F.col("node").alias("u"), F.col("root").alias("ru"))
+        v = parts.select(F.col("node").alias("v"), F.col("root").alias("rv"))
+        merged = components(more.join(u, "u").join(v, "v").select(F.col("ru").alias("u"), F.col("rv").alias("v")))
+        top = merged.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        roots = parts.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return signatures, nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
 
-    first = components(verified(shared.filter("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v"))))
-    roots = stored(
-        some.join(first, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "near-roots"
-    )
-    members = shared.select("band", "node").join(roots, "node")
-    mixed = members.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("band")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    crossing = (
-        members.join(mixed, "band", "left_semi")
-        .join(sigs.select("node", "n", "sketch"), "node")
-        .repartition(parts, "band")
-        .sortWithinPartitions("band")
-        .select("band", "node", "root", "n", "sketch")
-        .mapInArrow(_cross, "u long, v long")
-    )
-    more = verified(crossing)
-    u = roots.select(F.col("node").alias("u"), F.col("root").alias("ru"))
-    v = roots.select(F.col("node").alias("v"), F.col("root").alias("rv"))
-    merged = components(more.join(u, "u").join(v, "v").select(F.col("ru").alias("u"), F.col("rv").alias("v")))
-    final = roots.join(merged.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select(
-        "node", F.coalesce("top", "root").alias("root")
-    )
-    firsts = keyed.groupBy("node").agg(F.min("doc_id").alias("first"))
-    rooted = stored(firsts.join(final, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "near-nodes")
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_node = rooted.join(least, "root").select("node", "component_id")
-    return keyed.select("doc_id", "node").join(by_node, "node").select("doc_id", "component_id")
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """doc_id, component_id of every row of docs: the smallest doc_id that links reach, itself included.
+
+    Texts without a word are alike, and copies of each other. A null doc_id counts only if its
+    component has no other. Repeated rows are returned as often as they came; an empty table
+    gives no rows. Other columns than doc_id and text are not read.
+    """
+    signatures, nodes = rooted(docs)
+    nodes = stored(nodes, "near-rooted")
+    least = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
+    by_node = nodes.join(least, "root").select("node", "component_id")
+    return signatures.select("doc_id", "node").join(by_node, "node").select("doc_id", "component_id")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """doc_id: of each component of near copies the smallest; null where a component has no other."""
+    return rooted(docs)[1].groupBy("root").agg(F.min("first").alias("doc_id")).select("doc_id")

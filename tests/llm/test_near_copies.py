@@ -61,14 +61,53 @@ def test_the_stage_keeps_one_of_each_group(spark, make_docs):
     assert sorted(r.doc_id for r in got.collect()) == sorted(i for i, c in want if i == c)
 
 
-def test_a_bucket_over_several_batches_gives_its_pairs_once():
+def _rows(n, seed=3):
+    rng = np.random.default_rng(seed)
+    a = rng.integers(0, 2**63, n, np.uint64)
+    return {"a": a, "b": a ^ np.uint64(5), "node": np.arange(n), "part": np.zeros(n, np.int64), "root": np.arange(n), "n": np.full(n, 9, np.int32)}
+
+
+def test_a_forest_spans_what_brute_force_links():
+    x = _rows(300)
+    x["a"][100:] = x["a"][:200] ^ np.uint64(0b1011)  # chains of near fingerprints
+    x["b"] = x["a"] ^ np.uint64(5)
+    u, v = near_copies.forest(x, x, True)
+    label = list(range(300))
+    for i, j in zip(u.tolist(), v.tolist()):
+        old, new = label[i], label[j]
+        assert old != new  # no link inside a component
+        label = [new if z == old else z for z in label]
+    for i in range(300):
+        for j in range(i):
+            near = sum(bin(int(x[c][i]) ^ int(x[c][j])).count("1") for c in ("a", "b")) <= near_copies.RADIUS
+            assert not near or label[i] == label[j]
+    p, q = near_copies.crossing(x, x, True)
+    assert len(p) > len(u)  # all pairs, where roots differ
+
+
+def test_a_tile_over_several_batches_is_one_and_full_ones_are_cut(monkeypatch):
     import pyarrow as pa
 
-    found = near_copies.minima(near_copies.shingles(b"a b c d e f g"))[: near_copies.SKETCH].astype(np.uint8).tobytes()
-    columns = {"band": [1, 1, 1, 2, 2], "node": [1, 2, 3, 1, 4], "root": [1, 2, 2, 1, 4], "n": [9, 9, 10, 9, 99], "sketch": [found] * 5}
-    batch = pa.record_batch(columns)
-    got = pa.Table.from_batches(near_copies._cross(iter([batch.slice(0, 2), batch.slice(2, 3)]))).to_pylist()
-    assert sorted((r["u"], r["v"]) for r in got) == [(1, 2), (1, 3)]
+    monkeypatch.setattr(near_copies, "TILE", 4)
+    x = _rows(11)
+    rows = pa.table({c: pa.array(z.view(np.int64) if z.dtype == np.uint64 else z) for c, z in x.items()} | {"key": [1] * 7 + [2] * 4, "ones": list(range(11))})
+    found = pa.Table.from_batches(near_copies._tiles(iter(rows.to_batches(max_chunksize=3)))).to_pylist()
+    assert [(r["key"], len(r["n"]) // 4, r["low"], r["high"]) for r in found] == [(1, 4, 0, 3), (1, 3, 4, 6), (2, 4, 7, 10)]
+
+
+def test_a_failed_link_does_not_lose_the_parts_it_held(make_docs):
+    """b is near a and c, which are not near each other; fingerprints link all and a filler of 0.7."""
+    rng = random.Random(1)
+    base = [f"v{i}" for i in range(300)]
+    rows = [(1, " ".join(base))]
+    for i in range(2, 40):
+        copy = list(base)
+        for k in rng.sample(range(300), 7 + i % 4):
+            copy[k] = f"z{i}"
+        rows.append((i, " ".join(copy)))
+    want, _ = plain_components(rows)
+    got = sorted(tuple(r) for r in near_copies.near_copies(make_docs(rows)).collect())
+    assert got == want
 
 
 def test_an_empty_table(make_docs):
