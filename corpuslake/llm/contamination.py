@@ -5,7 +5,8 @@ by counts over the whole corpus. The index stores the training tokens' postings
 place) of those terms: lists as short as the corpus allows. A phrase's lists are shifted
 by the terms' offsets in it and intersected by a group-by on the shifted place, which
 combines before its shuffle; what is left is compared word by word with the text, so
-matches are exact. Built-in expressions only. The documents are read three times and
+matches are exact. Proximity matches are those of which all these terms occur within a few
+places of where the phrase has them. Built-in expressions only. The documents are read three times and
 never shuffled, but for those with a match where these are too many to broadcast.
 """
 
@@ -14,14 +15,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslake.llm.common import id_key, stored, text_key
+from corpuslake.llm.common import ROW, bounded, forget, passed, passing, stored, text_key, unnamed
 
 WINDOW = 13
 #: Rarest terms of a phrase whose postings are intersected.
 ANCHORS = 3
+#: Places by which the terms of a proximity match may be off in the query.
+SLOP = 3
 #: Terms are broadcast up to so many (some 30 MB); beyond, Spark joins them as it sees fit.
 BROADCAST_TERMS = 500_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Parts into which a word's postings are dealt where the other side is too large to broadcast.
+SALTS = 16
 #: What separates words before A-Z are lower-cased.
 _SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -63,43 +68,56 @@ def tokens(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     return raw.filter("raw <> ''").select(*extra, (F.col("pos") - F.col("lead")).alias("pos"), lowered(F.col("raw")).alias("word"))
 
 
-def _bounded(terms: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(terms) if n <= BROADCAST_TERMS else terms
+def _joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """left (word, pos) and right (word) by word: right is broadcast up to a bound; beyond, frequent words are dealt out by place."""
+    small = bounded(right, BROADCAST_TERMS)
+    if small is not right:
+        return left.join(small, "word", how)
+    salted = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.withColumn("salt", F.pmod("pos", F.lit(SALTS))).join(salted, ["word", "salt"], how).drop("salt")
 
 
 def counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """word, n: how often each of terms (word) occurs in the corpus; absent ones are left out."""
-    n = terms.limit(BROADCAST_TERMS + 1).count()
-    return tokens(docs).join(_bounded(terms, n), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
+    small = bounded(terms, BROADCAST_TERMS)
+    if small is not terms:
+        return tokens(docs).join(small, "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
+    return tokens(docs).groupBy("word").agg(F.count("*").alias("n")).join(terms, "word", "left_semi")
 
 
 def anchors(found: DataFrame, frequency: DataFrame, number: int = ANCHORS) -> DataFrame:
-    """phrase_id, offset, word, bit, mask for a phrase's rarest terms.
+    """phrase_id, offset, word, bit, mask, complete for a phrase's rarest terms among those that the corpus has.
 
-    found: phrase_id, phrase. A phrase with a term that the corpus lacks is left out.
+    found: phrase_id, phrase. complete: the corpus has all of its terms, so it may occur as it is.
+    A phrase of which the corpus has fewer terms than are asked for is left out.
     """
     each = found.select("phrase_id", F.posexplode("phrase").alias("offset", "word"), F.size("phrase").alias("size"))
     known = each.join(frequency, "word").groupBy("phrase_id").agg(
-        F.max("size").alias("size"),
-        F.array_sort(F.collect_list(F.struct("n", "word", "offset"))).alias("terms"),
-    ).filter(F.size("terms") == F.col("size"))
-    best = known.select("phrase_id", F.posexplode(F.slice("terms", 1, number)).alias("i", "t"), F.least(F.size("terms"), F.lit(number)).alias("k"))
+        F.max("size").alias("size"), F.array_sort(F.collect_list(F.struct("n", "word", "offset"))).alias("terms")
+    )
+    k = F.least("size", F.lit(number))
+    best = known.filter(F.size("terms") >= k).select(
+        "phrase_id", (F.size("terms") == F.col("size")).alias("complete"), k.alias("k"), F.posexplode(F.slice("terms", 1, number)).alias("i", "t")
+    )
     return best.select(
         "phrase_id", F.col("t.offset").alias("offset"), F.col("t.word").alias("word"),
-        F.expr("shiftleft(1, i)").alias("bit"), F.expr("shiftleft(1, k) - 1").alias("mask"),
+        F.expr("shiftleft(1, i)").alias("bit"), F.expr("shiftleft(1, k) - 1").alias("mask"), "complete",
     )
 
 
+def _keys() -> list[Column]:
+    """doc_key, row_key: two hashes of a row's id and text, together its identity, whatever the id's type."""
+    return [F.xxhash64(F.lit("row"), "text", "doc_id").alias("doc_key"), text_key("doc_id", "text").alias("row_key")]
+
+
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """The index: word, doc_key, row_key, pos of every occurrence of terms (word)."""
-    n = terms.limit(BROADCAST_TERMS + 1).count()
-    keyed = docs.select(id_key().alias("doc_key"), text_key("doc_id", "text").alias("row_key"), "text")
-    return tokens(keyed, ("doc_key", "row_key")).join(_bounded(terms, n), "word", "left_semi")
+    return _joined(tokens(docs.select(*_keys(), "text"), ("doc_key", "row_key")), terms, "left_semi")
 
 
 def exact_candidates(index: DataFrame, filed: DataFrame) -> DataFrame:
-    """doc_key, row_key, phrase_id, start where all of a phrase's anchors agree."""
-    shifted = index.join(filed, "word").withColumn("start", F.col("pos") - F.col("offset")).filter("start >= 0")
+    """doc_key, row_key, phrase_id, start where all anchors of a complete phrase agree."""
+    shifted = _joined(index, filed.filter("complete"), "inner").withColumn("start", F.col("pos") - F.col("offset")).filter("start >= 0")
     return (
         shifted.groupBy("doc_key", "row_key", "phrase_id", "start").agg(F.bit_or("bit").alias("bits"), F.max("mask").alias("mask"))
         .filter("bits = mask").select("doc_key", "row_key", "phrase_id", "start")
@@ -107,67 +125,81 @@ def exact_candidates(index: DataFrame, filed: DataFrame) -> DataFrame:
 
 
 def proximity(index: DataFrame, filed: DataFrame, slop: int) -> DataFrame:
-    """doc_key, row_key, phrase_id, near: places (multiples of slop + 1) about which all
-    anchors of a phrase occur with shifts that differ by at most slop.
+    """doc_key, row_key, phrase_id of phrases all of whose anchors occur with shifts that differ by at most slop.
 
-    A shifted place counts in the two buckets that any window of slop + 1 places can
-    touch, so the intersection is a group-by here too.
+    A shifted place counts in the two buckets that a window of slop + 1 places can touch, so the
+    intersection is a group-by of at most 2 * (slop + 1) places here too.
     """
-    shifted = index.join(filed, "word").withColumn("start", F.col("pos") - F.col("offset"))
+    shifted = _joined(index, filed, "inner").withColumn("start", F.col("pos") - F.col("offset"))
     bucket = F.floor(F.col("start") / (slop + 1)).cast("long")
     spread = shifted.withColumn("bucket", F.explode(F.array(bucket - 1, bucket)))
     grouped = spread.groupBy("doc_key", "row_key", "phrase_id", "bucket").agg(
         F.collect_set(F.struct("start", "bit")).alias("s"), F.bit_or("bit").alias("bits"), F.max("mask").alias("mask")
     )
-    within = F.exists("s", lambda a: F.aggregate("s", F.lit(0), lambda acc, b: F.when((b["start"] >= a["start"]) & (b["start"] <= a["start"] + slop), acc.bitwiseOR(b["bit"])).otherwise(acc)) == F.col("mask"))
-    return grouped.filter("bits = mask").filter(within).select(
-        "doc_key", "row_key", "phrase_id", (F.col("bucket") * (slop + 1)).alias("near")
-    ).distinct()
 
+    def bits_from(a: Column) -> Column:
+        inside = lambda b: (b["start"] >= a["start"]) & (b["start"] <= a["start"] + slop)
+        return F.aggregate("s", F.lit(0), lambda bits, b: F.when(inside(b), bits.bitwiseOR(b["bit"])).otherwise(bits))
+
+    within = F.exists("s", lambda a: bits_from(a) == F.col("mask"))
+    return grouped.filter("bits = mask").filter(within).select("doc_key", "row_key", "phrase_id").distinct()
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_key, row_key, start, length, items of every exact occurrence of a phrase."""
+
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """doc_key, row_key, start, length, items of every exact occurrence of a phrase; and with
+    slop doc_key, row_key, items of the phrases near whose places all anchors occur."""
     found = stored(phrases(benchmark, window).withColumn("phrase_id", F.xxhash64("phrase")), "phrases")
     terms = stored(found.select(F.explode("phrase").alias("word")).distinct(), "phrase-terms")
     frequency = stored(counts(docs, terms), "phrase-term-counts")
     filed = stored(anchors(found.select("phrase_id", "phrase"), frequency), "phrase-anchors")
     index = stored(postings(docs, filed.select("word").distinct()), "postings")
-    near = stored(exact_candidates(index, filed), "phrase-candidates")
-    rows = docs.select(id_key().alias("doc_key"), text_key("doc_id", "text").alias("row_key"), "text")
-    some = rows.join(near.select("doc_key", "row_key").distinct(), ["doc_key", "row_key"], "left_semi").dropDuplicates(["doc_key", "row_key"])
+    candidates = stored(exact_candidates(index, filed), "phrase-candidates")
+    near = None
+    if slop is not None:
+        near = stored(proximity(index, filed, slop).join(found.select("phrase_id", "items"), "phrase_id").select("doc_key", "row_key", "items"), "phrases-near")
+    forget(terms, frequency, filed, index)
+    rows = docs.select(*_keys(), "text")
+    some = rows.join(candidates.select("doc_key", "row_key").distinct(), ["doc_key", "row_key"], "left_semi").dropDuplicates(["doc_key", "row_key"])
     texts = some.select("doc_key", "row_key", words(F.col("text")).alias("w"))
-    checked = near.join(found, "phrase_id").join(texts, ["doc_key", "row_key"])
+    checked = candidates.join(found, "phrase_id").join(texts, ["doc_key", "row_key"])
     size = F.size("phrase")
-    return checked.filter(F.slice("w", F.col("start") + 1, size) == F.col("phrase")).select(
-        "doc_key", "row_key", "start", size.alias("length"), "items"
-    )
+    exact = checked.filter(F.slice("w", F.col("start") + 1, size) == F.col("phrase")).select("doc_key", "row_key", "start", size.alias("length"), "items")
+    return exact, near
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Every column of docs, and n_words, n_hit, items (sorted strings), contaminated.
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int | None = None) -> DataFrame:
+    """Every column of docs, and n_words, n_hit, items (sorted strings), whole_window, contaminated; near_items with slop.
 
     A word inside any occurrence of a phrase is hit; a document is contaminated if hit
-    words are a twentieth of its words or more. A null or wordless text has no words and
+    words are a twentieth of its words or more. whole_window: some phrase of a full window
+    occurs, however long the text around it. near_items: items with a phrase whose rarest
+    terms occur within slop places of where the phrase has them; what occurs exactly is among
+    them. A null or wordless text has no words and
     is not contaminated. Rows with the same doc_id and text get the same result, each;
-    rows that share a doc_id but not the text are told apart. A null doc_id is a key of
-    its own. An empty benchmark hits nothing, an empty table gives no rows. Columns of
-    these names are replaced.
+    rows that share a doc_id but not the text are told apart. Ids may be of any type; a null
+    one is a key of its own. An empty benchmark hits nothing, an empty table gives no rows.
+    Columns of the new names, in any case, are replaced; others pass through as they are.
     """
-    new = ("n_words", "n_hit", "items", "contaminated")
-    found = stored(matches(docs, benchmark, window), "phrase-matches")
+    exact, near = matches(docs, benchmark, window, slop)
+    found = stored(exact, "phrase-matches")
     spots = found.select("doc_key", "row_key", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("pos")).distinct()
-    hit = spots.groupBy("doc_key", "row_key").agg(F.count("*").alias("__hit"))
+    hit = spots.groupBy("doc_key", "row_key").agg(F.count("*").alias("hit"))
     items = (
-        found.select("doc_key", "row_key", F.explode("items").alias("item")).select("doc_key", "row_key", F.col("item").cast("string").alias("item"))
-        .groupBy("doc_key", "row_key").agg(F.array_sort(F.collect_set("item")).alias("__items"))
-    )
-    rest = [c for c in docs.columns if c not in (*new, "__hit", "__items", "doc_key", "row_key")]
-    counted = docs.select(
-        *rest, id_key().alias("doc_key"), text_key("doc_id", "text").alias("row_key"), raw_words(F.col("text")).alias("__w")
-    ).select(*rest, "doc_key", "row_key", n_words(F.col("__w")).alias("n_words"))
-    out = counted.join(hit.join(items, ["doc_key", "row_key"]), ["doc_key", "row_key"], "left")
-    n_hit = F.coalesce("__hit", F.lit(0)).cast("long")
+        found.select("doc_key", "row_key", "length", F.explode("items").alias("item"))
+        .groupBy("doc_key", "row_key")
+        .agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("listed"), F.max(F.col("length") == window).alias("whole"))
+    )
+    names = unnamed(docs, "n_words", "n_hit", "items", "whole_window", "contaminated", "near_items")
+    counted = docs.select(passing(names), *_keys(), raw_words(F.col("text")).alias("raw")).select(ROW, "doc_key", "row_key", n_words(F.col("raw")).alias("n_words"))
+    facts = hit.join(items, ["doc_key", "row_key"])
+    none = F.array().cast("array<string>")
+    if near is not None:
+        listed = near.select("doc_key", "row_key", F.explode("items").alias("item")).groupBy("doc_key", "row_key")
+        facts = facts.join(listed.agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("near")), ["doc_key", "row_key"], "full")
+    out = counted.join(facts, ["doc_key", "row_key"], "left")
+    n_hit = F.coalesce("hit", F.lit(0)).cast("long")
     return out.select(
-        *rest, "n_words", n_hit.alias("n_hit"), F.coalesce("__items", F.array().cast("array<string>")).alias("items"),
-        ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
+        *passed(names), "n_words", n_hit.alias("n_hit"), F.coalesce("listed", none).alias("items"),
+        F.coalesce("whole", F.lit(False)).alias("whole_window"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
+        *([] if near is None else [F.coalesce("near", none).alias("near_items")]),
     )

@@ -19,11 +19,24 @@ hit AS (
   SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM found) GROUP BY doc_id),
 items AS (
   SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS listed
-  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM found) GROUP BY doc_id)
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM found) GROUP BY doc_id),
+ph AS (SELECT g, row_number() OVER () AS id FROM (SELECT DISTINCT g FROM win)),
+terms AS (SELECT id, len(g) AS size, unnest(g) AS t, unnest(range(len(g))) AS o FROM ph),
+tok AS (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS p FROM dw),
+freq AS (SELECT t, count(*) AS n FROM tok SEMI JOIN terms USING (t) GROUP BY t),
+ranked AS (
+  SELECT id, t, o, least(size, 3) AS k, row_number() OVER (PARTITION BY id ORDER BY n, t, o) AS r, count(*) OVER (PARTITION BY id) AS known
+  FROM terms JOIN freq USING (t)),
+shifted AS (SELECT doc_id, id, r, k, p - o AS s FROM tok JOIN (SELECT * FROM ranked WHERE known >= k AND r <= k) USING (t)),
+near AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_near FROM (
+    SELECT a.doc_id, a.id FROM shifted AS a JOIN shifted AS b ON a.doc_id = b.doc_id AND a.id = b.id AND b.s BETWEEN a.s AND a.s + 3
+    GROUP BY a.doc_id, a.id, a.s, a.k HAVING count(DISTINCT b.r) = a.k)
+  JOIN ph USING (id) JOIN win USING (g) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
   CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(listed, '')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near_items
+FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near USING (doc_id)
 """
 
 OP3 = r"""

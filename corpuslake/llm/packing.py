@@ -1,11 +1,11 @@
 """Harmonic packing of tokenised documents into sequences of a fixed capacity.
 
-A document's tokens are cut into full sequences, then into halves, quarters and eighths
-of the capacity, and a rest. A piece of at most capacity/j and more than capacity/(j+1)
-tokens is of class j; a class's open bin takes just j pieces. Each worker fills the bins
+A piece of at most capacity/j and more than capacity/(j+1) tokens is of class j, and a bin
+of class j takes just j pieces, whatever their lengths. As a document may be cut freely, its
+tokens are cut to the classes: full sequences (class 1), a half (class 2), a quarter, an
+eighth, which fill their bins without padding, and a rest of a class of its own. Each worker fills the bins
 of its own partition in one pass, and at its end packs what the unfilled bins hold first
-fit, longest first; so no row is shuffled, and at most one bin in each partition and a
-few in a hundred of the rests' tokens are padding. A partition's rows are always read in
+fit, longest first: fewer than 100 classes occur, so these are few, and no row is shuffled. A partition's rows are always read in
 the same order, so a task that runs again gives the same sequences.
 """
 
@@ -26,8 +26,6 @@ from corpuslake.llm.common import text_batches
 
 CAPACITY = 2048
 END_ID = 1
-#: Classes above this one share a bin that is filled in turn.
-CLASSES = 64
 #: The pre-tokeniser's pattern of this vocabulary (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -53,25 +51,21 @@ def _encoder(path: str):
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, added_tokens: bool = False) -> Callable[[str], list[int]]:
-    """A function that gives any text's ids as tokenizers does.
+def encoder(path: str) -> Callable[[str], list[int]]:
+    """A function that gives any text's ids as tokenizers does, the file's added tokens included.
 
-    The texts that tiktoken cannot do go through tokenizers itself. With added_tokens the
-    vocabulary's added tokens have their own ids where a text spells them, as is tokenizers'
-    default; else they are spelled like other text.
+    The texts that tiktoken cannot do go through tokenizers itself.
     """
     from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
         added = [t["content"] for t in json.load(f).get("added_tokens", [])]
     exact = Tokenizer.from_file(path)
-    exact.encode_special_tokens = not added_tokens
     fast = _encoder(path).encode_ordinary
     long_space = re.compile(r"\s{%d}" % LONG_SPACE)
 
     def encode(text: str) -> list[int]:
-        special = added_tokens and any(t in text for t in added)
-        if special or len(text) >= LONG_SPACE and long_space.search(text):
+        if any(t in text for t in added) or len(text) >= LONG_SPACE and long_space.search(text):
             return exact.encode(text, add_special_tokens=False).ids
         return fast(text)
 
@@ -92,25 +86,16 @@ def pieces(n: int, capacity: int = CAPACITY) -> list[int]:
 class Packer:
     """Bins of one worker. A piece is (length, payload); closed bins are lists of pieces."""
 
-    def __init__(self, capacity: int = CAPACITY, classes: int = CLASSES):
-        self.capacity, self.classes = capacity, classes
+    def __init__(self, capacity: int = CAPACITY):
+        self.capacity = capacity
         self.open: dict[int, list] = {}
-        self.filled: dict[int, int] = {}
 
     def add(self, length: int, payload) -> list | None:
-        """Place a piece; the bin that it closes, if any."""
-        j = min(self.capacity // length, self.classes)
+        """Place a piece in its class's open bin; the bin, if that closes it."""
+        j = self.capacity // length
         held = self.open.setdefault(j, [])
-        closed = None
-        if j == self.classes and self.filled.get(j, 0) + length > self.capacity:
-            closed, held = held, []
-            self.open[j], self.filled[j] = held, 0
         held.append((length, payload))
-        self.filled[j] = self.filled.get(j, 0) + length
-        if j < self.classes and len(held) == j:
-            closed = self.open.pop(j)
-            self.filled[j] = 0
-        return closed
+        return self.open.pop(j) if len(held) == j else None
 
     def rest(self) -> list[list]:
         """What unfilled bins hold, packed first fit, longest first."""
@@ -124,25 +109,25 @@ class Packer:
                 i = len(bins) - 1
             bins[i].append(piece)
             room[i] -= piece[0]
-        self.open, self.filled = {}, {}
+        self.open = {}
         return bins
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, added_tokens: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids (little-endian unsigned 32-bit),
     doc_tokens, sequence_id, offset.
 
-    A document's ids are those of its whole text by the vocabulary in tokenizer_path,
-    without special tokens of the encoder's own, and end_id; added_tokens as in encoder(). A null or empty text has end_id alone. Repeated
-    rows, and rows with a null doc_id, are packed each for itself; an empty table gives
-    no rows. sequence_id is the partition's number times 2^32 plus a count.
+    A document's ids are those that the tokenizers file at tokenizer_path gives its whole text,
+    without special tokens of the encoder's own, and end_id. A null or empty text has end_id
+    alone. Repeated rows, and rows with a null doc_id, are packed each for itself; an empty table
+    gives no rows; other columns than doc_id and text are not read. sequence_id is the partition's number times 2^32 plus a count.
     """
-    text_batches(docs.sparkSession, 512)
+    text_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path, added_tokens)
+        encode = encoder(tokenizer_path)
         packer = Packer(capacity)
         sequence = TaskContext.get().partitionId() << 32
         id_type = pa.int64()

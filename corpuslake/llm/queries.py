@@ -22,10 +22,11 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    found = contamination.contamination(docs.select("doc_id", "text"), benchmark.select("item_id", "text"))
+    found = contamination.contamination(docs.select("doc_id", "text"), benchmark.select("item_id", "text"), slop=contamination.SLOP)
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+        F.size("near_items").cast("long").alias("n_near_items"),
     )
 
 
@@ -51,7 +52,7 @@ def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True)
+    packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return packed.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslake.llm.common import stored
+from corpuslake.llm.common import ROW, passed, passing, stored, unnamed
 
 #: kind: (pattern, characters that the match, or its second group, has at least)
 PATTERNS = {
@@ -29,7 +29,20 @@ OWNERS = 2
 KINDS = [*PATTERNS, "token"]
 #: Matches of a text that are summed together.
 BLOCK = 128
+#: Parts into which the spans of a hash are dealt.
+SALTS = 16
 _SPAN = "struct<start:int,rank:int,end:int,kind:string,hash:string>"
+#: SQL: candidates that touch no base span. One pass over all spans by start, in blocks: candidates do not overlap each
+#: other, so one (p) waits for the next; m is the largest end of the base spans so far. At one start base spans come first.
+_APART = f"""element_at(transform(array(array_sort(concat(base, candidates))), e ->
+  aggregate(sequence(0, cast((size(e) - 1) div {BLOCK} as int)), named_struct('m', 0, 'p', cast(null as {_SPAN}), 'out', cast(array() as array<array<{_SPAN}>>)),
+    (a, b) -> element_at(transform(array(
+      aggregate(slice(e, b * {BLOCK} + 1, {BLOCK}), named_struct('m', a.m, 'p', a.p, 'out', cast(array() as array<{_SPAN}>)),
+        (c, s) -> if(s.kind = 'token',
+          named_struct('m', c.m, 'p', if(c.m > s.start, cast(null as {_SPAN}), s), 'out', if(c.p is null, c.out, concat(c.out, array(c.p)))),
+          named_struct('m', greatest(c.m, s.end), 'p', if(s.start < c.p.end, cast(null as {_SPAN}), c.p), 'out', c.out)))),
+      z -> named_struct('m', z.m, 'p', z.p, 'out', concat(a.out, array(z.out)))), 1),
+    a -> if(a.p is null, flatten(a.out), concat(flatten(a.out), array(a.p))))), 1)"""
 
 
 def _literal(pattern: str) -> str:
@@ -76,63 +89,64 @@ def _listed(spans: Column) -> Column:
     return F.array_join(text, ",")
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """Every column of docs, base and candidates: arrays of spans (start, rank, end, kind, hash).
-
-    candidates are tokens that do not touch a base span. A null or empty text has none.
-    """
-    rest = [c for c in docs.columns if c not in ("base", "candidates")]
+def _find(rows: DataFrame) -> DataFrame:
+    """base and candidates beside every column of rows but text; rows: text and columns of no such names."""
+    others = [c for c in rows.columns if c != "text"]
     none = F.expr(f"cast(array() as array<{_SPAN}>)")
     hinted = F.coalesce(F.col("text").rlike(HINT), F.lit(False))
-    flagged = docs.select(*rest, hinted.alias("__hint"))
+    flagged = rows.select(*others, "text", hinted.alias("hinted"))
     base = flagged.withColumn(
-        "base", F.when(F.col("__hint"), F.concat(*[F.expr(_found(k)) for k in PATTERNS])).otherwise(none)
-    ).withColumn("candidates", F.when(F.col("__hint"), F.expr(_tokens())).otherwise(none))
-    apart = "filter(candidates, c -> not exists(base, b -> b.start < c.end and c.start < b.end))"
-    return base.select(*rest, "base", F.when(F.size("candidates") > 0, F.expr(apart)).otherwise(F.col("candidates")).alias("candidates"))
+        "base", F.when(F.col("hinted"), F.concat(*[F.expr(_found(k)) for k in PATTERNS])).otherwise(none)
+    ).withColumn("candidates", F.when(F.col("hinted"), F.expr(_tokens())).otherwise(none))
+    some = (F.size("candidates") > 0) & (F.size("base") > 0)
+    return base.select(*others, "base", F.when(some, F.expr(_APART)).otherwise(F.col("candidates")).alias("candidates"))
 
 
-def ownership(found: DataFrame, owner: str, repository: str) -> DataFrame:
-    """hash, n_owners, n_repositories of every candidate of find(), base ones too.
+def find(docs: DataFrame) -> DataFrame:
+    """Every column of docs, base and candidates: arrays of spans (start, rank, end, kind, hash).
 
-    found has the two columns by name; a null owner or repository counts as one of its own.
+    candidates are tokens that do not touch a base span. A null or empty text has none.
+    Columns of these two names, in any case, are replaced.
     """
-    each = found.select(
-        F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("o"),
-        F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("r"),
-        F.explode(F.concat("base", "candidates")).alias("s"),
-    ).select("o", "r", F.col("s.hash").alias("hash"))
-    by_repository = each.groupBy("hash", "o", "r").agg(F.count("*").alias("n"))
-    by_owner = by_repository.groupBy("hash", "o").agg(F.count("*").alias("n"))
+    names = unnamed(docs, "base", "candidates")
+    return _find(docs.select(passing(names), F.col("text").cast("string").alias("text"))).select(*passed(names), "base", "candidates")
+
+
+def ownership(each: DataFrame) -> DataFrame:
+    """hash, n_owners, n_repositories of every hash of each (owner, repository, hash)."""
+    by_repository = each.groupBy("hash", "owner", "repository").agg(F.count("*").alias("n"))
+    by_owner = by_repository.groupBy("hash", "owner").agg(F.count("*").alias("n"))
     return by_owner.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories"))
 
 
-def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", owners: int = OWNERS) -> DataFrame:
-    """Every column of docs but text, and base, added (arrays of spans), n_live, n_copied.
+def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", owners: int = OWNERS, with_text: bool = False) -> DataFrame:
+    """Every column of docs, and base, added (arrays of spans), n_live, n_copied; text only if with_text.
 
     added: tokens that at most `owners` owners have. n_live and n_copied count the row's
-    spans, base ones included, on either side of that bound. Repeated rows are returned
-    each; an empty table gives no rows. Texts are not carried along: only rows' ids and
-    spans are written to the shared folder.
+    spans, base ones included, on either side of that bound. A null owner or repository counts
+    as one of its own, a null or empty text has no spans. Repeated rows are returned each; an
+    empty table gives no rows. Columns of the four names, in any case, are replaced; others pass
+    through as they are. Rows are written to the shared folder, and only those with a span are
+    joined with what the corpus knows of their hashes: a row's number is its own key, and a
+    hash that one owner has everywhere is dealt out by salt.
     """
-    rest = [c for c in docs.columns if c != "text"]
-    spans = stored(
-        find(docs).select(*rest, "base", "candidates").withColumn("__row", F.monotonically_increasing_id()), "secrets"
+    names = unnamed(docs, "base", "added", "n_live", "n_copied", *([] if with_text else ["text"]))
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    rows = docs.select(passing(names), key(owner).alias("owner"), key(repository).alias("repository"), F.col("text").cast("string").alias("text"))
+    spans = stored(_find(rows).withColumn("row", F.monotonically_increasing_id()), "secrets")
+    n_spans = F.size("base") + F.size("candidates")
+    some, none = spans.filter(n_spans > 0), spans.filter(n_spans == 0)
+    each = some.select("row", "owner", "repository", F.explode(F.concat("base", "candidates")).alias("s"))
+    owned = ownership(each.select("owner", "repository", F.col("s.hash").alias("hash")))
+    live = owned.filter(F.col("n_owners") <= owners).select("hash", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = each.select("row", "s", F.col("s.hash").alias("hash"), F.pmod("row", F.lit(SALTS)).cast("int").alias("salt"))
+    by_row = dealt.join(live, ["hash", "salt"]).groupBy("row").agg(
+        F.collect_list(F.when(F.col("s.kind") == "token", F.col("s"))).alias("added"), F.count("*").alias("n_live")
     )
-    owned = ownership(spans, owner, repository)
-    some = spans.filter(F.size("base") + F.size("candidates") > 0)
-    each = some.select("__row", F.explode(F.concat("base", "candidates")).alias("s"))
-    judged = each.join(owned, F.col("s.hash") == owned["hash"]).withColumn("live", F.col("n_owners") <= owners)
-    new = F.col("live") & (F.col("s.kind") == "token")
-    by_row = judged.groupBy("__row").agg(
-        F.collect_list(F.when(new, F.col("s"))).alias("added"),
-        F.sum(F.col("live").cast("long")).alias("n_live"), F.sum((~F.col("live")).cast("long")).alias("n_copied"),
-    )
-    none = F.expr(f"cast(array() as array<{_SPAN}>)")
-    return spans.join(by_row, "__row", "left").select(
-        *rest, "base", F.coalesce("added", none).alias("added"),
-        F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"),
-    )
+    nothing = F.expr(f"cast(array() as array<{_SPAN}>)")
+    joined = some.join(by_row, "row", "left").select(ROW, "base", F.coalesce("added", nothing).alias("added"), F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"), n_spans.cast("long").alias("n"))
+    alone = none.select(ROW, "base", nothing.alias("added"), F.lit(0).cast("long").alias("n_live"), F.lit(0).cast("long").alias("n"))
+    return joined.unionByName(alone).select(*passed(names), "base", "added", "n_live", (F.col("n") - F.col("n_live")).alias("n_copied"))
 
 
 def count(spans: str, kind: str) -> Column:

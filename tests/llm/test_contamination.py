@@ -57,11 +57,21 @@ def test_empty_tables(spark, make_docs):
 
 
 def test_proximity_finds_scattered_terms(spark, make_docs):
-    docs = make_docs([(1, "red x green y blue"), (2, "red " + "x " * 9 + "green blue"), (3, "blue green red"), (4, "red green blue")])
-    found = spark.createDataFrame([(7, ["red", "green", "blue"])], "phrase_id long, phrase array<string>")
-    terms = found.selectExpr("explode(phrase) as word")
-    filed = contamination.anchors(found, contamination.counts(docs, terms))
-    index = contamination.postings(docs, filed.select("word").distinct())
-    near = lambda slop: sorted({r.doc_key for r in contamination.proximity(index, filed, slop).collect()})
-    assert near(0) == [4] and near(2) == [1, 4] and near(4) == [1, 3, 4]
-    assert [r.doc_key for r in contamination.exact_candidates(index, filed).collect()] == [4]
+    docs = make_docs([(1, "red x green y blue"), (2, "red " + "x " * 9 + "green blue"), (3, "blue green red"), (4, "red green blue"), (5, None)])
+    # the corpus lacks a word of the second item, which so cannot occur as it is
+    benchmark = spark.createDataFrame([(7, "red green blue"), (8, "red green absent blue")], "item_id long, text string")
+
+    def near(slop, item):
+        found = contamination.contamination(docs, benchmark, slop=slop).select("doc_id", "near_items").collect()
+        return sorted(r.doc_id for r in found if item in r.near_items)
+
+    assert near(0, "7") == [4] and near(2, "7") == [1, 4] and near(4, "7") == [1, 3, 4]
+    assert near(0, "8") == [] and near(1, "8") == [1, 4]
+
+
+def test_ids_of_any_type_and_clashing_names(spark):
+    rows = [("a", "x one two y", "keep", 1, "k", "w"), (None, "one two", "keep", 1, "k", "w"), ("a", None, "keep", 1, "k", "w")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, N_Words string, hit int, row_key string, __row string")
+    got = contamination.contamination(docs, spark.createDataFrame([("i", "one two")], "item_id string, text string"))
+    assert got.columns == ["doc_id", "text", "hit", "row_key", "__row", "n_words", "n_hit", "items", "whole_window", "contaminated"]
+    assert sorted((r.doc_id or "", r.text or "", r.row_key, r.n_words, r.n_hit) for r in got.collect()) == [("", "one two", "k", 2, 2), ("a", "", "k", 0, 0), ("a", "x one two y", "k", 4, 2)]

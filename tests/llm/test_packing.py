@@ -17,7 +17,6 @@ def test_round_trip_and_padding(make_docs):
     rows += [(100, None), (101, ""), (7, rows[7][1]), (None, "no id")]
     path = P.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     got = packing.pack(make_docs(rows).coalesce(2), path).collect()
     whole, seen = {}, {}
     for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
@@ -36,13 +35,16 @@ def test_round_trip_and_padding(make_docs):
 
 
 def test_classes_close_at_their_fixed_count():
-    p = packing.Packer(2048, 64)
+    p = packing.Packer(2048)
     closed = [p.add(500, i) for i in range(9)]
     assert [i for i, c in enumerate(closed) if c] == [3, 7] and all(len(c) == 4 for c in closed if c)
     assert p.rest() == [[(500, 8)]] and p.rest() == []
-    tiny = packing.Packer(64, 4)
-    out = [c for c in (tiny.add(3, i) for i in range(50)) if c]
-    assert all(sum(n for n, _ in c) <= 64 for c in out) and sum(map(len, out + tiny.rest())) == 50
+    # every class, the smallest pieces' too, closes by count alone and never overflows
+    for length in range(1, 2049):
+        p = packing.Packer(2048)
+        j = 2048 // length
+        closed = [p.add(length, i) for i in range(j)]
+        assert closed[-1] and len(closed[-1]) == j and not any(closed[:-1]) and j * length <= 2048
 
 
 def test_pieces_cover_every_length():
@@ -73,4 +75,11 @@ def test_added_tokens_and_long_white_space_as_the_default_tokenizer_has_them(spa
         assert r.ids_crc32 == zlib.crc32(want[r.doc_id][r.start : r.start + r.length].tobytes())
         got[r.doc_id] += r.length
     assert got == {i: len(x) for i, x in want.items()}
-    assert packing.encoder(P.path("byte_bpe_50k.json"))(texts[0]) == [64, 27, 91, 437, 1659, 5239, 91, 29, 65]
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "a" * 2_000_000, "!" * 2_000_000, "\u65e5" * 300_000, "x<|endoftext|>" * 10_000])
+def test_very_long_runs_have_the_default_tokenizer_ids(text):
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    assert packing.encoder(path)(text) == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
