@@ -30,32 +30,34 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, Jaccard 0.8) the document with the smallest doc_id; repeated rows once.
 
-    Documents without an id stay if no document with one is near.
+    Of texts without an id one stays if no document with one is near. Rows that share an id but
+    not the text go or stay together.
     """
-    found = near_copies.near_copies(docs.select("doc_id", "text"))
-    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stay")).distinct()
+    stay = near_copies.representatives(docs.select("doc_id", "text"))
     keyed = docs.withColumn("__text", text_key("text"))
-    once = keyed.join(stay, F.col("doc_id").eqNullSafe(F.col("__stay")), "left_semi").dropDuplicates(["doc_id", "__text"])
-    return once.select(*docs.columns)
+    once = keyed.join(stay.select(F.col("doc_id").alias("__stay")), F.col("doc_id").eqNullSafe(F.col("__stay")), "left_semi")
+    return once.dropDuplicates(["doc_id", "__text"]).select(*docs.columns)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth lies in benchmark passages."""
+    """Documents that hold no whole window of 13 benchmark words, and less than a twentieth of whose words are benchmark passages.
+
+    The second rule is for items of fewer than 13 words: one such item, of a word maybe, must not
+    empty the corpus. Null and blank texts stay, repeated rows share their fate, an empty benchmark
+    drops nothing.
+    """
     found = contamination.contamination(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
-    return found.filter(~F.col("contaminated")).select(*docs.columns)
+    return found.filter(~F.col("contaminated") & ~F.col("whole_window")).select(*docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, each span of a secret replaced by a mark, and n_chars by the new length."""
-    keyed = docs.withColumn("__key", text_key("doc_id", "text"))
-    found = secrets.scan(keyed.select("doc_id", "source", "text", "__key"))
-    some = found.withColumn("__spans", F.concat("base", "added")).filter(F.size("__spans") > 0)
-    spans = some.groupBy("__key", F.col("doc_id").alias("__id")).agg(F.first("__spans").alias("__spans"))
-    joined = keyed.join(spans, (keyed["__key"] == spans["__key"]) & keyed["doc_id"].eqNullSafe(F.col("__id")), "left")
-    # in a step of its own: in one select, n_chars would see the new text where a lambda names the old one
-    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(secrets.redact("text", F.col("__spans")))
-    clean = joined.withColumn("__clean", text)
-    n_chars = F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("__clean").cast("long"))
+    """All documents, each span of a secret replaced by a mark, and n_chars by the new length.
+
+    Null texts and those without a span stay as they are; repeated rows are cleaned each.
+    """
+    found = secrets.scan(docs, with_text=True).select("*", F.concat("base", "added").alias("__spans"))
+    clean = found.withColumn("__clean", F.when(F.size("__spans") > 0, secrets.redact("text", F.col("__spans"))).otherwise(F.col("text")))
+    n_chars = F.when(F.size("__spans") > 0, F.length("__clean").cast("long")).otherwise(F.col("n_chars"))
     changed = {"text": F.col("__clean"), "n_chars": n_chars}
     return clean.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
 
@@ -64,7 +66,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' tokens in sequences: one row for each piece."""
     import public_tokenizers
 
-    found = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True)
+    found = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
