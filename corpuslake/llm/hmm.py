@@ -4,9 +4,12 @@ Every distinct training token is counted, over the whole corpus. The hidden Mark
 model's alphabet is the most frequent words, one symbol each, classes of all other words
 by their last two bytes, and the end of a text; a word's probability is its symbol's, by
 the model, times its share of its class, by the counts. Baum-Welch begins from a bounded
-sample and then reads all training documents: each partition adds up its expected counts,
-and the sums of a fixed size (symbols x states) are added across partitions. A text's
-likelihood is exact, by the scaled forward recursion over all its tokens.
+sample and then reads all training documents, until the likelihood of a token hardly grows:
+each partition adds up its expected counts, and the sums of a fixed size (symbols x states) are
+added across partitions. Training too takes whole documents: forward variables are kept where
+stretches begin and those between are computed again on the way back, so sums are exact and
+memory is bounded at any length. A text's likelihood is exact, by the scaled forward recursion
+over all its tokens.
 
 Counts of the HEAD most frequent words go to every task (a bound of some 5 MB); rarer
 words are joined with the table of counts by Spark, so no table that grows with the
@@ -35,10 +38,11 @@ END = SYMBOLS + CLASSES
 PAD = END + 1
 HEAD = 300_000
 SMOOTHING = 0.1
-#: A document's training sequences have at most so many tokens.
+#: Tokens between places where forward variables are kept.
 STRETCH = 256
-#: The warm start: at most so many documents' first stretches, and rounds on them; then rounds on everything.
-SAMPLE, SAMPLE_ROUNDS, ROUNDS = 1500, 15, 2
+#: The warm start: so many documents, or fewer from so many tokens on, and rounds on them; then rounds on everything,
+#: fewer if a round gains less than so much log10 likelihood a token.
+SAMPLE, SAMPLE_TOKENS, SAMPLE_ROUNDS, ROUNDS, GAIN = 1500, 1_000_000, 15, 4, 0.002
 #: Distinct words that a task counts before it hands the counts on.
 COUNTED = 300_000
 #: Documents and training stretches that one step of the recursions serves.
@@ -109,13 +113,15 @@ def vocabulary(counts: DataFrame, n_docs: int) -> Vocabulary:
     """The bounded part of a table of counts that tasks need."""
     # the least count of the head, from a histogram of a few thousand buckets at most; words of one bucket stay together
     bucket = F.floor(F.log2("n") * 64).cast("int")
-    least, held = None, 0
+    held, chosen = 0, F.lit(False)
     for r in counts.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).orderBy(F.desc("b")).collect():
-        held += r["n"]
-        if held > HEAD:
+        if held + r["n"] > HEAD:  # of the bucket that does not fit, a share by hash
+            share = int((HEAD - held) / r["n"] * 0.98 * (1 << 30))
+            chosen |= (bucket == r["b"]) & (F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < share)
             break
-        least = r["b"]
-    head = counts.filter(F.lit(False) if least is None else bucket >= least).toArrow()
+        held += r["n"]
+        chosen = bucket >= r["b"]
+    head = counts.filter(chosen).toArrow()
     head = head.sort_by([("n", "descending"), ("word", "ascending")])
     by_class = counts.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("d")).collect()
     words, n = head.column("word").to_pylist(), head.column("n").to_numpy()
@@ -151,6 +157,7 @@ def _code(shared):
         index, symbols, logs, within, v = _lookup(shared)
         get = index.get
         end_log = float(np.log10(v.n_docs + SMOOTHING))
+        shares, least = v.shares(), float(np.log10(SMOOTHING))
         for b in batches:
             codes, totals, known, base, own, rare = [], [], [], [], [], []
             for text in blob(b.column("text")):
@@ -159,35 +166,33 @@ def _code(shared):
                 missing = np.flatnonzero(at < 0).tolist()
                 out = np.empty(len(words) + 1, np.uint16)
                 out[-1] = END
-                if missing:
-                    inside = at[at >= 0]
-                    out[:-1] = symbols[at] if len(symbols) else 0
-                    tail = [words[i] for i in missing]
-                    out[missing] = [SYMBOLS + word_class(w) for w in tail]
-                else:
-                    inside, tail = at, []
-                    out[:-1] = symbols[at] if len(words) else 0
+                inside, tail = at[at >= 0], [words[i] for i in missing]
+                out[:-1] = symbols[at] if len(symbols) else 0
+                kinds = [word_class(w) for w in tail]
+                out[missing] = [SYMBOLS + c for c in kinds]
                 codes.append(out.tobytes())
                 totals.append(len(out))
                 known.append(len(inside) + (v.n_docs > 0))
-                base.append(float(logs[inside].sum()) + end_log - v.base() * len(out))
-                own.append(float(within[inside].sum()))
-                rare.append(tail)
+                # rare words count as never learned here; what the table of counts knows of them is added by a join
+                base.append(float(logs[inside].sum()) + end_log + least * len(tail) - v.base() * len(out))
+                own.append(float(within[inside].sum() + (least - shares[kinds]).sum()))
+                rare.append([{"word": w, "k": k} for w, k in Counter(tail).items()])
             arrays = [
                 b.column("doc_id"), b.column("held_out"), pa.array(codes, pa.binary()), pa.array(totals, pa.int64()),
-                pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(own, pa.float64()), pa.array(rare, pa.list_(pa.binary())),
+                pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(own, pa.float64()),
+                pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())]))),
             ]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "codes", "n_tokens", "known", "base", "own", "rare"])
 
     return run
 
 
-def _forward(m: Model, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Scaled forward variables (T, N, states) and the scales (T, N) of symbols x (T, N)."""
+def _forward(m: Model, x: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled forward variables (T, N, states) and the scales (T, N) of symbols x (T, N); begin: the states' probabilities before them."""
     t, n = x.shape
     alpha = np.empty((t, n, len(m.start)), np.float32)
     scale = np.empty((t, n), np.float32)
-    a = np.broadcast_to(m.start, (n, len(m.start)))
+    a = begin
     for i in range(t):
         a = (a if i == 0 else a @ m.move) * m.emit.take(x[i], axis=0)
         scale[i] = a.sum(axis=1)
@@ -196,25 +201,55 @@ def _forward(m: Model, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return alpha, scale
 
 
-def expected(m: Model, x: np.ndarray) -> np.ndarray:
-    """Expected counts of Baum-Welch over sequences x (T, N): starts, moves, emissions, and the log10 likelihood, in one array."""
+def _stretch(parts: list[np.ndarray], at: int) -> np.ndarray:
+    """Symbols (STRETCH, N) from a place on, of sequences that reach it, the longest first."""
+    cut = [p[at : at + STRETCH] for p in parts if len(p) > at]
+    x = np.full((len(cut), max(map(len, cut))), PAD, np.uint16)
+    for row, p in zip(x, cut):
+        row[: len(p)] = p
+    return np.ascontiguousarray(x.T)
+
+
+def expected(m: Model, codes: list[bytes]) -> np.ndarray:
+    """Expected counts of Baum-Welch over whole sequences: starts, moves, emissions, and the log10 likelihood, in one array."""
     k = len(m.start)
-    t, n = x.shape
-    alpha, scale = _forward(m, x)
-    moves = np.zeros((k, k))
-    beta = np.ones((n, k), np.float32)
-    gamma = np.empty((t, n, k), np.float32)
-    gamma[-1] = alpha[-1]
-    for i in range(t - 1, 0, -1):
-        w = m.emit.take(x[i], axis=0) * beta
-        w /= scale[i][:, None]
-        moves += alpha[i - 1].T.astype(np.float64) @ (w * (x[i] != PAD)[:, None])
-        beta = w @ m.move.T
-        gamma[i - 1] = alpha[i - 1] * beta
-    flat = x.reshape(-1)
-    emissions = np.stack([np.bincount(flat, weights=gamma[:, :, j].reshape(-1), minlength=PAD + 1) for j in range(k)], axis=1)
-    likelihood = np.log10(scale, dtype=np.float64)[x != PAD].sum()
-    return np.concatenate([gamma[0].sum(axis=0, dtype=np.float64), (moves * m.move).ravel(), emissions.ravel(), [likelihood]])
+    parts = sorted((np.frombuffer(c, np.uint16) for c in codes if c), key=len, reverse=True)
+    starts, moves, emissions, likelihood = np.zeros(k), np.zeros((k, k)), np.zeros((PAD + 1, k)), 0.0
+    for lane in range(0, len(parts), LANES):
+        some = parts[lane : lane + LANES]
+        places = range(0, len(some[0]), STRETCH)
+        begins: list[np.ndarray] = []
+        begin = np.broadcast_to(m.start, (len(some), k))
+        for at in places:
+            x = _stretch(some, at)
+            begins.append(begin[: x.shape[1]])
+            alpha, scale = _forward(m, x, begins[-1])
+            likelihood += float(np.log10(scale, dtype=np.float64)[x != PAD].sum())
+            begin = alpha[-1] @ m.move
+        after = None  # emission times backward variable of the token after the stretch, of sequences that go on
+        for at in reversed(places):
+            if at != places[-1]:  # the last one's are still there
+                x = _stretch(some, at)
+                alpha, scale = _forward(m, x, begins[at // STRETCH])
+            t, n = x.shape
+            beta = np.ones((n, k), np.float32)
+            if after is not None:
+                moves += alpha[-1, : len(after)].T.astype(np.float64) @ after
+                beta[: len(after)] = after @ m.move.T
+            gamma = np.empty((t, n, k), np.float32)
+            gamma[-1] = alpha[-1] * beta
+            for i in range(t - 1, 0, -1):
+                w = m.emit.take(x[i], axis=0) * beta
+                w /= scale[i][:, None]
+                moves += alpha[i - 1].T.astype(np.float64) @ (w * (x[i] != PAD)[:, None])
+                beta = w @ m.move.T
+                gamma[i - 1] = alpha[i - 1] * beta
+            after = m.emit.take(x[0], axis=0) * beta / scale[0][:, None]
+            flat = x.reshape(-1)
+            for j in range(k):
+                emissions[:, j] += np.bincount(flat, weights=gamma[:, :, j].reshape(-1), minlength=PAD + 1)
+        starts += gamma[0].sum(axis=0, dtype=np.float64)
+    return np.concatenate([starts, (moves * m.move).ravel(), emissions.ravel(), [likelihood]])
 
 
 def updated(m: Model, sums: np.ndarray, unigram: np.ndarray) -> Model:
@@ -230,25 +265,23 @@ def updated(m: Model, sums: np.ndarray, unigram: np.ndarray) -> Model:
     return Model((start / start.sum()).astype(np.float32), (move / move.sum(axis=1, keepdims=True)).astype(np.float32), emit.astype(np.float32))
 
 
-def stretches(codes: list[bytes]) -> np.ndarray:
-    """Training sequences (STRETCH, N) of documents' symbols."""
-    parts = [np.frombuffer(c, np.uint16) for c in codes]
-    cut = [p[i : i + STRETCH] for p in parts for i in range(0, len(p), STRETCH)]
-    x = np.full((len(cut), STRETCH), PAD, np.uint16)
-    for row, p in zip(x, cut):
-        row[: len(p)] = p
-    return np.ascontiguousarray(x.T)
-
-
 def _expect(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         total = None
+        held: list[bytes] = []
+
+        def more() -> None:
+            nonlocal total, held
+            if held:
+                one = expected(m, held)
+                total, held = one if total is None else total + one, []
+
         for b in batches:
-            x = stretches(b.column("codes").to_pylist())
-            for i in range(0, x.shape[1], LANES):
-                one = expected(m, x[:, i : i + LANES])
-                total = one if total is None else total + one
+            held += b.column("codes").to_pylist()
+            if len(held) >= 4 * LANES:
+                more()
+        more()
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
@@ -285,19 +318,30 @@ def train(coded: DataFrame, v: Vocabulary, states: int = STATES, rounds: int = R
     move = np.full((states, states), 0.1 / states) + 0.9 * np.eye(states)
     m = Model(np.full(states, 1 / states, np.float32), move.astype(np.float32), emit.astype(np.float32))
     known = coded.filter("not held_out")
-    # documents whose hash is small enough for about SAMPLE of them, so that no task sends many
-    place = F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(1 << 30))
-    near = known.filter(place < int(min(1.0, 1.5 * SAMPLE / max(1, v.n_docs)) * (1 << 30)))
-    start = near.select(F.expr(f"substring(codes, 1, {2 * STRETCH})").alias("codes"), place.alias("place"), "row")
-    codes = [bytes(r["codes"]) for r in start.orderBy("place", "row").limit(SAMPLE).collect()]
-    if codes:
-        x = stretches(sorted(codes))
-        for _ in range(SAMPLE_ROUNDS):
-            m = updated(m, expected(m, x), unigram)
-    for _ in range(rounds if codes else 0):
+    if not v.n_docs:
+        return m
+    # documents whose row's hash is small enough for somewhat more than SAMPLE of them, so that no task sends many
+    place = F.pmod(F.xxhash64("row"), F.lit(1 << 30))
+    near = known.filter(place < int(min(1.0, 1.5 * SAMPLE / v.n_docs) * (1 << 30))).select("row", "n_tokens", place.alias("place"))
+    picked, tokens = [], 0
+    for r in near.orderBy("place", "row").limit(SAMPLE).collect():
+        if picked and tokens + r["n_tokens"] > SAMPLE_TOKENS:
+            break
+        picked.append(r["row"])
+        tokens += r["n_tokens"]
+    codes = [bytes(r["codes"]) for r in known.filter(F.col("row").isin(picked)).select("codes").collect()]
+    for _ in range(SAMPLE_ROUNDS if codes else 0):
+        m = updated(m, expected(m, sorted(codes)), unigram)
+    before = -np.inf
+    for _ in range(rounds):
         shared = spark.sparkContext.broadcast(m)
-        sums = known.select("codes").mapInArrow(_expect(shared), "sums binary").repartition(32).mapInArrow(_add, "sums binary")
-        m = updated(m, sum(np.frombuffer(r[0]) for r in sums.collect()), unigram)
+        rows = known.select("codes").mapInArrow(_expect(shared), "sums binary").repartition(32).mapInArrow(_add, "sums binary").collect()
+        sums = sum(np.frombuffer(r[0]) for r in rows)
+        shared.unpersist()
+        m = updated(m, sums, unigram)
+        if sums[-1] - before < GAIN * v.n_tokens:
+            break
+        before = sums[-1]
     return m
 
 
@@ -374,7 +418,7 @@ def score(docs: DataFrame, held_out: Column, states: int = STATES, rounds: int =
     shared = spark.sparkContext.broadcast(v)
     kind = docs.schema["doc_id"].dataType.simpleString()
     coded = stored(
-        rows.mapInArrow(_code(shared), f"doc_id {kind}, held_out boolean, codes binary, n_tokens long, known long, base double, own double, rare array<binary>")
+        rows.mapInArrow(_code(shared), f"doc_id {kind}, held_out boolean, codes binary, n_tokens long, known long, base double, own double, rare array<struct<word:binary,k:bigint>>")
         .withColumn("row", F.monotonically_increasing_id()), "coded",
     )
     model = spark.sparkContext.broadcast(train(coded, v, states, rounds))
@@ -382,19 +426,16 @@ def score(docs: DataFrame, held_out: Column, states: int = STATES, rounds: int =
     scored = coded.select(*names).mapInArrow(
         _score(model), f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, own double, row long, model double"
     )
-    shares = F.array(*[F.lit(float(s)) for s in v.shares()])
-    # rarer words meet their counts in a join; a word that was never learned has none
-    each = coded.select("row", F.explode("rare").alias("word"))
-    log = F.log10(F.coalesce("n", F.lit(0)) + SMOOTHING)
-    last = F.conv(F.hex(F.expr("substring(word, -1, 1)")), 16, 10).cast("int")
-    before = F.when(F.length("word") > 1, F.conv(F.hex(F.expr("substring(word, -2, 1)")), 16, 10).cast("int")).otherwise(F.lit(0))
-    share = F.get(shares, (last * 31 + before * 7) % CLASSES)
+    # rarer words meet their counts in a join; one that was never learned has none, and stays as it was counted
+    each = coded.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.k")
+    gain = F.col("k") * (F.log10(F.col("n") + SMOOTHING) - float(np.log10(SMOOTHING)))
     rare = (
-        each.join(counts.select("word", "n"), "word", "left").select("row", F.col("n").isNotNull().cast("long").alias("k"), log.alias("b"), (log - share).alias("o"))
-        .groupBy("row").agg(F.sum("k").alias("k"), F.sum("b").alias("b"), F.sum("o").alias("o"))
+        each.join(counts.select("word", "n"), "word").select("row", "k", gain.alias("gain"))
+        .groupBy("row").agg(F.sum("k").alias("k"), F.sum("gain").alias("gain"))
     )
+    more = F.coalesce("gain", F.lit(0.0))
     return scored.join(rare, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("k", F.lit(0))).alias("n_known"),
-        F.lit(v.n_tokens).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("b", F.lit(0.0))).alias("base_score"),
-        (F.col("model") + F.col("own") + F.coalesce("o", F.lit(0.0))).alias("score"),
+        F.lit(v.n_tokens).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"),
+        (F.col("model") + F.col("own") + more).alias("score"),
     )

@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from corpuslake.llm import hmm
@@ -109,15 +110,16 @@ def test_forward_is_exact_over_stretches():
     assert hmm.likelihoods(m, []).shape == (0,)
 
 
-def test_expected_counts_against_enumeration():
+@pytest.mark.parametrize("stretch", [1, 2, 3, 256])
+def test_expected_counts_against_enumeration(monkeypatch, stretch):
     """All state paths of a short sequence, weighed by their probability."""
     import itertools
 
+    monkeypatch.setattr(hmm, "STRETCH", stretch)
     m = random_model(2, 3)
     c = [5, 9, 5, 7]
-    x = np.full((6, 1), hmm.PAD, np.uint16)
-    x[:4, 0] = c
-    sums = hmm.expected(m, x)
+    other = [np.array(z, np.uint16).tobytes() for z in ([8], [8, 8, 4, 1, 2, 9], [3, 3])]
+    sums = hmm.expected(m, [np.array(c, np.uint16).tobytes(), *other]) - hmm.expected(m, other)
     start, move, emit, total = np.zeros(2), np.zeros((2, 2)), np.zeros((hmm.PAD + 1, 2)), 0.0
     for path in itertools.product(range(2), repeat=4):
         p = float(m.start[path[0]] * m.emit[c[0], path[0]])
@@ -142,6 +144,57 @@ def test_model_beats_the_base_on_held_out_texts(make_docs):
     assert sum(r.score for r in got) > sum(r.base_score for r in got) and len(got) == 24
 
 
+def test_score_against_plain_code(make_docs, monkeypatch):
+    """The whole score of every text: symbols, shares and the forward recursion, in plain arithmetic with the trained model."""
+    monkeypatch.setattr(hmm, "HEAD", 2500)  # the other words meet their counts by a join
+    models, learned, train, vocabulary = [], [], hmm.train, hmm.vocabulary
+    monkeypatch.setattr(hmm, "train", lambda *a, **k: models.append(train(*a, **k)) or models[-1])
+    monkeypatch.setattr(hmm, "vocabulary", lambda *a: learned.append(vocabulary(*a)) or learned[-1])
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"É{min(int(rng.expovariate(0.001)), 3999)}" for _ in range(rng.randint(0, 700)))) for i in range(60)]
+    rows += [(300, "never seen É1"), (301, None)]
+    got = {r.doc_id: r.score for r in hmm.score(make_docs(rows), F.col("doc_id") >= 300).collect()}
+    (m,), (v,) = models, learned
+    counts = Counter(w.encode() for i, t in rows if i < 300 for w in plain_words(t))
+    assert len(counts) > 2600
+    first = v.words.split(b" ")[:2000]
+    assert min(counts[w] for w in first) >= max(c for w, c in counts.items() if w not in v.words.split(b" "))
+    first = {w: n for n, w in enumerate(first)}
+    tokens, distinct = Counter(), Counter()
+    for w, c in counts.items():
+        if w not in first:
+            tokens[hmm.word_class(w)] += c
+            distinct[hmm.word_class(w)] += 1
+    for i, text in rows:
+        want, a = 0.0, m.start.astype(float)
+        for n, w in enumerate([*(x.encode() for x in plain_words(text)), None]):
+            k = hmm.word_class(w) if w else 0
+            symbol = hmm.END if w is None else first.get(w, 2000 + k)
+            if 2000 <= symbol < hmm.END:
+                want += math.log10((counts[w] + 0.1) / (tokens[k] + 0.1 * (distinct[k] + 1)))
+            a = (a if n == 0 else a @ m.move.astype(float)) * m.emit[symbol].astype(float)
+            want += math.log10(a.sum())
+            a = a / a.sum()
+        assert abs(got[i] - want) < 1e-4 * max(1, abs(want))
+
+
+@pytest.mark.parametrize("doc_id", [1, 5])
+def test_equal_rows_are_learned_from(spark, make_docs, monkeypatch, doc_id):
+    updates, source = [], hmm.updated
+    monkeypatch.setattr(hmm, "updated", lambda *a: updates.append(1) or source(*a))
+    docs = spark.range(5000).selectExpr(f"cast({doc_id} as long) as doc_id", "'the same few words' as text")
+    got = hmm.score(docs, F.lit(False))
+    assert got.count() == 5000 and len(updates) > hmm.SAMPLE_ROUNDS
+
+
+def test_the_head_is_filled_from_a_bucket_that_does_not_fit(spark, monkeypatch):
+    monkeypatch.setattr(hmm, "HEAD", 300)
+    counts = spark.range(2000).selectExpr("cast(concat('w', id) as binary) as word", "cast(id % 256 as int) as class", "if(id < 10, 50L, 7L) as n")
+    v = hmm.vocabulary(counts, 5)
+    words = v.words.split(b" ")
+    assert 200 < len(words) <= 330 and {f"w{i}".encode() for i in range(10)} == set(words[:10])
+
+
 def test_empty_table_and_nothing_to_learn_from(make_docs):
     assert hmm.score(make_docs([(1, "a")]).limit(0), F.lit(False)).collect() == []
     (row,) = hmm.score(make_docs([(1, "a b")]), F.lit(True)).collect()
