@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -34,30 +36,91 @@ def test_null_empty_letterless_long_and_repeated(spark, trained):
     assert {r.lang_pred for r in language.predict(docs, None).collect()} == {"und"}
 
 
-def test_pooling_is_the_mean_over_positions(trained):
+def plain_probabilities(m, data):
+    """One byte at a time, in plain arithmetic: each block's bytes with their context, all labels, their mean."""
+    k, h = len(m.languages), m.gate.shape[1]
+    total = [0.0] * k
+    for start in range(0, len(data), language.BLOCK):
+        places = range(start - language.CONTEXT, start + language.BLOCK + language.CONTEXT)
+        x = [data[i] if 0 <= i < len(data) else 32 for i in places]
+        states = []
+        for d in range(2):
+            s, out = [0.0] * h, []
+            for byte in x if d == 0 else x[::-1]:
+                table = [float(z) for z in m.tables[d, byte]]
+                f = [1 / (1 + math.exp(-(table[j] + sum(s[i] * float(m.gate[d, i, j]) for i in range(h))))) for j in range(h)]
+                c = [math.tanh(table[h + j] + sum(f[i] * s[i] * float(m.candidate[d, i, j]) for i in range(h))) for j in range(h)]
+                s = [(1 - f[j]) * s[j] + f[j] * c[j] for j in range(h)]
+                out.append(s)
+            states.append(out if d == 0 else out[::-1])
+        for t in range(language.CONTEXT, language.CONTEXT + min(language.BLOCK, len(data) - start)):
+            both = states[0][t] + states[1][t] + [1.0]
+            z = [sum(v * float(m.head[i, j]) for i, v in enumerate(both)) for j in range(k)]
+            e = [math.exp(v - max(z)) for v in z]
+            total = [a + b / sum(e) for a, b in zip(total, e)]
+    return [a / max(1, len(data)) for a in total]
+
+
+def test_against_a_plain_forward_pass(trained):
     _, model = trained
-    text = np.frombuffer(("nicht über " * 2000).encode() + b"the", np.uint8)
-    bounds = np.array([0, 5, 5, 10_000, len(text)])
-    pooled = language.probabilities(model, text, bounds[:-1], bounds[1:])
-    for i, (s, e) in enumerate(zip(bounds[:-1], bounds[1:])):
-        if s == e:
-            assert not pooled[i].any()
-            continue
-        blocks, _, used = language.cut(text, np.array([s]), np.array([e]))
-        z = language._labels(model, language._run(model, np.ascontiguousarray(blocks.T))[0])
-        want = sum(z[:u, j].sum(axis=0, dtype=float) for j, u in enumerate(used)) / (e - s)
-        np.testing.assert_allclose(pooled[i], want, atol=1e-4)
-
-
-def test_gradient_matches_finite_differences(monkeypatch):
-    """One training step moves along the loss's slope: the loss falls from step to step."""
+    texts = ["über nicht the", "", "élan avec " * 60, "a" * 128, "the of " * 19 + "xyz", "q"]
+    data = "".join(texts).encode()
+    ends = np.cumsum([len(t.encode()) for t in texts])
+    starts = ends - [len(t.encode()) for t in texts]
+    got = language.probabilities(model, np.frombuffer(data, np.uint8), starts, ends)
+    for row, text in zip(got, texts):
+        np.testing.assert_allclose(row, plain_probabilities(model, text.encode()), atol=2e-4)
+
+
+def test_every_gradient_matches_finite_differences(monkeypatch):
+    monkeypatch.setattr(language, "CONTEXT", 3)
     rng = np.random.default_rng(0)
-    blocks = np.concatenate([rng.integers(97, 103, (40, 24)), rng.integers(104, 110, (40, 24))]).astype(np.uint8)
+    h, names = 3, ["a", "b", "c", "d"]
+    p = [rng.normal(0, 0.5, n) for n in ((2, 256, 2 * h), (2, h, h), (2, h, h), (2 * h + 1, len(names)))]
+    x, y = rng.integers(97, 100, (11, 5)).astype(np.uint8), rng.integers(0, 4, 5)
+    _, grads = language.gradients(p, names, x, y)
+    for group, (a, g) in enumerate(zip(p, grads)):
+        places = [i for i in np.ndindex(a.shape) if group or i[1] in (97, 98, 99)]
+        for i in places:
+            held, losses = a[i], []
+            for step in (1e-5, -1e-5):
+                a[i] = held + step
+                losses.append(language.gradients(p, names, x, y)[0])
+            a[i] = held
+            assert abs((losses[0] - losses[1]) / 2e-5 - g[i]) < 1e-7 + 1e-4 * abs(g[i])
+
+
+def test_the_loss_falls():
+    rng = np.random.default_rng(0)
+    blocks = np.concatenate([rng.integers(97, 103, (40, language.WIDTH)), rng.integers(104, 110, (40, language.WIDTH))]).astype(np.uint8)
     target = np.repeat([0, 1], 40)
 
     def loss(m):
-        z = language._labels(m, language._run(m, np.ascontiguousarray(blocks.T))[0])
-        return -np.log(z[:, np.arange(80), target]).mean()
+        return language.gradients([m.tables, m.gate, m.candidate, m.head], ["a", "b"], np.ascontiguousarray(blocks.T), target)[0]
 
     losses = [loss(language.fit(blocks, target, ["a", "b"], steps=n)) for n in (1, 30, 100)]
     assert losses[0] > losses[1] > losses[2] and losses[2] < 0.1
+
+
+def test_more_languages_than_any_bound_of_theirs(spark):
+    """Seventy languages, each with letters of its own, the rarest with two texts: all are learned and told apart."""
+    rows = []
+    for i in range(70):
+        letters = chr(0x4E00 + 64 * i) + chr(0x4E00 + 64 * i + 1) + " "
+        rows += [(1000 * i + j, letters * (40 + j), f"l{i:02}") for j in range(2 if i % 2 else 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(df, F.lit(True))
+    assert len(model.languages) == 70 and model.least_score < 0.02
+    got = language.predict(df, model).collect()
+    assert sum(r.lang == r.lang_pred for r in got) > 0.9 * len(got)
+    right = [r for r in got if r.lang == r.lang_pred]
+    assert all(r.score >= model.least_score for r in right)
+
+
+def test_names_that_clash_pass_or_are_replaced(spark, trained):
+    _, model = trained
+    docs = spark.createDataFrame([(1, "the of", 2, "x", "y")], "doc_id long, text string, Score int, utf8 string, __row string")
+    got = language.predict(docs, model)
+    assert got.columns == ["doc_id", "text", "utf8", "__row", "lang_pred", "score"]
+    (r,) = got.collect()
+    assert (r.utf8, r["__row"], r.lang_pred) == ("x", "y", "aa")
