@@ -13,18 +13,17 @@ from pyspark.sql import functions as F
 from corpuslake.llm import contamination, language, near_copies, packing, secrets
 from corpuslake.llm.common import stored, table, text_key
 
-#: A text whose language the network is less sure of than this is no text of any; of four, a guess has 0.25.
-LEAST_SCORE = 0.3
-
-
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the network, trained on docs' own labels, recognises.
 
-    Null, blank and letterless texts go, and those it gives no language LEAST_SCORE.
+    Null, blank and letterless texts go, and those whose best language is hardly likelier than a
+    guess among all (language.TIMES_CHANCE). Repeated rows share their fate; without a labelled
+    row nothing is known and all go.
     """
     model = language.train(docs, F.lit(True))
     found = language.predict(docs, model)
-    return found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    least = model.least_score if model else 1.0
+    return found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
