@@ -63,7 +63,10 @@ b AS (
     + CASE WHEN n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 15 * n_words) THEN 16 ELSE 0 END
     + CASE WHEN 3 * n_capitals > word_chars THEN 32 ELSE 0 END AS BIGINT) AS failed_rules
   FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed_rules & 3) <> 0 AS base_failed, failed_rules = 0 AS kept, failed_rules FROM b
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed_rules & 3) <> 0 AS base_failed, failed_rules = 0 AS kept, failed_rules,
+  CASE failed_rules WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeated_words' WHEN 4 THEN 'symbols' WHEN 8 THEN 'duplicate_lines'
+    WHEN 16 THEN 'short_or_long_words' WHEN 32 THEN 'shouting' END AS only_rule
+FROM b
 """
 
 OP9 = r"""
@@ -120,12 +123,12 @@ WITH u AS (
     regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(coalesce(url, ''), '\?([^#]*)', 1) AS q FROM pages),
 t AS (
   SELECT *, list_distinct(list_concat(
-    list_transform(list_slice(list_reverse(string_split(host, '.')), 1, 4), lambda x, i: concat('h', i - 1, '=', x)),
-    list_transform(list_slice(list_filter(string_split(path, '/'), lambda x: x <> ''), 1, 4), lambda x, i: concat('p', i - 1, '=', x)),
-    list_transform(list_slice(list_filter(list_transform(regexp_split_to_array(q, '[&;]'), lambda x: regexp_extract(x, '^([^=]*)', 1)), lambda x: x <> ''), 1, 4), lambda x: concat('q=', x)))) AS tokens
+    list_transform(list_reverse(string_split(host, '.')), lambda x, i: concat('h', i - 1, '=', x)),
+    list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x, i: concat('p', i - 1, '=', x)),
+    list_transform(list_filter(list_transform(regexp_split_to_array(q, '[&;]'), lambda x: regexp_extract(x, '^([^=]*)', 1)), lambda x: x <> ''), lambda x: concat('q=', x)))) AS tokens
   FROM u),
 l AS (SELECT doc_id, bool_or(coalesce(toxic, 0) = 1 OR coalesce(quality, 1) = 0) AS bad FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL GROUP BY doc_id),
-s AS (SELECT tokens, bad FROM t JOIN l ON page_id = doc_id),
+s AS (SELECT tokens, bad FROM t JOIN l ON TRY_CAST(nullif(regexp_extract(path, '([0-9]+)(?:\.[A-Za-z0-9]+)?/?$', 1), '') AS BIGINT) = doc_id),
 n AS (SELECT count(*) AS n, count(*) FILTER (bad) AS b FROM s),
 m AS (SELECT tokens, bad, unnest(range(1, CAST(power(2, len(tokens)) AS BIGINT))) AS m FROM s),
 c AS (SELECT list_sort(list_filter(tokens, lambda x, i: (m >> (i - 1)) % 2 = 1)) AS a, bad FROM m),

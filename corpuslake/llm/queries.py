@@ -36,6 +36,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (~passed).alias("base_failed"), quality.kept(quality.POLICIES["strict"]).alias("kept"), "failed_rules",
+        quality.only_rule(quality.POLICIES["strict"]).alias("only_rule"),
     )
 
 
@@ -45,7 +46,7 @@ def op4_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "labels"))
+    judged = url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "labels"), label_key=url_rules.numbered())
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 

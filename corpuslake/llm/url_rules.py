@@ -14,7 +14,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslake.llm.common import stored
+from corpuslake.llm.common import ROW, bounded, passed, passing, stored, unnamed
 
 #: (verdict, host, path), fixed.
 RULES = (
@@ -28,6 +28,8 @@ MIN_ROWS, MIN_SUPPORT, MIN_CONFIDENCE = 20, 1e-4, 0.75
 #: Mined rules are broadcast up to so many; beyond, Spark joins them as it sees fit.
 BROADCAST_RULES = 50_000
 BAD = "label=bad"
+#: Parts into which the rows of a url are dealt.
+SALTS = 16
 
 
 def host(url: str = "url") -> Column:
@@ -124,35 +126,42 @@ def matching(pages: DataFrame, rules: DataFrame) -> DataFrame:
     index = each.join(often, "token").groupBy("id").agg(
         F.min(F.struct("n", "token"))["token"].alias("token"), F.first("antecedent").alias("antecedent")
     )
-    small = rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
-    index = F.broadcast(index) if small else index
-    looked = pages.select("url", "tokens", F.explode("tokens").alias("token")).join(index, "token")
+    looked = pages.select("url", "tokens", F.explode("tokens").alias("token")).join(bounded(index, BROADCAST_RULES), "token")
     return looked.filter(F.size(F.array_except("antecedent", "tokens")) == 0).select("url").distinct()
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules=RULES, id_column: str = "page_id", **mining) -> DataFrame:
+def numbered(url: str = "url") -> Column:
+    """The number that ends a URL's path, an extension or a slash after it not counted; null if there is none."""
+    found = F.regexp_extract(path(url), r"([0-9]+)(?:\.[A-Za-z0-9]+)?/?$", 1)
+    return F.when(F.length(found).between(1, 18), found.cast("long"))
+
+
+def judge(pages: DataFrame, labels: DataFrame, rules=RULES, label_key: Column | None = None, **mining) -> DataFrame:
     """Every column of pages, and host, path, rule, verdict.
 
-    labels: doc_id (the page's id), quality, toxic; a page is bad if it is toxic or of
-    quality 0, and unlabelled if both are null. Null urls have empty host and path and no
-    tokens, so they are allowed. Repeated rows are judged each; an empty table gives no
-    rows, and without labels no rule is mined. Columns of these names are replaced.
+    labels: doc_id, quality, toxic; a page is bad if its document is toxic or of quality 0, and
+    unlabelled if both are null. label_key: the page's document, page_id unless given. Null
+    urls have empty host and path and no tokens, so they are allowed. Repeated rows are judged
+    each; an empty table gives no rows, and without labels no rule is mined. Columns of the four
+    names, in any case, are replaced; others pass through as they are.
     """
-    new = ("host", "path", "rule", "verdict")
-    rest = [c for c in pages.columns if c not in (*new, "__given", "tokens")]
-    parsed = pages.select(*rest, host().alias("host"), path().alias("path"))
+    names = unnamed(pages, "host", "path", "rule", "verdict")
+    key = F.col("page_id") if label_key is None else label_key
+    parsed = pages.select(passing(names), "url", key.alias("doc_id"), host().alias("host"), path().alias("path"))
     bad = (F.coalesce(F.col("toxic"), F.lit(0)) == 1) | (F.coalesce(F.col("quality"), F.lit(1)) == 0)
     truth = labels.filter("quality is not null or toxic is not null").groupBy("doc_id").agg(F.max(bad).alias("bad"))
-    seen = parsed.select(F.col(id_column).alias("doc_id"), tokens().alias("tokens")).join(truth, "doc_id")
+    seen = parsed.select("doc_id", tokens().alias("tokens")).join(truth, "doc_id")
     seen = stored(seen.select(F.monotonically_increasing_id().alias("row"), "tokens", "bad"), "url-labelled")
     found = stored(classes(seen, **{k: v for k, v in mining.items() if k != "min_confidence"}), "url-classes")
     mined = mine(by_class(seen, found, "row", "bad").select("tokens", "bad"), **mining)
-    out = parsed.withColumn("__given", given("host", "path", rules))
+    out = parsed.withColumn("given", given("host", "path", rules))
     if mined is None:
         blocked = F.lit(False)
     else:
-        hit = matching(by_class(parsed.select("url", tokens().alias("tokens")), found, "url"), pruned(mined))
-        out = out.join(hit.withColumn("__hit", F.lit(True)), "url", "left")
-        blocked = F.coalesce("__hit", F.lit(False))
-    verdict = F.coalesce(F.col("__given.verdict"), F.when(blocked, "block").otherwise("allow"))
-    return out.select(*rest, "host", "path", F.col("__given.rule").alias("rule"), verdict.alias("verdict"))
+        each = parsed.filter("url is not null").select("url", tokens().alias("tokens")).distinct()
+        hit = matching(by_class(each, found, "url"), pruned(mined)).select("url", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        # a url may be that of a third of all pages, or null: rows are dealt by what else is in them too
+        out = out.withColumn("salt", F.pmod(F.xxhash64(ROW), F.lit(SALTS)).cast("int")).join(hit.withColumn("hit", F.lit(True)), ["url", "salt"], "left")
+        blocked = F.coalesce("hit", F.lit(False))
+    verdict = F.coalesce(F.col("given.verdict"), F.when(blocked, "block").otherwise("allow"))
+    return out.select(*passed(names), "host", "path", F.col("given.rule").alias("rule"), verdict.alias("verdict"))

@@ -58,3 +58,7 @@ def test_ledger_policies_and_ablation(make_docs):
     want = {rule: (sum(bool(v & b[rule]) for v in bits.values()), sum(v == b[rule] for v in bits.values())) for rule in strict.rules}
     assert got == want
     assert quality.measure(make_docs(rows).limit(0)).collect() == []
+    first = quality.VERSIONS["strict", 1]
+    assert {r.doc_id for r in book.filter(quality.kept(first)).collect()} == {1, 4} and strict.version == 2
+    alone = {r.doc_id: r.o for r in book.select("doc_id", quality.only_rule(strict).alias("o")).collect()}
+    assert alone == {1: None, 2: "few_words", 3: None, 4: "shouting", 5: "symbols", 6: "few_words"}

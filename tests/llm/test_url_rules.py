@@ -80,3 +80,15 @@ def test_tokens_past_the_fourth_are_mined_and_matched(spark):
     truth = spark.createDataFrame([(i, int(u in good), 0) for i, u in rows], "doc_id long, quality int, toxic int")
     got = {r.url: r.verdict for r in url_rules.judge(pages, truth).collect()}
     assert got == {u: "allow" for u in good} | {u: "block" for u in bad}
+
+
+def test_null_and_repeated_urls_and_the_key_of_labels(spark):
+    pages = spark.createDataFrame([(i, None) for i in range(500)] + [(1000 + i, "http://bad.info/x/77.html") for i in range(500)] + [(5000 + i, "http://fine.info/x/78/") for i in range(400)], "page_id long, url string")
+    truth = spark.createDataFrame([(77, 0, None), (78, 1, 0)], "doc_id long, quality int, toxic int")
+    got = url_rules.judge(pages, truth, label_key=url_rules.numbered())
+    assert {(r.url, r.verdict): r["count"] for r in got.groupBy("url", "verdict").count().collect()} == {
+        (None, "allow"): 500, ("http://bad.info/x/77.html", "block"): 500, ("http://fine.info/x/78/", "allow"): 400
+    }
+    urls = ["http://a.b/en/12", "http://a.b/12.html?x=3", "http://a.b/x12/", "http://a.b/12/x", "http://a.b/" + "9" * 30, None]
+    numbers = [r.n for r in spark.createDataFrame([(u,) for u in urls], "url string").select(url_rules.numbered().alias("n")).collect()]
+    assert numbers == [12, 12, 12, None, None, None]
