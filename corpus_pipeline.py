@@ -7,11 +7,16 @@ documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslake.llm import contamination, language, near_copies, packing, secrets
-from corpuslake.llm.common import stored, table, text_key
+from corpuslake.llm.common import ROW, passed, passing, stored, table, text_key
+
+def wrapped(docs: DataFrame, *needed: str | Column) -> DataFrame:
+    """All columns of docs in one, so that no name of theirs meets an operator's, and those that it reads."""
+    return docs.select(passing(docs.columns), *needed)
+
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the network, trained on docs' own labels, recognises.
@@ -21,9 +26,9 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     row nothing is known and all go.
     """
     model = language.train(docs, F.lit(True))
-    found = language.predict(docs, model)
+    found = language.predict(wrapped(docs, "text"), model)
     least = model.least_score if model else 1.0
-    return found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
+    return found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= least)).select(*passed(docs.columns))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +38,9 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     not the text go or stay together.
     """
     stay = near_copies.representatives(docs.select("doc_id", "text"))
-    keyed = docs.withColumn("__text", text_key("text"))
-    once = keyed.join(stay.select(F.col("doc_id").alias("__stay")), F.col("doc_id").eqNullSafe(F.col("__stay")), "left_semi")
-    return once.dropDuplicates(["doc_id", "__text"]).select(*docs.columns)
+    keyed = wrapped(docs, "doc_id", text_key("text").alias("text_key"))
+    once = keyed.join(stay.select(F.col("doc_id").alias("stay")), F.col("doc_id").eqNullSafe(F.col("stay")), "left_semi")
+    return once.dropDuplicates(["doc_id", "text_key"]).select(*passed(docs.columns))
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +50,8 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     empty the corpus. Null and blank texts stay, repeated rows share their fate, an empty benchmark
     drops nothing.
     """
-    found = contamination.contamination(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
-    return found.filter(~F.col("contaminated") & ~F.col("whole_window")).select(*docs.columns)
+    found = contamination.contamination(wrapped(docs, "doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return found.filter(~F.col("contaminated") & ~F.col("whole_window")).select(*passed(docs.columns))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,15 +59,16 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Null texts and those without a span stay as they are; repeated rows are cleaned each.
     """
-    found = secrets.scan(docs, with_text=True).select("*", F.concat("base", "added").alias("__spans"))
-    clean = found.withColumn("__clean", F.when(F.size("__spans") > 0, secrets.redact("text", F.col("__spans"))).otherwise(F.col("text")))
-    n_chars = F.when(F.size("__spans") > 0, F.length("__clean").cast("long")).otherwise(F.col("n_chars"))
-    changed = {"text": F.col("__clean"), "n_chars": n_chars}
-    return clean.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
+    found = secrets.scan(wrapped(docs, "doc_id", "source", "text"), with_text=True)
+    marked = found.select(ROW, "text", F.concat("base", "added").alias("spans"))
+    clean = marked.withColumn("clean", F.when(F.size("spans") > 0, secrets.redact("text", F.col("spans"))).otherwise(F.col("text")))
+    n_chars = F.when(F.size("spans") > 0, F.length("clean").cast("long")).otherwise(F.col(ROW).getField("n_chars"))
+    changed = {"text": F.col("clean"), "n_chars": n_chars}
+    return clean.select(*[changed[c].alias(c) if c in changed else F.col(ROW).getField(c).alias(c) for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' tokens in sequences: one row for each piece."""
+    """The documents' tokens in sequences: one row for each piece. A null text is its end alone; repeated rows are packed each."""
     import public_tokenizers
 
     found = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
