@@ -11,9 +11,10 @@ of each link:
 2. Fingerprints are compared tile by tile with numpy's exclusive-or and bit counts. Tile pairs whose
    population counts differ beyond the radius are skipped, and those whose sizes forbid 0.8. Each
    tile pair gives a spanning forest of what it links, never all pairs of a group.
-3. Each link is checked on the sets themselves (of 64-bit hashes). Where a link fails, the
-   fingerprints of the group that it held together are compared again, and every pair across the
-   parts is checked.
+3. What such links hold together is a group, outside of which no text has a near copy. Inside
+   it the sets themselves (of 64-bit hashes) are compared, block by block: a block of a large group meets each of
+   the others in a task of its own. Only pairs whose fingerprints are near and that no link joins so far
+   are looked at, and each pair of blocks gives a spanning forest of its links.
 
 A link inside a component adds nothing, so this finds the components of all links.
 """
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslake.llm.common import blob, bounded, forget, stored, text_batches, text_key
+from corpuslake.llm.common import blob, bounded, stored, text_batches, text_key
 from corpuslake.llm.simhash import components
 
 SHINGLE_WORDS = 5
@@ -40,8 +41,12 @@ BITS, RADIUS = 128, 36
 LEAST_SET = ALIKE[0] // (ALIKE[1] - ALIKE[0])
 #: Fingerprints of one tile at most: 0.9 MB with sizes and nodes.
 TILE = 32768
+#: Parts at least into which fingerprints of one size are dealt to be tiled; more from 64 tiles a part on.
+SALTS = 4
 #: Elements of one comparison.
 STEP = 1 << 21
+#: Shingles of one block of a group, about: 8 MB.
+BLOCK_SHINGLES = 1 << 20
 #: Nodes whose texts are read again are broadcast up to so many (some 20 MB); beyond, they are joined by a shuffle.
 BROADCAST_NODES = 500_000
 _RNG = np.random.default_rng(42)
@@ -79,12 +84,6 @@ def fingerprint(found: np.ndarray) -> np.ndarray:
     return np.packbits(2 * bits > len(found), bitorder="little").view(np.uint64)
 
 
-def alike(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sorted sets have at least the least similarity; two empty ones have."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both * ALIKE[1] >= ALIKE[0] * (len(a) + len(b) - both)
-
-
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         nodes, sizes, prints = [], [], []
@@ -102,19 +101,20 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets of texts in place of the texts; of a repeated row's node only the task's first."""
+    seen: set[int] = set()
     for b in batches:
+        fresh = []
+        for node in b.column("node").to_pylist():
+            fresh.append(node not in seen)
+            seen.add(node)
+        b = b.filter(pa.array(fresh, pa.bool_()))
         found = [shingles(t).tobytes() for t in blob(b.column("text"))]
-        yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(found, pa.binary())], names=["node", "set"])
-
-
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        sets = zip(blob(b.column("x")), blob(b.column("y")))
-        good = [alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in sets]
-        yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v"), pa.array(good, pa.bool_())], names=["u", "v", "good"])
+        names = [n for n in b.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(found, pa.binary())], names=[*names, "set"])
 
 
-_COLUMNS = ("a", "b", "node", "part", "root", "n")
+_COLUMNS = ("a", "b", "node", "n")
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,11 +157,8 @@ def _tile(row: dict) -> dict[str, np.ndarray]:
     return found | {c: found[c].view(np.uint64) for c in ("a", "b")}
 
 
-def _near(x: dict, y: dict, same: bool, inside: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Places p in x and q in y that may be alike, and their distances, nearest first, some at a time.
-
-    With inside only pairs of one part with different roots.
-    """
+def _near(x: dict, y: dict, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places p in x and q in y that may be alike, nearest first, some at a time."""
     m = len(y["a"])
     step = max(1, STEP // m)
     for i in range(0, len(x["a"]), step):
@@ -175,10 +172,8 @@ def _near(x: dict, y: dict, same: bool, inside: bool) -> Iterator[tuple[np.ndarr
         keep = small * ALIKE[1] >= large * ALIKE[0]
         if same:
             keep &= p < q
-        if inside:
-            keep &= (x["part"][p] == y["part"][q]) & (x["root"][p] != y["root"][q])
         order = np.argsort(d[keep], kind="stable")
-        yield p[keep][order], q[keep][order], d[keep][order]
+        yield p[keep][order], q[keep][order]
 
 
 def forest(x: dict, y: dict, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -186,7 +181,7 @@ def forest(x: dict, y: dict, same: bool) -> tuple[np.ndarray, np.ndarray]:
     n = len(x["node"])
     label = np.arange(n if same else n + len(y["node"]))
     us, vs = [], []
-    for p, q, _ in _near(x, y, same, False):
+    for p, q in _near(x, y, same):
         at = q if same else q + n
         while True:
             low, high = np.minimum(label[p], label[at]), np.maximum(label[p], label[at])
@@ -205,42 +200,96 @@ def forest(x: dict, y: dict, same: bool) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate(z) if z else np.zeros(0, np.int64) for z in (us, vs))
 
 
-def crossing(x: dict, y: dict, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes of all pairs that may be alike, in one part, with different roots."""
-    found = [(x["node"][p], y["node"][q]) for p, q, _ in _near(x, y, same, True)]
-    return tuple(np.concatenate(z) if z else np.zeros(0, np.int64) for z in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+def checked(x: dict, y: dict, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of links that span what is alike in two blocks of one group (a, b, node, n, and sets).
+
+    A set's shingles get numbers; one set at a time is marked, and the marks in the sets that it
+    may be like are counted.
+    """
+    sides = [x] if same else [x, y]
+    sizes = np.concatenate([z["n"] for z in sides]).astype(np.int64)
+    distinct, number = np.unique(np.concatenate([h for z in sides for h in z["sets"]]), return_inverse=True)
+    ends = np.cumsum(sizes)
+    mark = np.zeros(len(distinct), bool)
+    n = len(x["node"])
+    shift = 0 if same else n
+    nodes = np.concatenate([z["node"] for z in sides])
+    label = np.arange(len(nodes))
+    us, vs = [], []
+    for p, q in _near(x, y, same):
+        order = np.argsort(p, kind="stable")
+        rows, first = np.unique(p[order], return_index=True)
+        for i, others in zip(rows.tolist(), np.split(q[order] + shift, first[1:])):
+            others = others[label[others] != label[i]]
+            if not len(others):
+                continue
+            own = number[ends[i] - sizes[i] : ends[i]]
+            mark[own] = True
+            if 8 * len(others) > len(nodes):
+                both = np.add.reduceat(mark[number], ends - sizes, dtype=np.int64)[others]
+            else:
+                both = np.array([np.count_nonzero(mark[number[ends[j] - sizes[j] : ends[j]]]) for j in others.tolist()])
+            mark[own] = False
+            good = both * ALIKE[1] >= ALIKE[0] * (sizes[i] + sizes[others] - both)
+            for j in others[good].tolist():
+                if label[j] != label[i]:
+                    us.append(nodes[i])
+                    vs.append(nodes[j])
+                    label[label == label[j]] = label[i]
+    return np.array(us, np.int64), np.array(vs, np.int64)
+
+
+def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (part, x, y, side): a pair's two blocks follow one another; a block with itself comes once."""
+
+    def links(held: list[dict]) -> pa.RecordBatch:
+        blocks = []
+        for side in (0, 1):
+            rows = {r["node"]: r for r in held if r["side"] == side}.values()  # a repeated row's node once
+            columns = {c: np.array([r[c] for r in rows], np.int64) for c in _COLUMNS}
+            sets = [np.frombuffer(r["set"], np.uint64) for r in rows]
+            blocks.append(columns | {c: columns[c].view(np.uint64) for c in ("a", "b")} | {"sets": sets})
+        x, y = blocks
+        same = held[0]["x"] == held[0]["y"]
+        u, v = checked(x, x if same else y, same) if len(x["node"]) and (same or len(y["node"])) else (np.zeros(0, np.int64),) * 2
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+
+    held: list[dict] = []
+    for b in batches:
+        for row in b.to_pylist():
+            if held and (row["part"], row["x"], row["y"]) != tuple(held[0][c] for c in ("part", "x", "y")):
+                yield links(held)
+                held = []
+            held.append(row)
+    if held:
+        yield links(held)
 
 
-def _compare(pairs):
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (ta, tb, side): the two tiles of a pair follow one another; a tile with itself comes once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = None
-        for b in batches:
-            for row in b.to_pylist():
-                one = _tile(row)
-                if row["ta"] == row["tb"]:
-                    found = pairs(one, one, True)
-                elif row["side"] == 0:
-                    left = one
-                    continue
-                else:
-                    found = pairs(left, one, False)
-                u, v = found
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
-
-    return run
-
-
-def links(nodes: DataFrame, pairs) -> DataFrame:
-    """u, v of pairs (forest or crossing) over nodes (a, b, node, part, root, n)."""
+    left = None
+    for b in batches:
+        for row in b.to_pylist():
+            one = _tile(row)
+            if row["ta"] == row["tb"]:
+                u, v = forest(one, one, True)
+            elif row["side"] == 0:
+                left = one
+                continue
+            else:
+                u, v = forest(left, one, False)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """u, v: links that span what fingerprints link; nodes: a, b, node, n."""
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # sets that are alike have sizes of ratio 0.8, so equal or neighbouring keys
+    # sets that are alike have sizes of ratio 0.8, so equal or neighbouring keys; a key is dealt out by salt
     keyed = nodes.select(
         *_COLUMNS, F.floor(F.log("n") / math.log(1.26)).cast("long").alias("key"), (F.bit_count("a") + F.bit_count("b")).alias("ones"),
-        F.pmod(F.xxhash64("node"), F.lit(4)).alias("salt"),
+        F.pmod(F.xxhash64("node"), F.lit(max(SALTS, nodes.count() // (64 * TILE)))).alias("salt"),
     )
-    schema = "key long, tile long, low int, high int, a binary, b binary, node binary, part binary, root binary, n binary"
+    schema = "key long, tile long, low int, high int, a binary, b binary, node binary, n binary"
     tiles = stored(keyed.repartition(parts, "key", "salt").sortWithinPartitions("key", "ones").mapInArrow(_tiles, schema), "near-tiles")
     index = tiles.select("key", "tile", "low", "high")
     other = index.select(F.col("key").alias("k"), F.col("tile").alias("tb"), F.col("low").alias("lb"), F.col("high").alias("hb"))
@@ -250,12 +299,13 @@ def links(nodes: DataFrame, pairs) -> DataFrame:
     sides = near.select("ta", "tb", F.explode(F.expr("if(ta = tb, array(0), array(0, 1))")).alias("side"))
     placed = sides.withColumn("tile", F.when(F.col("side") == 0, F.col("ta")).otherwise(F.col("tb")))
     dealt = placed.join(tiles.drop("key", "low", "high"), "tile").repartition(parts, "ta", "tb").sortWithinPartitions("ta", "tb", "side")
-    return dealt.select("ta", "tb", "side", *_COLUMNS).mapInArrow(_compare(pairs), "u long, v long")
+    return dealt.select("ta", "tb", "side", *_COLUMNS).mapInArrow(_compare, "u long, v long")
 
 
 def rooted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(signatures, nodes): doc_id, node of each row; and node, first (its smallest doc_id), root (the component's smallest node)."""
     text_batches(docs.sparkSession)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", text_key("text").alias("text_key"), F.col("text").cast("binary").alias("text"))
     signatures = stored(keyed.mapInArrow(_signatures, f"doc_id {kind}, text_key long, node long, n int, a long, b long"), "near-signatures")
@@ -265,41 +315,21 @@ def rooted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         ),
         "near-nodes",
     )
-    sized = nodes.filter(F.col("n") >= LEAST_SET).select("a", "b", "node", "n")
-    found = stored(links(sized.withColumns({"part": F.lit(0).cast("long"), "root": F.lit(0).cast("long")}), forest).distinct(), "near-links")
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        """pairs with good: whether their sets are alike. One text of each node is read again."""
-        some = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        wanted = stored(nodes.join(some, "node", "left_semi").select("at", "node"), "near-wanted")
-        where = bounded(wanted, BROADCAST_NODES)
-        texts = keyed.join(where, F.struct("doc_id", "text_key").eqNullSafe(F.col("at"))).select("node", "text")
-        sets = stored(texts.mapInArrow(_sets, "node long, set binary").dropDuplicates(["node"]), "near-sets")
-        x = sets.select(F.col("node").alias("u"), F.col("set").alias("x"))
-        y = sets.select(F.col("node").alias("v"), F.col("set").alias("y"))
-        judged = stored(pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(_verify, "u long, v long, good boolean"), "near-judged")
-        forget(wanted, sets)
-        return judged
-
-    judged = checked(found)
-    roots = components(judged.filter("good"))
-    failed = judged.filter("not good")
-    if not failed.isEmpty():
-        # groups that a failed link held together: their parts are compared with each other
-        whole = components(judged)
-        parts = stored(
-            whole.join(roots.withColumnRenamed("root", "good_root"), "node", "left")
-            .select("node", F.col("root").alias("part"), F.coalesce("good_root", "node").alias("root")),
-            "near-parts",
-        )
-        mixed = parts.groupBy("part").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("part")
-        again = stored(links(sized.join(parts.join(mixed, "part", "left_semi"), "node"), crossing).distinct(), "near-crossing")
-        more = checked(again.join(judged.select("u", "v"), ["u", "v"], "left_anti")).filter("good")
-        u = parts.select(F.col("node").alias("u"), F.col("root").alias("ru"))
-        v = parts.select(F.col("node").alias("v"), F.col("root").alias("rv"))
-        merged = components(more.join(u, "u").join(v, "v").select(F.col("ru").alias("u"), F.col("rv").alias("v")))
-        top = merged.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        roots = parts.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    groups = components(candidates(nodes.filter(F.col("n") >= LEAST_SET).select(*_COLUMNS)))
+    # the texts of groups are read again, one of each node, and their sets dealt out by group and pair of blocks
+    members = groups.select("node", F.col("root").alias("part")).join(nodes, "node")
+    blocks = members.groupBy("part").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    wanted = stored(members.join(blocks, "part").select("at", "part", "blocks", *_COLUMNS), "near-wanted")
+    texts = keyed.join(bounded(wanted, BROADCAST_NODES), F.struct("doc_id", "text_key").eqNullSafe(F.col("at")))
+    sets = texts.select("part", "blocks", *_COLUMNS, "text").mapInArrow(_sets, "part long, blocks int, a long, b long, node long, n int, set binary")
+    own = sets.withColumn("t", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    pair = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda j: F.struct(F.least("t", j).alias("x"), F.greatest("t", j).alias("y"), (F.col("t") > j).cast("int").alias("side")),
+    )
+    dealt = own.withColumn("pair", F.explode(pair)).select("part", "pair.x", "pair.y", "pair.side", *_COLUMNS, "set")
+    links = dealt.repartition(parts, "part", "x", "y").sortWithinPartitions("part", "x", "y", "side").mapInArrow(_check, "u long, v long")
+    roots = components(links)
     return signatures, nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
 
 
