@@ -11,7 +11,7 @@ from corpuslake.plans.storage import forget, stored
 __all__ = ["NULL_ID", "ROW", "blob", "bounded", "forget", "id_key", "passed", "passing", "stored", "table", "text_batches", "text_key", "unnamed"]
 
 #: Bytes of an Arrow batch that carries whole texts; bounds a Python worker's memory.
-TEXT_BATCH_BYTES = 16 << 20
+TEXT_BATCH_BYTES = 4 << 20
 
 #: A null id sorts before every other one.
 NULL_ID = -(2**63)

@@ -16,15 +16,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslake.llm.common import ROW, passed, passing, text_batches, unnamed
+from corpuslake.llm.common import ROW, passing, quoted, text_batches, unnamed
 
 BLOCK, CONTEXT = 128, 32
 WIDTH = BLOCK + 2 * CONTEXT
-#: Numbers that a step's labels take; bounds a worker's memory to some 60 MB, for any number of languages.
-LABELS = 1 << 21
+#: Numbers that a step's labels take; bounds a worker's memory to some 40 MB, for any number of languages.
+LABELS = 1 << 20
 UNKNOWN = "und"
 #: The classifier is fitted on at most so many documents of each language and so many in all (one of
 #: each language at least), a stretch of each from a place that its hash sets, of at most so many characters
@@ -238,13 +239,13 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     text_batches(docs.sparkSession)
     names = unnamed(docs, "lang_pred", "score")
     has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    # a text without a letter goes as empty, and comes back as `und`
-    sent = docs.select(passing(names), F.when(has_letter, F.col("text").cast("string")).otherwise("").cast("binary").alias("utf8"))
-    schema = sent.select(ROW, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    # the text travels once, beside the other columns
+    sent = docs.select(passing(unnamed(docs.select(*map(quoted, names)), "text")), F.col("text").cast("string").alias("text"), has_letter.alias("has_letter"))
+    schema = sent.select(ROW, "text", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column("utf8").cast(pa.large_binary())
+            texts = pc.if_else(b.column("has_letter"), b.column("text"), "").cast(pa.large_binary())
             offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
             raw = texts.buffers()[2]
             data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(1, np.uint8)
@@ -257,7 +258,8 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 scores = np.where(some, pooled[np.arange(len(best)), best].clip(0, 1), 0.0)
                 found = [model.languages[i] if ok else UNKNOWN for i, ok in zip(best.tolist(), some.tolist())]
             yield pa.RecordBatch.from_arrays(
-                [b.column(ROW), pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[ROW, "lang_pred", "score"]
+                [b.column(ROW), b.column("text"), pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[ROW, "text", "lang_pred", "score"]
             )
 
-    return sent.mapInArrow(run, schema).select(*passed(names), "lang_pred", "score")
+    own = [F.col("text").alias(c) if c.lower() == "text" else F.col(ROW).getField(c).alias(c) for c in names]
+    return sent.mapInArrow(run, schema).select(*own, "lang_pred", "score")
