@@ -11,11 +11,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslake.llm import contamination, language, near_copies, packing, secrets
-from corpuslake.llm.common import ROW, passed, passing, stored, table, text_key
+from corpuslake.llm.common import ROW, passing, stored, table, text_key
 
-def wrapped(docs: DataFrame, *needed: str | Column) -> DataFrame:
-    """All columns of docs in one, so that no name of theirs meets an operator's, and those that it reads."""
-    return docs.select(passing(docs.columns), *needed)
+def wrapped(docs: DataFrame, *needed: str, **more: Column) -> DataFrame:
+    """The columns that an operator reads (needed, and more), and all others in one, so that no name of theirs meets its own."""
+    rest = [c for c in docs.columns if c not in needed]
+    return docs.select(passing(rest), *needed, *[c.alias(n) for n, c in more.items()])
+
+
+def unwrapped(docs: DataFrame, *needed: str, **changed: Column) -> list[Column]:
+    """The columns of docs again, some of them changed."""
+    found = {c: F.col(c) for c in needed} | changed
+    return [found[c].alias(c) if c in found else F.col(ROW).getField(c).alias(c) for c in docs.columns]
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +35,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = language.train(docs, F.lit(True))
     found = language.predict(wrapped(docs, "text"), model)
     least = model.least_score if model else 1.0
-    return found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= least)).select(*passed(docs.columns))
+    return found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= least)).select(*unwrapped(docs, "text"))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +45,9 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     not the text go or stay together.
     """
     stay = near_copies.representatives(docs.select("doc_id", "text"))
-    keyed = wrapped(docs, "doc_id", text_key("text").alias("text_key"))
+    keyed = wrapped(docs, "doc_id", text_key=text_key("text"))
     once = keyed.join(stay.select(F.col("doc_id").alias("stay")), F.col("doc_id").eqNullSafe(F.col("stay")), "left_semi")
-    return once.dropDuplicates(["doc_id", "text_key"]).select(*passed(docs.columns))
+    return once.dropDuplicates(["doc_id", "text_key"]).select(*unwrapped(docs, "doc_id"))
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +58,7 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     drops nothing.
     """
     found = contamination.contamination(wrapped(docs, "doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
-    return found.filter(~F.col("contaminated") & ~F.col("whole_window")).select(*passed(docs.columns))
+    return found.filter(~F.col("contaminated") & ~F.col("whole_window")).select(*unwrapped(docs, "doc_id", "text"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,12 +66,11 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Null texts and those without a span stay as they are; repeated rows are cleaned each.
     """
-    found = secrets.scan(wrapped(docs, "doc_id", "source", "text"), with_text=True)
-    marked = found.select(ROW, "text", F.concat("base", "added").alias("spans"))
+    found = secrets.scan(wrapped(docs, "doc_id", "source", "n_chars", "text"), with_text=True)
+    marked = found.withColumn("spans", F.concat("base", "added"))
     clean = marked.withColumn("clean", F.when(F.size("spans") > 0, secrets.redact("text", F.col("spans"))).otherwise(F.col("text")))
-    n_chars = F.when(F.size("spans") > 0, F.length("clean").cast("long")).otherwise(F.col(ROW).getField("n_chars"))
-    changed = {"text": F.col("clean"), "n_chars": n_chars}
-    return clean.select(*[changed[c].alias(c) if c in changed else F.col(ROW).getField(c).alias(c) for c in docs.columns])
+    n_chars = F.when(F.size("spans") > 0, F.length("clean").cast("long")).otherwise(F.col("n_chars"))
+    return clean.select(*unwrapped(docs, "doc_id", "source", text=F.col("clean"), n_chars=n_chars))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
