@@ -207,10 +207,6 @@ def main(argv: list[str] | None = None) -> int:
     a = parser.parse_args(argv)
     if getattr(a, "k", 1) is not None and getattr(a, "k", 1) < 1:
         parser.error("k must be 1 or more")
-    if a.command == "validate":
-        report = ground_truth.validate(a.directory)
-        print("\n".join(lines.validation_lines(report)))
-        return int(not report.ok)
     if a.command == "scaffold":
         from pathlib import Path
 
@@ -220,6 +216,10 @@ def main(argv: list[str] | None = None) -> int:
         Path(a.out).write_text(ground_truth.scaffold(json.loads(Path(a.artifact).read_text()), a.artifact), encoding="utf-8")
         return 0
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    if a.command == "validate":
+        report = ground_truth.validate(spark, a.directory)
+        print("\n".join(lines.validation_lines(report)))
+        return int(not report.ok)
     if a.command == "crawl":
         return crawl(spark, a.pages, a.out, a.at)
     if a.command == "load":

@@ -229,7 +229,7 @@ def test_ground_truth(spark, tmp_path):
     import yaml
 
     (tmp_path / "gt/b.yaml").write_text(yaml.safe_dump(good))
-    report = ground_truth.validate(tmp_path / "gt", tmp_path, lambda p: "2")
+    report = ground_truth.validate(spark, tmp_path / "gt", tmp_path, lambda p: "2")
     assert report.ok and report.pairs == 4 and [f.where for f in report.findings] == ["signals", "prospect.crawled_at"]
     bad = json.loads(json.dumps(good))
     bad["prospect"]["domain"] = "nodots"
@@ -238,7 +238,7 @@ def test_ground_truth(spark, tmp_path):
     bad["questions"][3]["source_urls"] = []
     (tmp_path / "gt/a.yaml").write_text(yaml.safe_dump(bad))
     (tmp_path / "gt/c.yaml").write_text("[1")
-    report = ground_truth.validate(tmp_path / "gt", tmp_path)
+    report = ground_truth.validate(spark, tmp_path / "gt", tmp_path)
     assert len(report.errors) == 1 + 2 + 4 + 1 + 1 and report.files == 3
     (tmp_path / "gt/c.yaml").unlink()
     assert ground_truth.read_pairs(spark, tmp_path / "gt").count() == 8
@@ -247,7 +247,7 @@ def test_ground_truth(spark, tmp_path):
     text = ground_truth.scaffold({"company_name": "C", "domain": "a.com", "crawled_at": "1", "documents": [{"kind": "website", "url": "u"}]}, "c.json")
     (tmp_path / "gt/a.yaml").unlink()
     (tmp_path / "gt/b.yaml").write_text(text)
-    report = ground_truth.validate(tmp_path / "gt", tmp_path)
+    report = ground_truth.validate(spark, tmp_path / "gt", tmp_path)
     assert report.ok and len(report.findings) > 8 and "#   u" in text
 
 
