@@ -173,7 +173,8 @@ def evaluate(spark: SparkSession, warehouse: str, directory: str, embedder=None,
     expected = scored.select(F.concat_ws(" ", "domain", "question_id").alias("query_id"), F.explode("source_urls").alias("url"))
     crawled = tables.documents.join(tenants.select(F.col("tenant").alias("prospect_id"), "domain"), "prospect_id").select("domain", F.col("source_url").alias("url"))
     runs = tables.crawl_runs.join(tenants.select(F.col("tenant").alias("prospect_id"), "domain"), "prospect_id").select(F.col("id").alias("crawl_run_id"), "domain", "started_at")
-    outcomes = tables.crawl_page_outcomes.join(runs, "crawl_run_id").groupBy("domain", "url").agg(F.max_by("outcome", "started_at").alias("outcome"))
+    named_outcomes = tables.crawl_page_outcomes.join(runs.select("crawl_run_id", "domain"), "crawl_run_id")
+    outcomes = evaluation.latest_outcomes(named_outcomes, tables.crawl_runs, ["domain", "url"])
     wanted = pairs.filter(F.col("status") == evaluation.SCORED).select("domain", F.explode("source_urls").alias("url")).distinct()
     facts = tenants.select("domain", *[F.col(f"signals.{f}").alias(f) for f in evaluation.COMPARED])
     return {

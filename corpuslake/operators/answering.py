@@ -100,6 +100,16 @@ def messages(question: str, context: str, question_id: str | None = None) -> lis
     return [{"role": "system", "content": SYSTEM + extra}, {"role": "user", "content": f"{context}\n\n{counts}QUESTION: {question}"}]
 
 
+def message_columns(question: Column, context: Column, question_id: Column) -> Column:
+    """messages() of a row: an array of struct(role, content)."""
+    suggests = F.when(question_id.eqNullSafe(F.lit(SUGGESTION_ID)), messages("", "", SUGGESTION_ID)[0]["content"]).otherwise(SYSTEM)
+    scope = F.create_map(*[F.lit(x) for pair in SCOPE.items() for x in pair])[F.coalesce(question_id, F.lit(""))]
+    counts = F.coalesce(F.concat(F.lit("WHAT COUNTS AS AN ANSWER: "), scope, F.lit("\n\n")), F.lit(""))
+    user = F.concat(context, F.lit("\n\n"), counts, F.lit("QUESTION: "), question)
+    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    return F.array(message("system", suggests), message("user", user))
+
+
 class Generator(Protocol):
     name: str
     load_seconds: float

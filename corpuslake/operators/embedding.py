@@ -14,7 +14,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_INPUTS, MAX_TOKENS = 64, 100_000
@@ -109,7 +109,7 @@ def is_retryable(error: Exception) -> bool:
     return status in RETRYABLE if status is not None else isinstance(error, (ConnectionError, TimeoutError))
 
 
-def with_retry(call: Callable[[], list], attempts: int = ATTEMPTS, sleep=time.sleep, jitter=random.random) -> list:
+def with_retry(call: Callable[[], list], attempts: int = ATTEMPTS, sleep=time.sleep, jitter=random.random, pause: float = BASE_SECONDS) -> list:
     """call(), again after a growing pause while its error is a passing one."""
     for n in range(attempts):
         try:
@@ -117,11 +117,17 @@ def with_retry(call: Callable[[], list], attempts: int = ATTEMPTS, sleep=time.sl
         except Exception as error:
             if n + 1 == attempts or not is_retryable(error):
                 raise EmbeddingFailed(str(error)) from error
-            sleep(BASE_SECONDS * 2**n * (0.5 + jitter()))
+            sleep(pause * 2**n * (0.5 + jitter()))
     raise AssertionError
 
 
-def embed(pending: DataFrame, embedder: Embedder, key: str = "id", text: str = "content", tokens: str = "token_count") -> DataFrame:
+def cost_column(model: Column, tokens: Column) -> Column:
+    """The price of so many tokens; null for a model that has none."""
+    prices = F.create_map(*[F.lit(x) for pair in HOSTED.items() for x in pair])
+    return tokens / 1e6 * prices[model]
+
+
+def embed(pending: DataFrame, embedder: Embedder, key: str = "id", text: str = "content", tokens: str = "token_count", pause: float = BASE_SECONDS) -> DataFrame:
     """key, embedding, embedding_model of pending chunks; a wrong count or size of vectors is an error."""
     kind = pending.schema[key].dataType.simpleString()
 
@@ -130,7 +136,7 @@ def embed(pending: DataFrame, embedder: Embedder, key: str = "id", text: str = "
             texts, sizes = b.column(text).to_pylist(), [n or 0 for n in b.column(tokens).to_pylist()]
             found: list[list[float]] = []
             for start, end in plan_batches(sizes):
-                part = with_retry(lambda s=start, e=end: embedder.encode([t or "" for t in texts[s:e]]))
+                part = with_retry(lambda s=start, e=end: embedder.encode([t or "" for t in texts[s:e]]), pause=pause)
                 if len(part) != end - start or any(len(v) != embedder.dimensions for v in part):
                     raise EmbeddingFailed("the model gave other vectors than were asked for")
                 found += part

@@ -60,6 +60,18 @@ def coverage(expected: DataFrame, crawled: DataFrame, outcomes: DataFrame, keys:
     return joined.select(*keys, "url", state.alias("state"), F.when(F.col("__have").isNull(), F.col("__why")).alias("outcome"))
 
 
+def latest_outcomes(outcomes: DataFrame, runs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, outcome of the latest run that has one; outcomes: keys, crawl_run_id, outcome; runs: id, started_at. Ties go by the run's id."""
+    started = runs.select(F.col("id").alias("crawl_run_id"), "started_at")
+    joined = outcomes.join(started, "crawl_run_id")
+    return joined.groupBy(*keys).agg(F.max_by("outcome", F.struct("started_at", "crawl_run_id")).alias("outcome"))
+
+
+def crawled_urls(documents: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, url: the different URLs that a corpus has, in the form that sources are compared in."""
+    return documents.select(*keys, urls.normalise_for_evaluation("url").alias("url")).distinct()
+
+
 def signal_accuracy(truth: DataFrame, computed: DataFrame, key: str, fields: tuple[str, ...] = COMPARED) -> DataFrame:
     """key, compared, agreed, accuracy (null where nothing was checked), mismatches (names)."""
     c = computed.select(F.col(key).alias("__k"), *[F.col(f).alias("__" + f) for f in fields])

@@ -42,6 +42,16 @@ def latest(rows: DataFrame, keys: list[str], by: str) -> DataFrame:
     return rows.groupBy(*keys).agg(order.alias("__r")).select(*keys, *[F.col(f"__r.{c}").alias(c) for c in rest])
 
 
+def newest_start(runs: DataFrame) -> DataFrame:
+    """prospect_id, newest: when each tenant's latest crawl began."""
+    return runs.groupBy("prospect_id").agg(F.max("started_at").alias("newest"))
+
+
+def first_chunks(chunks: DataFrame) -> DataFrame:
+    """id (of a document), head: the content of its first chunk."""
+    return chunks.filter("chunk_index = 0").select(F.col("document_id").alias("id"), F.col("content").alias("head"))
+
+
 def removed(stored: DataFrame, crawled: DataFrame, keys: list[str]) -> DataFrame:
     """Stored rows that the crawl has no more."""
     return stored.join(crawled.select(*keys), keys, "left_anti")
@@ -118,7 +128,7 @@ def load(tables: Tables, artifacts: DataFrame, now: Column, chunk, max_age_hours
     outcomes = outcomes.select(row_id("crawl_run_id", "url").alias("id"), "crawl_run_id", "url", "outcome", "http_status", F.nullif("detail", F.lit("")).alias("detail"))
     new_outcomes = insert_absent(tables.crawl_page_outcomes, outcomes, ["crawl_run_id", "url"])
     crawl_runs = tables.crawl_runs.unionByName(new_runs)
-    newest = crawl_runs.groupBy("prospect_id").agg(F.max("started_at").alias("__newest"))
+    newest = newest_start(crawl_runs).withColumnRenamed("newest", "__newest")
     current = good.join(newest, "prospect_id").filter(F.col("crawled_at_utc") >= F.col("__newest")).drop("__newest")
     incoming = current.select("prospect_id", "crawled_at_utc", F.explode("documents").alias("d")).select("prospect_id", "crawled_at_utc", "d.*")
     incoming = incoming.select(
@@ -126,8 +136,7 @@ def load(tables: Tables, artifacts: DataFrame, now: Column, chunk, max_age_hours
         "published", "text", "content_hash", F.nullif("stable_hash", F.lit("")).alias("stable_hash"),
         F.coalesce("duplicate_urls", F.array().cast("array<string>")).alias("duplicate_urls"), F.col("crawled_at_utc").alias("fetched_at"),
     )
-    heads = tables.chunks.filter("chunk_index = 0").select(F.col("document_id").alias("id"), F.col("content").alias("head"))
-    stored = tables.documents.select("id", "content_hash", "stable_hash").join(heads, "id", "left")
+    stored = tables.documents.select("id", "content_hash", "stable_hash").join(first_chunks(tables.chunks), "id", "left")
     classed = change_classes(incoming, stored, ["id"])
     rows = classed.select(
         "id", "prospect_id", "source_url", "kind", F.substring("title", 1, 500).alias("title"), dates.parse_published("published").alias("published_at"),

@@ -37,13 +37,17 @@ class TenantScope:
         self._chunks = chunks.filter(F.col(tenant_column) == F.lit(tenant))
         self._documents = documents.filter(F.col(tenant_column) == F.lit(tenant))
         if model is not None:
-            other = [r[0] for r in self.models().limit(10).collect() if r[0] != model]
+            other = [r[0] for r in self.foreign_models(model).limit(10).collect()]
             if other:
                 raise ModelMixError(f"stored vectors are of {other}, not {model}")
 
     def models(self) -> DataFrame:
         return self._chunks.filter("embedding_model is not null").select("embedding_model").distinct()
 
+    def foreign_models(self, model: str) -> DataFrame:
+        """Models of stored vectors other than the configured one: none, or searches are refused."""
+        return self.models().filter(F.col("embedding_model") != model)
+
     def counts(self) -> DataFrame:
         """chunks, embedded, pending_tokens."""
         return self._chunks.agg(
@@ -70,12 +74,15 @@ class TenantScope:
         own = self._chunks.join(hits.select("id"), "id", "left_semi").select("id", "document_id")
         return own.join(self._documents.select(F.col("id").alias("document_id"), "source_url"), "document_id").select("id", "source_url")
 
-    def first_chunks(self) -> DataFrame:
-        return self._chunks.filter("chunk_index = 0").select("document_id", "content")
+
+
+def leaks(hits: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Hits whose id is not resolved inside the tenant."""
+    return hits.join(resolved.select("id"), "id", "left_anti")
 
 
 def check_no_leakage(hits: DataFrame, resolved: DataFrame) -> None:
-    foreign = [r[0] for r in hits.join(resolved, "id", "left_anti").select("id").limit(20).collect()]
+    foreign = [r[0] for r in leaks(hits, resolved).select("id").limit(20).collect()]
     if foreign:
         raise LeakageError(f"retrieved chunks outside the tenant: {foreign}")
 

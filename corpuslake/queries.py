@@ -296,11 +296,11 @@ def a5_outcome_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frontier.tally(table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("outcome")), ["user_id"])
 
 
-@query("""WITH c AS (SELECT user_id, CASE event_type WHEN 'error' THEN 'timeout' ELSE event_type END AS outcome, count(*) AS n, min(event_id) AS f FROM events WHERE NOT (user_id % 3 = 0 AND event_type = 'error') GROUP BY ALL),
+@query("""WITH c AS (SELECT user_id, CASE event_type WHEN 'error' THEN 'timeout' ELSE event_type END AS outcome, count(*) AS n, min(event_id) AS f FROM events GROUP BY ALL),
 b AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN outcome = 'timeout' THEN 0 ELSE 1 END, n DESC, f) AS r, CAST(sum(n) OVER (PARTITION BY user_id) AS BIGINT) AS total FROM c)
 SELECT user_id, outcome AS cause, n, total FROM b WHERE r = 1""")
 def a6_explain_empty_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").filter("not (user_id % 3 = 0 and event_type = 'error')")
+    rows = table(spark, sf_dir, "events")
     outcomes = rows.select("user_id", F.when(F.col("event_type") == "error", "timeout").otherwise(F.col("event_type")).alias("outcome"), F.col("event_id").alias("position"))
     runs = rows.select("user_id").distinct().withColumns({"robots_reason": F.lit("ok"), "crawl_outcome": F.lit("completed")})
     return frontier.explain_empty(outcomes, runs, "user_id")
@@ -385,18 +385,6 @@ def c1_c4_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "kind", "chunk_index", "token_count", text.content_hash("content").alias("content_hash"), "chunker")
 
 
-@query()
-def w5_batch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = web_documents(spark, sf_dir).select("domain", "doc_id", text.word_count("text").alias("tokens"))
-    return embedding.batches(docs, ["domain"], "doc_id", "tokens", 64, 20_000)
-
-
-@query()
-def c12_embed_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = web_documents(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("text").alias("content"), text.word_count("text").alias("token_count"))
-    made = embedding.embed(docs, embedding.HashEmbedder(64))
-    return made.select("id", F.size("embedding").alias("dims"), "embedding_model")
-
 
 @query(rf"""WITH {_WEB} SELECT domain, count(*) AS chunks, count(*) FILTER (doc_id % 3 = 0) AS embedded, CAST(coalesce(sum(len(words)) FILTER (doc_id % 3 <> 0), 0) AS BIGINT) AS pending_tokens,
   count(*) FILTER (len(words) > 512) AS over_window FROM k GROUP BY domain""")
@@ -482,18 +470,6 @@ def c17_c18_status_and_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("status", status).select("doc_id", "status", evaluation.context_label(F.col("status"), want, admitted, dropped).alias("label"))
 
 
-@query(rf"""WITH {_WEB} SELECT domain, doc_id, CAST(len(words) AS INTEGER) AS words FROM k WHERE contains(url, 'blog')""")
-def p10_k4_find_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = web_documents(spark, sf_dir).filter(F.col("url").contains("blog"))
-    return found.select("domain", "doc_id", text.word_count("text").alias("words")).orderBy(F.desc("words"), "doc_id")
-
-
-@query("""SELECT vec_id AS id, CAST(vec_id % 50 AS BIGINT) AS document, concat('https://x.com/', CAST(vec_id % 50 AS VARCHAR)) AS source_url FROM embeddings""")
-def j1_chunk_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.expr("vec_id % 50").alias("document"))
-    docs = chunks.select("document").distinct().withColumn("source_url", F.concat(F.lit("https://x.com/"), F.col("document").cast("string")))
-    return chunks.join(docs, "document").select("id", "document", "source_url")
-
 
 @query("""SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN 'our team: the people who work here, developers, engineers and designers, and their job titles' ELSE text END AS q FROM conversations""")
 def f13_retrieval_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -505,13 +481,6 @@ def f13_retrieval_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- smaller operators
 
 
-@query("""SELECT event_id % 500 AS url, event_type AS outcome FROM (SELECT *, row_number() OVER (PARTITION BY event_id % 500 ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1""")
-def j2_latest_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    outcomes = table(spark, sf_dir, "events").select(F.expr("event_id % 500").alias("url"), "event_id", F.col("event_type").alias("outcome"))
-    runs = table(spark, sf_dir, "events").select("event_id", F.col("ts").alias("started_at"))
-    joined = outcomes.join(runs, "event_id")
-    return joined.groupBy("url").agg(F.max_by("outcome", F.struct("started_at", "event_id")).alias("outcome"))
-
 
 @query("""SELECT doc_id, CAST(CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS INTEGER) AS admitted, 2 AS total FROM documents""")
 def j9_sources_admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -543,10 +512,10 @@ def a9_role_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", text.technical_mentions(F.expr(_ROLES)).cast("int").alias("mentions"))
 
 
-@query(r"""SELECT conv_id, turn, trim(regexp_replace(regexp_replace(concat('<think>plan ', text, '</think>', left(text, 20), '<think>more', CAST(turn AS VARCHAR)), '<think>.*?</think>', '', 'gs'), '<think>.*$', '', 's'), chr(10) || ' ') AS reply FROM conversations WHERE text IS NOT NULL AND NOT contains(text, '<think>')""")
+@query(rf"""SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(concat('<think>plan ', conv_id, '</think> ', text, '<think>x</think> ', '<think>more', CAST(turn AS VARCHAR)), '<think>.*?</think>', '', 'gs'), '<think>.*$', '', 's'), '^{WS}+|{WS}+$', '', 'g') AS reply FROM conversations WHERE text IS NOT NULL""")
 def f8_strip_reasoning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").filter("text is not null and not contains(text, '<think>')")
-    reply = F.expr("concat('<think>plan ', text, '</think>', left(text, 20), '<think>more', cast(turn as string))")
+    rows = table(spark, sf_dir, "conversations").filter("text is not null")
+    reply = F.expr("concat('<think>plan ', conv_id, '</think> ', text, '<think>x</think> ', '<think>more', cast(turn as string))")
     return rows.select("conv_id", "turn", text.strip_reasoning(reply).alias("reply"))
 
 
@@ -612,17 +581,3 @@ def p15_p16_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.when(F.expr("doc_id % 2 = 0"), "TODO count").otherwise("2"))
     written = F.when(evaluation.written_sources(listed).isNotNull(), 1).when(listed.isNotNull(), 0)
     return table(spark, sf_dir, "documents").select(written.alias("written"), F.size(evaluation.written_signals(given)).alias("signals"), "doc_id")
-
-
-@query(r"""SELECT DISTINCT lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS domain,
-  concat(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*:)?(//[^/?#]*)?'), coalesce(nullif(regexp_replace(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*:)?(//[^/?#]*)?([^?#]*)', 3), '/+$', ''), ''), '/')) AS url FROM pages""")
-def p19_crawled_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select(urls.netloc("url").alias("domain"), urls.normalise("url").alias("url")).distinct()
-
-
-@query()
-def p5_p7_links_and_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _pages(spark, sf_dir)
-    worth = F.filter("links", lambda u: urls.path(u).rlike(urls.WORTH_READING))
-    roles = F.filter("headings", lambda h: h.rlike(text.JOB_TITLE))
-    return pages.select("page_id", F.size("links").alias("links"), F.size(worth).alias("worth"), F.size("headings").alias("headings"), F.size(roles).alias("roles"))

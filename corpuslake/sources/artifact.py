@@ -86,6 +86,11 @@ def page_outcomes(artifacts: DataFrame) -> DataFrame:
     return artifacts.select("domain", "crawled_at_utc", F.explode("page_outcomes").alias("o")).select("domain", "crawled_at_utc", "o.*")
 
 
+def outcomes_of(artifacts: DataFrame, outcome: str) -> DataFrame:
+    """domain, crawled_at_utc, url, http_status, detail of the pages that ended so."""
+    return page_outcomes(artifacts).filter(F.col("outcome") == outcome)
+
+
 def pages_fetched(outcome: Column) -> Column:
     """Aggregate: pages that were requested."""
     return F.sum(F.when(~outcome.isin(*NOT_FETCHED), 1).otherwise(0))
