@@ -25,6 +25,8 @@ SLOP = 3
 #: Terms are broadcast up to so many (some 30 MB); beyond, Spark joins them as it sees fit.
 BROADCAST_TERMS = 500_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Keys of documents with a match are broadcast up to so many (some 30 MB, with their items more); beyond, texts are shuffled.
+BROADCAST_ROWS = 300_000
 #: Parts into which a word's postings are dealt where the other side is too large to broadcast.
 SALTS = 16
 #: What separates words before A-Z are lower-cased.
@@ -159,7 +161,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: i
         near = stored(proximity(index, filed, slop).join(found.select("phrase_id", "items"), "phrase_id").select("doc_key", "row_key", "items"), "phrases-near")
     forget(terms, frequency, filed, index)
     rows = docs.select(*_keys(), "text")
-    some = rows.join(candidates.select("doc_key", "row_key").distinct(), ["doc_key", "row_key"], "left_semi").dropDuplicates(["doc_key", "row_key"])
+    some = rows.join(bounded(candidates.select("doc_key", "row_key").distinct(), BROADCAST_ROWS), ["doc_key", "row_key"], "left_semi").dropDuplicates(["doc_key", "row_key"])
     texts = some.select("doc_key", "row_key", words(F.col("text")).alias("w"))
     checked = candidates.join(found, "phrase_id").join(texts, ["doc_key", "row_key"])
     size = F.size("phrase")
@@ -196,7 +198,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     if near is not None:
         listed = near.select("doc_key", "row_key", F.explode("items").alias("item")).groupBy("doc_key", "row_key")
         facts = facts.join(listed.agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("near")), ["doc_key", "row_key"], "full")
-    out = counted.join(facts, ["doc_key", "row_key"], "left")
+    out = counted.join(bounded(stored(facts, "phrase-facts"), BROADCAST_ROWS), ["doc_key", "row_key"], "left")
     n_hit = F.coalesce("hit", F.lit(0)).cast("long")
     return out.select(
         *passed(names), "n_words", n_hit.alias("n_hit"), F.coalesce("listed", none).alias("items"),

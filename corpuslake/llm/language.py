@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 
 from corpuslake.llm.common import ROW, passing, quoted, text_batches, unnamed
 
-BLOCK, CONTEXT = 128, 32
+BLOCK, CONTEXT = 224, 32
 WIDTH = BLOCK + 2 * CONTEXT
 #: Numbers that a step's labels take; bounds a worker's memory to some 40 MB, for any number of languages.
-LABELS = 1 << 20
+LABELS = 3 << 19
 UNKNOWN = "und"
 #: The classifier is fitted on at most so many documents of each language and so many in all (one of
 #: each language at least), a stretch of each from a place that its hash sets, of at most so many characters

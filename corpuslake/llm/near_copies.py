@@ -44,9 +44,9 @@ TILE = 32768
 #: Parts at least into which fingerprints of one size are dealt to be tiled; more from 64 tiles a part on.
 SALTS = 4
 #: Elements of one comparison.
-STEP = 1 << 21
-#: Shingles of one block of a group, about: 8 MB.
-BLOCK_SHINGLES = 1 << 20
+STEP = 1 << 18
+#: Shingles of one block of a group, about: 2 MB.
+BLOCK_SHINGLES = 1 << 18
 #: Nodes whose texts are read again are broadcast up to so many (some 20 MB); beyond, they are joined by a shuffle.
 BROADCAST_NODES = 500_000
 _RNG = np.random.default_rng(42)
@@ -347,6 +347,21 @@ def near_copies(docs: DataFrame) -> DataFrame:
     return signatures.select("doc_id", "node").join(by_node, "node").select("doc_id", "component_id")
 
 
-def representatives(docs: DataFrame) -> DataFrame:
-    """doc_id: of each component of near copies the smallest; null where a component has no other."""
-    return rooted(docs)[1].groupBy("root").agg(F.min("first").alias("doc_id")).select("doc_id")
+def without_copies(docs: DataFrame) -> DataFrame:
+    """docs without near copies: of each component the rows with the smallest doc_id; equal ones (doc_id and text) once.
+
+    Of texts without an id those stay that no document with one is near. Texts are shuffled only
+    where what goes is too much to broadcast; equal rows meet by themselves.
+    """
+    signatures, nodes = rooted(docs)
+    stay = nodes.groupBy("root").agg(F.min("first").alias("stay")).select("stay").distinct()
+    gone = stored(signatures.select("doc_id").distinct().join(stay, F.col("doc_id").eqNullSafe(F.col("stay")), "left_anti").select(F.col("doc_id").alias("gone")), "near-gone")
+    kept = docs.join(bounded(gone, BROADCAST_NODES), F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+    again = stored(signatures.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).filter("n > 1").select(F.struct("doc_id", "text_key").alias("again")), "near-repeated")
+    if again.isEmpty():
+        return kept
+    keyed = kept.withColumn("text_key", text_key("text"))
+    met = F.struct("doc_id", "text_key").eqNullSafe(F.col("again"))
+    again = bounded(again, BROADCAST_NODES)
+    once = keyed.join(again, met, "left_semi").dropDuplicates(["doc_id", "text_key"])
+    return keyed.join(again, met, "left_anti").unionByName(once).drop("text_key")
