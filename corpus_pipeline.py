@@ -11,12 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslake.llm import contamination, language, near_copies, packing, secrets
-from corpuslake.llm.common import ROW, passing, stored, table, text_key
+from corpuslake.llm.common import ROW, passing, stored, table
 
-def wrapped(docs: DataFrame, *needed: str, **more: Column) -> DataFrame:
-    """The columns that an operator reads (needed, and more), and all others in one, so that no name of theirs meets its own."""
-    rest = [c for c in docs.columns if c not in needed]
-    return docs.select(passing(rest), *needed, *[c.alias(n) for n, c in more.items()])
+def wrapped(docs: DataFrame, *needed: str) -> DataFrame:
+    """The columns that an operator reads, and all others in one, so that no name of theirs meets its own."""
+    return docs.select(passing([c for c in docs.columns if c not in needed]), *needed)
 
 
 def unwrapped(docs: DataFrame, *needed: str, **changed: Column) -> list[Column]:
@@ -44,10 +43,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     Of texts without an id one stays if no document with one is near. Rows that share an id but
     not the text go or stay together.
     """
-    stay = near_copies.representatives(docs.select("doc_id", "text"))
-    keyed = wrapped(docs, "doc_id", text_key=text_key("text"))
-    once = keyed.join(stay.select(F.col("doc_id").alias("stay")), F.col("doc_id").eqNullSafe(F.col("stay")), "left_semi")
-    return once.dropDuplicates(["doc_id", "text_key"]).select(*unwrapped(docs, "doc_id"))
+    return near_copies.without_copies(wrapped(docs, "doc_id", "text")).select(*unwrapped(docs, "doc_id", "text"))
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
