@@ -30,8 +30,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from corpuslake.llm.common import NULL_ID, blob, text_batches, text_key
+from corpuslake.llm.common import NULL_ID, blob, bounded, stored, text_batches, text_key
 
 WINDOW = 20
 GRAM = 6
@@ -39,6 +40,8 @@ GRAM = 6
 BLOCK_ANCHORS, BLOCK_PIECES = 400_000, 40_000
 #: An anchor that occurs so often is dealt out by windows; bounds a shard's automaton to some 20 MB.
 CROWDED = 1_000
+#: Keys of repeated rows are broadcast up to so many (some 20 MB).
+BROADCAST_KEYS = 500_000
 #: Parts of a hot group of copies.
 SALTS = 32
 _FACTORS = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) ** 7 & 0xFFFFFFFFFFFFFFFF | 1 for i in range(64)], np.uint64)
@@ -330,7 +333,7 @@ def later_copies(rows: DataFrame) -> DataFrame:
 
 
 def _drop(window: int, gram: int, with_text: bool):
-    names = ["doc_id", "n_words", "n_removed", "kept_sha256", *["kept"] * with_text]
+    names = ["row_key", "doc_id", "n_words", "n_removed", "kept_sha256", *["kept"] * with_text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -369,7 +372,7 @@ def _drop(window: int, gram: int, with_text: bool):
                 digests.append(hashlib.sha256(kept).hexdigest())
                 if with_text:
                     texts.append(kept.decode("utf-8", "replace"))
-            columns = [b.column("doc_id"), pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())]
+            columns = [b.column("row_key"), b.column("doc_id"), pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(texts, pa.string())] * with_text, names=names)
 
     return run
@@ -378,14 +381,34 @@ def _drop(window: int, gram: int, with_text: bool):
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, and kept (the words left, joined by a space) if with_text.
 
-    Windows are judged on the input. A null or blank text has no words; a text of fewer
+    doc_id is a whole number, as "earlier" goes by its size; other ids raise an error. A window has
+    so many words that a piece's windows fit 63 bits (69 at most with GRAM). Windows are judged on
+    the input. A null or blank text has no words; a text of fewer
     words than a window loses none. Repeated rows (same doc_id and text) do not count as
     earlier than one another, but inside a row, and between rows of one doc_id with
     other texts (in the order of a hash of them), places count. A null doc_id comes before
     all others. An empty table gives no rows; other columns than doc_id and text are not read.
+    Repeated rows are worked on once, and their result is given as often as they came.
     """
+    if not gram <= window or window - gram + 1 > 63:
+        raise ValueError("a window has from gram to gram + 62 words")
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError("doc_id must be a whole number")
     text_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key("doc_id", "text").alias("row_key"), F.col("text").cast("binary").alias("text"))
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key("doc_id", "text").alias("row_key"), F.col("text").cast("binary").alias("text"))
+    repeats = stored(every.groupBy("row_key").agg(F.count("*").alias("n")).filter("n > 1"), "repeated-rows")
+    if repeats.isEmpty():
+        return _once(every, window, gram, with_text).drop("row_key")
+    keys = bounded(repeats, BROADCAST_KEYS)
+    some = every.join(keys.select("row_key"), "row_key", "left_semi").dropDuplicates(["row_key"])
+    rows = every.join(keys.select("row_key"), "row_key", "left_anti").select(every.columns).unionByName(some.select(every.columns))
+    found = _once(rows, window, gram, with_text).join(keys, "row_key", "left")
+    again = F.explode(F.sequence(F.lit(1), F.coalesce(F.col("n"), F.lit(1)).cast("int")))
+    return found.withColumn("again", again).drop("row_key", "n", "again")
+
+
+def _once(rows: DataFrame, window: int, gram: int, with_text: bool) -> DataFrame:
+    """row_key and the result of different rows."""
     copies = later_copies(rows)
     again = repeated(rows.join(copies, "row_key", "left_anti"), window, gram)
     concerned = rows.join(again, "row_key").select("doc_id", "row_key", "text", "hashes", "crowded")
@@ -393,8 +416,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with
     new = new_windows(found, window)
     whole = (
         rows.join(copies, "row_key", "left").join(again.select("row_key", "hashes"), "row_key", "left").join(new, "row_key", "left")
-        .select("doc_id", "text", "hashes", "news", "copy")
+        .select("row_key", "doc_id", "text", "hashes", "news", "copy")
     )
     return whole.mapInArrow(
-        _drop(window, gram, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
+        _drop(window, gram, with_text), "row_key long, doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
     )

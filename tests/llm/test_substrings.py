@@ -102,3 +102,20 @@ def test_automaton_against_plain_search():
 
 def test_empty_table(make_docs):
     assert substrings.remove_repeats(make_docs([(1, "a")]).limit(0)).collect() == []
+
+
+def test_one_row_many_times(spark, make_docs):
+    rows = [r for r in cases(5, 20) if r[0] is not None][:20]
+    many = [*rows, *[rows[0]] * 3000, *[(700, rows[1][1])] * 2000]
+    want = plain([*rows, (700, rows[1][1])], 20)
+    got = substrings.remove_repeats(make_docs(many).repartition(4), with_text=False).groupBy("doc_id", "n_words", "n_removed", "kept_sha256").count().collect()
+    assert sorted(tuple(r)[:4] for r in got) == want
+    counts = {r.doc_id: r["count"] for r in got}
+    assert counts[rows[0][0]] == 3001 and counts[700] == 2000 and sum(counts.values()) == len(many)
+
+
+def test_what_it_refuses(spark, make_docs):
+    with pytest.raises(ValueError):
+        substrings.remove_repeats(make_docs([(1, "a")]), window=70)
+    with pytest.raises(TypeError):
+        substrings.remove_repeats(spark.createDataFrame([("x", "a")], "doc_id string, text string"))
