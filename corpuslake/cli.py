@@ -18,12 +18,16 @@ from pyspark.sql import functions as F
 
 from corpuslake.operators import answering, chunking, embedding, evaluation, loading, retrieval
 from corpuslake.operators import report as lines
-from corpuslake.plans import integrity, pipeline
+from corpuslake.plans import integrity, pipeline, tenancy
 from corpuslake.settings import DEFAULTS
 from corpuslake.sources import artifact, ground_truth
 from corpuslake.sources.schemas import TABLES
 
 
+#: Tables that every question of a tenant reads; they are stored by tenant.
+BY_TENANT = ("documents", "chunks")
+
+
 class Warehouse:
     """Versions of the tables below one folder of any file system that Spark has."""
 
@@ -39,17 +43,32 @@ class Warehouse:
         where, fs = self._pointer()
         return self.spark.read.text(f"{self.path}/CURRENT").first()[0] if fs.exists(where) else None
 
+    def _read(self, v: str | None, t: str, tenant: int | None = None) -> DataFrame:
+        if v is None:
+            return self.spark.createDataFrame([], TABLES[t])
+        if t in BY_TENANT:
+            return tenancy.read(self.spark, f"{self.path}/{v}/{t}", TABLES[t], tenant)
+        return self.spark.read.schema(TABLES[t]).parquet(f"{self.path}/{v}/{t}")
+
     def tables(self) -> loading.Tables:
         v = self.version()
-        read = lambda t: self.spark.createDataFrame([], TABLES[t]) if v is None else self.spark.read.schema(TABLES[t]).parquet(f"{self.path}/{v}/{t}")
-        return loading.Tables(**{t: read(t) for t in TABLES})
+        return loading.Tables(**{t: self._read(v, t) for t in TABLES})
+
+    def scope(self, tenant: int, model: str) -> retrieval.TenantScope:
+        """One tenant's chunks and documents; nothing else is read."""
+        v = self.version()
+        return retrieval.TenantScope(self._read(v, "chunks", tenant), self._read(v, "documents", tenant), tenant, model)
 
     def publish(self, tables: loading.Tables, dimensions: int = DEFAULTS.embedding_dimensions) -> loading.Tables:
         """Write a new version, check it as written, name it current."""
         v = f"v-{uuid.uuid4().hex}"
         for t in TABLES:
-            getattr(tables, t).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[t].fields]).write.parquet(f"{self.path}/{v}/{t}")
-        new = loading.Tables(**{t: self.spark.read.schema(TABLES[t]).parquet(f"{self.path}/{v}/{t}") for t in TABLES})
+            rows = getattr(tables, t).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[t].fields])
+            if t in BY_TENANT:
+                tenancy.write(rows, f"{self.path}/{v}/{t}")
+            else:
+                rows.write.parquet(f"{self.path}/{v}/{t}")
+        new = loading.Tables(**{t: self._read(v, t) for t in TABLES})
         integrity.check("prospects", new.prospects)
         integrity.check("documents", new.documents, ((new.prospects, {"prospect_id": "id"}),))
         integrity.check("chunks", new.chunks, ((new.documents, {"document_id": "id", "prospect_id": "prospect_id"}),), dimensions)
@@ -102,7 +121,7 @@ def embed(spark: SparkSession, warehouse: str, domain: str, dry_run: bool = Fals
         return 2
     model = embedder or make_embedder()
     tables = store.tables()
-    counts = retrieval.TenantScope(tables.chunks, tables.documents, tenant, model.name).counts().first()
+    counts = store.scope(tenant, model.name).counts().first()
     own = tables.chunks.filter(F.col("prospect_id") == tenant)
     over = own.agg(embedding.over_window("token_count", model.window)).first()[0]
     print("\n".join(lines.embed_lines(counts, model.name, over, embedding.cost(model.name, counts.pending_tokens))))
@@ -119,8 +138,7 @@ def _scope(store: Warehouse, domain: str, model: embedding.Embedder) -> retrieva
     if tenant is None:
         print(f"  no tenant with domain {domain!r}; crawl and load it first")
         return None
-    tables = store.tables()
-    scope = retrieval.TenantScope(tables.chunks, tables.documents, tenant, model.name)
+    scope = store.scope(tenant, model.name)
     if not scope.counts().first()["embedded"]:
         print(f"  {domain} has no embedded chunks; embed it first")
         return None

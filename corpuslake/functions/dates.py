@@ -10,12 +10,14 @@ from corpuslake.functions.urls import path
 #: How much of a text may hold a byline, and how far before the date its cue may stand.
 HEAD, CUE_WINDOW = 400, 24
 SOURCES = ("url_path", "metadata", "byline", "none")
+#: Which dates count in a URL and in a text, and which words announce one (fixed values).
 _URL_DATE = r"/(20[12]\d)[/-](\d{1,2})[/-](\d{1,2})(?:[/-]|$)"
 _NUMERIC = r"\b(20[12]\d)[-/](\d{1,2})[-/](\d{1,2})\b"
-_MONTH = r"(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?"
-_WRITTEN = rf"(?i)\b(?:{_MONTH}\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(20[12]\d)|(\d{{1,2}})(?:st|nd|rd|th)?\s+{_MONTH},?\s+(20[12]\d))\b"
 _CUE = r"(?i)(post|publish|updat|writ|releas)\w*\s*(on|at|:)?\s*$"
 _MONTHS = {m: i + 1 for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split())}
+#: The parts of a date that is written out, and the two orders in which they stand.
+_PARTS = {"month": rf"({'|'.join(_MONTHS)})[a-z]*\.?", "day": r"(\d{1,2})(?:st|nd|rd|th)?", "year": r"(20[12]\d)"}
+_ORDERS = (("month", "day", "year"), ("day", "month", "year"))
 
 
 def iso(year: Column, month: Column, day: Column) -> Column:
@@ -35,17 +37,22 @@ def from_byline(text: Column | str) -> Column:
     t = F.col(text) if isinstance(text, str) else text
     head = F.substring(F.coalesce(t, F.lit("")), 1, HEAD)
 
-    def cued(pattern: str) -> Column:
-        # what stands before the first match, and the cue in its last characters
+    def found(pattern: str, order: tuple[str, ...]) -> Column:
+        """struct(at, cued, day) of the first match; null if there is none."""
         before = F.element_at(F.split(head, pattern, 2), 1)
-        return head.rlike(pattern) & F.substring(before, -CUE_WINDOW, CUE_WINDOW).rlike(_CUE)
-
-    numeric = iso(*[F.regexp_extract(head, _NUMERIC, i) for i in (1, 2, 3)])
-    g = [F.regexp_extract(head, _WRITTEN, i) for i in range(7)]
-    month = F.lower(F.substring(F.when(g[1] != "", g[1]).otherwise(g[5]), 1, 3))
-    number = F.create_map(*[F.lit(x) for m, n in _MONTHS.items() for x in (m, str(n))])[month]
-    written = F.when(g[1] != "", iso(g[3], number, g[2])).otherwise(iso(g[6], number, g[4]))
-    return F.when(cued(_NUMERIC), numeric).when(cued(_WRITTEN), written)
+        part = {name: F.regexp_extract(head, pattern, i + 1) for i, name in enumerate(order)}
+        names = F.create_map(*[F.lit(x) for m, n in _MONTHS.items() for x in (m, str(n))])
+        month = F.coalesce(names[F.lower(part["month"])], part["month"])
+        cued = F.substring(before, -CUE_WINDOW, CUE_WINDOW).rlike(_CUE)
+        return F.when(head.rlike(pattern), F.struct(F.length(before).alias("at"), cued.alias("cued"), iso(part["year"], month, part["day"]).alias("day")))
+
+    def written(order: tuple[str, ...]) -> str:
+        # a comma may stand before the year, and nowhere else
+        return r"(?i)\b" + rf"{_PARTS[order[0]]}\s+{_PARTS[order[1]]},?\s+{_PARTS[order[2]]}" + r"\b"
+
+    numeric = found(_NUMERIC, ("year", "month", "day"))
+    worded = F.array_min(F.array_compact(F.array(*[found(written(o), o) for o in _ORDERS])))  # the one that stands first
+    return F.when(numeric["cued"], numeric["day"]).when(worded["cued"], worded["day"])
 
 
 def published(url: Column | str, declared: Column | str, text: Column | str) -> Column:

@@ -104,15 +104,15 @@ def decline_form(c: Column | str) -> Column:
     )
 
 
-#: A range of a citation names at most so many passages one by one; it has at most 24 characters anyway.
+#: A range of a citation is named number by number up to so many; the rest of a longer one is one entry, low-high.
 _LONGEST_RANGE = 100_000
 
 
 def citations(reply: Column | str, n_passages: Column | str) -> Column:
     """struct(passages sorted, signals, invalid in order of appearance) of [n], [n, m], [n-m] and [S].
 
-    A bracket has at most 24 characters; other brackets are ignored. A range is cut
-    at 100,000 numbers, the rest of which could only be invalid too.
+    A bracket has at most 24 characters; other brackets are ignored. Of a range of more than
+    100,000 numbers the rest is named as one invalid range.
     """
     n = F.col(n_passages) if isinstance(n_passages, str) else n_passages
     groups = F.regexp_extract_all(_text(reply), F.lit(r"\[([^\[\]]{1,24})\]"), F.lit(1))
@@ -126,7 +126,10 @@ def citations(reply: Column | str, n_passages: Column | str) -> Column:
             lambda p: F.when(p.rlike(r"^\d+$"), F.array(p))
             .when(
                 low(p).isNotNull() & high(p).isNotNull() & (low(p) <= high(p)),
-                F.transform(F.sequence(low(p), F.least(high(p), low(p) + _LONGEST_RANGE)), lambda i: i.cast("string")),
+                F.concat(
+                    F.transform(F.sequence(low(p), F.least(high(p), low(p) + _LONGEST_RANGE)), lambda i: i.cast("string")),
+                    F.when(high(p) - low(p) > _LONGEST_RANGE, F.array(F.concat((low(p) + _LONGEST_RANGE + 1).cast("string"), F.lit("-"), high(p).cast("string")))).otherwise(none),
+                ),
             )
             .otherwise(none),
         )

@@ -13,6 +13,8 @@ BLOG_SEGMENT = r"^(blog|news|insights|posts?|articles?|noticias|novedades)$"
 #: Parts of a path that name a team or an about page (fixed values).
 TEAM_PATH = r"/(team|equipo|people|leadership|nosotros)"
 ABOUT_PATH = r"/(about|about-us|company|quienes-somos|sobre-nosotros)"
+#: Paths that list vacancies, names that are files and no vacancies, and a site's name after a separator at the end of a
+#: title: what counts as a vacancy must be the same to compare counts (fixed values).
 LISTING_PATH = r"(?i)^/(careers?|jobs?|empleos?|vacantes?|join-us|trabaja[\w-]*)/?$"
 #: Paths worth following (fixed value).
 WORTH_READING = (
@@ -20,7 +22,6 @@ WORTH_READING = (
     r"services?|servicios|products?|solutions?)"
 )
 NOT_A_ROLE = r"(?i)\.(xml|json|rss|atom|pdf|ics|txt)$"
-#: A site's name after a separator at the end of a title.
 TITLE_SUFFIX = r"\s*[·|»]\s*[^·|»]{1,40}$|\s+[—–]\s+[^—–]{1,40}$"
 KINDS = ("website", "job_posting", "blog_post")
 

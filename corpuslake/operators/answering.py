@@ -82,7 +82,7 @@ def contexts(admitted: DataFrame, by: list[str]) -> DataFrame:
 
     admitted: by, rank, id, kind, source_url, content, admitted, number.
     """
-    item = F.struct("rank", "number", "id", "kind", "source_url", text.collapse("content").alias("content"), "admitted")
+    item = F.struct("rank", "number", "id", "kind", "source_url", F.when(F.col("admitted"), text.collapse("content")).alias("content"), "admitted")
     grouped = admitted.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("p"))
     shown = F.filter("p", lambda p: p["admitted"])
     line = lambda p: F.concat(F.lit("["), p["number"].cast("string"), F.lit("] ("), p["kind"], F.lit(") "), F.coalesce(p["source_url"], F.lit("(source not resolved)")), F.lit("\n"), p["content"])

@@ -79,7 +79,7 @@ def plan_batches(sizes: list[int], max_inputs: int = MAX_INPUTS, max_tokens: int
 def batches(rows: DataFrame, by: list[str], order: str, tokens: str, max_inputs: int = MAX_INPUTS, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """by, order, tokens, batch: each group's rows in order, cut greedily by plan_batches().
 
-    The running state resets where a batch fills, which no window frame says; so groups
+    Rows that share a place go by their tokens. The running state resets where a batch fills, which no window frame says; so groups
     are sorted inside partitions and read as a stream, without holding a group.
     """
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
@@ -100,7 +100,7 @@ def batches(rows: DataFrame, by: list[str], order: str, tokens: str, max_inputs:
                 out.append(batch)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(out, pa.int64())], names=[*names, "batch"])
 
-    sorted_ = rows.select(*names).repartition(parts, *by).sortWithinPartitions(*by, order)
+    sorted_ = rows.select(*names).repartition(parts, *by).sortWithinPartitions(*by, order, tokens)
     return sorted_.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", batch long")
 
 

@@ -25,9 +25,12 @@ def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame
     """stored with incoming rows in place of those of the same key. A new table, to be published by swap.
 
     An anti-join and a union: each side is shuffled once by key, or the incoming one
-    broadcast where it is small. A key twice in incoming is an error of the caller's.
+    broadcast where it is small. A key twice in incoming fails the write.
     """
-    return stored.join(incoming.select(*keys), keys, "left_anti").unionByName(incoming.select(*stored.columns))
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))
+    once = F.when(F.col("__nth") > 1, F.raise_error(F.lit("a key comes twice in one upsert")).cast("boolean")).otherwise(True)
+    checked = incoming.select(*stored.columns, nth.alias("__nth")).filter(once).drop("__nth")
+    return stored.join(incoming.select(*keys), keys, "left_anti").unionByName(checked)
 
 
 def insert_absent(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:

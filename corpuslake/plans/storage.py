@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The temporary folder of each session in one process.
+_FOLDERS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it in spark.checkpoint.dir.
 
@@ -19,8 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not (master == "local" or master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="corpuslake-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        session = spark.sparkContext.applicationId
+        found = _FOLDERS[session] = _FOLDERS.get(session) or tempfile.mkdtemp(prefix="corpuslake-")
     return found.rstrip("/")
 
 

@@ -7,12 +7,15 @@ same rule in both engines; what an operator must find in them, SQL says by the r
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslake.functions import text, urls
+from corpuslake.functions import dates, text, urls
 from corpuslake.operators import answering, chunking, embedding, evaluation, frontier, html, loading, retrieval, signals
-from corpuslake.plans.storage import stored
+from corpuslake.plans import tenancy
+from corpuslake.plans.storage import shared_dir, stored
 from corpuslake.queries import _HASHED, _WEB, WS, _crawled, query, table, web_documents
 from corpuslake.sources import artifact, ground_truth
 
@@ -140,6 +143,40 @@ def c7_c9_made_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.signals(stored(docs, "made-documents"), stored(pages, "made-pages"))
 
 
+# ---- tenants
+
+
+@query("SELECT vec_id AS id, CAST(label AS BIGINT) AS prospect_id FROM embeddings WHERE label = 3")
+def src9_tenant_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One tenant's rows of a table that is stored by tenant: one shard is read."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("prospect_id"))
+    path = f"{shared_dir(spark)}/by-tenant-{uuid.uuid4().hex}"
+    tenancy.write(rows, path)
+    return tenancy.read(spark, path, rows.schema, 3)
+
+
+# ---- dates
+
+
+_BYLINE = """concat(case doc_id % 6 when 0 then 'Posted on ' when 1 then 'by Ann, updated: ' when 2 then 'Written ' when 3 then 'Since ' else 'Published at ' end,
+  case doc_id % 4 when 0 then concat(cast(1 + doc_id % 31 as varchar), 'th ', case when doc_id % 3 = 0 then 'Feb.' else 'September' end, ', 20', cast(10 + doc_id % 15 as varchar))
+  when 1 then concat(case when doc_id % 3 = 0 then 'JUN ' else 'december ' end, cast(1 + doc_id % 31 as varchar), ', 20', cast(10 + doc_id % 15 as varchar))
+  when 2 then concat('20', cast(10 + doc_id % 15 as varchar), '/', cast(1 + doc_id % 13 as varchar), '/', cast(1 + doc_id % 31 as varchar)) else 'today' end, '. ', coalesce(text, ''))"""
+
+
+@query(r"""WITH d AS (SELECT doc_id, doc_id % 6 <> 3 AS cued, CAST(2010 + doc_id % 15 AS VARCHAR) AS y, CASE doc_id % 4 WHEN 0 THEN CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 9 END WHEN 1 THEN CASE WHEN doc_id % 3 = 0 THEN 6 ELSE 12 END ELSE 1 + doc_id % 13 END AS m,
+  1 + doc_id % 31 AS d FROM documents),
+t AS (SELECT doc_id, CASE WHEN cued AND doc_id % 4 <> 3 THEN CAST(try_cast(concat(y, '-', lpad(CAST(m AS VARCHAR), 2, '0'), '-', lpad(CAST(d AS VARCHAR), 2, '0')) AS DATE) AS VARCHAR) END AS byline, CASE WHEN doc_id % 9 = 0 THEN '2019-03-04' END AS declared,
+  CASE WHEN doc_id % 10 = 0 THEN CAST(try_cast(concat('2018-', lpad(CAST(1 + doc_id % 12 AS VARCHAR), 2, '0'), '-07') AS DATE) AS VARCHAR) END AS url FROM d)
+SELECT doc_id, coalesce(url, declared, byline) AS published, CASE WHEN url IS NOT NULL THEN 'url_path' WHEN declared IS NOT NULL THEN 'metadata' WHEN byline IS NOT NULL THEN 'byline' ELSE 'none' END AS source FROM t""")
+def d3_d5_made_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole ladder: a date in the URL, a declared one, a byline in figures or words with and without a cue, none."""
+    docs = table(spark, sf_dir, "documents")
+    url = F.when(F.expr("doc_id % 10 = 0"), F.concat(F.lit("https://a.b/2018/"), F.expr("cast(1 + doc_id % 12 as string)"), F.lit("/07/x"))).otherwise("https://a.b/x")
+    found = docs.select("doc_id", dates.published(url, F.when(F.expr("doc_id % 9 = 0"), "2019-03-04"), _spark(_BYLINE)).alias("p"))
+    return found.select("doc_id", F.col("p.date").alias("published"), F.col("p.source").alias("source"))
+
+
 # ---- crawl
 
 

@@ -262,3 +262,52 @@ def test_streams(spark, tmp_path):
     chunks = spark.readStream.schema("id long, content string, token_count int, embedding array<float>").parquet(f"{tmp_path}/chunks")
     incremental.embed_stream(chunks, embedding.HashEmbedder(8), f"{tmp_path}/vectors", f"{tmp_path}/ck2").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/vectors").count() == 2
+
+
+def test_a_tenant_is_read_from_its_shard_alone(spark, tmp_path):
+    from corpuslake.plans import tenancy
+
+    rows = spark.range(2000).selectExpr("id", "id % 130 - 5 as prospect_id")
+    tenancy.write(rows, f"{tmp_path}/t")
+    one = tenancy.read(spark, f"{tmp_path}/t", rows.schema, -3)
+    assert sorted(r.id for r in one.collect()) == list(range(2, 2000, 130))
+    plan = one._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(shard" in plan and "(shard#" in plan and "PushedFilters: [IsNotNull(prospect_id), EqualTo(prospect_id,-3)]" in plan
+    assert tenancy.read(spark, f"{tmp_path}/t", rows.schema).count() == 2000
+
+
+def test_an_upsert_refuses_a_key_twice(spark):
+    stored = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
+    new = spark.createDataFrame([(2, "c"), (3, "d")], "id long, v string")
+    assert sorted(tuple(r) for r in loading.upsert(stored, new, ["id"]).collect()) == [(1, "a"), (2, "c"), (3, "d")]
+    with pytest.raises(Exception, match="comes twice"):
+        loading.upsert(stored, new.unionByName(new), ["id"]).collect()
+
+
+def test_long_citation_ranges_lose_nothing(spark):
+    from corpuslake.functions import text as T
+
+    rows = spark.createDataFrame([("x [2-5] [1-250000] [S]",), ("[99999999999999999999-1]",)], "t string")
+    got = [r.c for r in rows.select(T.citations("t", F.lit(3)).alias("c")).collect()]
+    assert list(got[0].passages) == [1, 2, 3] and got[0].signals and got[0].invalid[:2] == ["4", "5"] and got[0].invalid[-1] == "100002-250000"
+    assert not got[1].passages and not got[1].invalid
+
+
+def test_a_cluster_needs_its_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from corpuslake.plans import storage
+
+    def session(folder, master):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda *_: folder), sparkContext=SimpleNamespace(master=master, applicationId="a"))
+
+    for master in ("spark://host:7077", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(ValueError, match="share"):
+            storage.shared_dir(session(None, master))
+        assert storage.shared_dir(session("hdfs://x/y/", master)) == "hdfs://x/y"
+    assert storage.shared_dir(session(None, "local[8]")) == storage.shared_dir(session(None, "local[8]"))
+    one = storage.stored(spark.range(3), "gone")
+    assert one.count() == 3
+    storage.forget(one)
+    with pytest.raises(Exception):
+        spark.read.parquet(one._stage).count()
