@@ -18,6 +18,7 @@ from corpuslake.plans import tenancy
 from corpuslake.plans.storage import shared_dir, stored
 from corpuslake.queries import _HASHED, _WEB, WS, _crawled, query, table, web_documents
 from corpuslake.sources import artifact, ground_truth
+from corpuslake.sources.schemas import SIGNALS
 
 
 def _spark(sql: str) -> Column:
@@ -474,6 +475,51 @@ def a4_latest_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loading.newest_start(runs)
 
 
+@query(rf"""WITH {_WEB} SELECT domain, CAST(regexp_extract(u, '/([0-9]+)$', 1) AS BIGINT) AS doc_id, kind2 AS kind, CAST(len(words) AS INTEGER) AS words, substr(sha256(text), 1, 16) AS content_hash, 7 AS people, 'ok' AS robots_reason
+FROM (SELECT *, CASE WHEN doc_id % 4 = 0 THEN 'blog_post' ELSE 'website' END AS kind2, concat('https://', domain, '.com/', CAST(doc_id AS VARCHAR)) AS u FROM k)""")
+def src6_snk1_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Artifacts of whole texts written as JSON and read back by the strict reader."""
+    facts = {f.name: F.lit(7 if f.name == "people_listed" else None).cast(f.dataType).alias(f.name) for f in SIGNALS.fields}
+    made = _artifacts(spark, sf_dir).select(
+        F.col("domain").alias("company_name"), "domain", F.concat(F.lit("https://"), "domain", F.lit(".com")).alias("base_url"), F.lit("2024-01-01T00:00:00+00:00").alias("crawled_at"),
+        F.lit("ok").alias("robots_reason"), F.lit("completed").alias("crawl_outcome"), F.struct(*facts.values()).alias("signals"), "documents", "page_outcomes",
+    )
+    path = f"{shared_dir(spark)}/artifacts-{uuid.uuid4().hex}"
+    artifact.write_artifacts(made, path)
+    read = artifact.read_artifacts(spark, path)
+    found = read.select("domain", "robots_reason", F.col("signals.people_listed").alias("people"), F.explode("documents").alias("d"))
+    return found.select(
+        "domain", F.regexp_extract("d.url", "/([0-9]+)$", 1).cast("long").alias("doc_id"), "d.kind", text.word_count("d.text").alias("words"), text.content_hash("d.text").alias("content_hash"),
+        F.col("people"), "robots_reason",
+    )
+
+
+#: The questions of a made evaluation: of each source the document in German with the smallest id, asked by its own text.
+_RANK = """v AS (SELECT source, doc_id, CAST(length(text) AS DOUBLE) AS x, CAST(len(list_filter(regexp_split_to_array(text, '{ws}+'), lambda x: x <> '')) AS DOUBLE) AS y FROM documents WHERE text IS NOT NULL),
+q AS (SELECT source, min(doc_id) AS doc_id FROM documents WHERE lang = 'de' AND text IS NOT NULL GROUP BY source),
+s AS (SELECT q.source, q.doc_id AS asked, c.doc_id, (a.x * c.x + a.y * c.y) / (sqrt(a.x * a.x + a.y * a.y) * sqrt(c.x * c.x + c.y * c.y)) AS score
+  FROM q JOIN v AS a ON a.source = q.source AND a.doc_id = q.doc_id JOIN v AS c ON c.source = q.source WHERE c.x > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s)"""
+
+
+@query(f"""WITH {_RANK.replace("{ws}", WS)}, f AS (SELECT source, asked, min(rank) AS first FROM r WHERE doc_id = asked GROUP BY ALL)
+SELECT source, k, coalesce(first <= k, false) AS hit, CAST(first AS INTEGER) AS first_hit_rank FROM f, (VALUES (1), (3), (5), (10)) t(k)""")
+def c16_evaluate_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embed all texts of a tenant, ask for one of them, rank, pass the leak gate, measure recall."""
+    docs = table(spark, sf_dir, "documents").filter("text is not null")
+    vectors = embedding.embed(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.lit(1).alias("token_count")), LengthEmbedder())
+    rows = stored(vectors.join(docs.select(F.col("doc_id").alias("id"), F.col("source").alias("tenant")), "id"), "made-vectors")
+    asked = docs.filter("lang = 'de'").groupBy(F.col("source").alias("tenant")).agg(F.min("doc_id").alias("id"))
+    queries = asked.join(rows.drop("tenant"), "id").select(F.col("tenant").alias("query_id"), "tenant", F.col("embedding").cast("array<double>").alias("query"))
+    ranking = stored(retrieval.ranked(queries, rows), "made-ranking")
+    named = ranking.join(rows.select("id", "tenant"), "id")
+    owned = lambda tenant: F.struct(F.col(tenant).alias("tenant"), F.col("id").alias("chunk")).alias("id")
+    retrieval.check_no_leakage(named.select(owned("query_id")), rows.select(owned("tenant")))
+    url = F.concat(F.lit("https://x.com/"), F.col("id").cast("string"))
+    found = evaluation.recalls(named.select("query_id", "rank", url.alias("url")), asked.select(F.col("tenant").alias("query_id"), url.alias("url")), ["query_id"])
+    return found.withColumnRenamed("query_id", "source")
+
+
 # ---- load: a first crawl, and a second one with other documents, changed texts and one that failed
 
 _FIRST, _SECOND, _CHANGED = "doc_id % 4 <> 0", "doc_id % 5 <> 0", "doc_id % 7 = 0"
