@@ -1,5 +1,6 @@
 import random
 
+import pytest
 import xxhash
 
 from corpuslake.llm import simhash
@@ -28,7 +29,10 @@ def plain_components(rows, radius=3):
     return sorted((i, f"{p:016x}", least[g]) for (i, _), p, g in zip(rows, prints, group))
 
 
-def test_against_brute_force(make_docs):
+@pytest.mark.parametrize("quarters, salt", [(4_000_000, 1_000_000), (0, 20)])
+def test_against_brute_force(make_docs, monkeypatch, quarters, salt):
+    monkeypatch.setattr(simhash, "QUARTERS_FROM", quarters)
+    monkeypatch.setattr(simhash, "SALT_FROM", salt)
     rng = random.Random(5)
     vocabulary = ["Été", "The", "of"] + [f"w{i}" for i in range(50)]
     rows = []
@@ -44,9 +48,10 @@ def test_against_brute_force(make_docs):
     assert got == plain_components(rows)
 
 
-def test_tiles_are_cut_and_groups_are_not_squared(spark, monkeypatch):
+@pytest.mark.parametrize("quarters", [4_000_000, 0])
+def test_groups_are_not_squared(spark, monkeypatch, quarters):
     """A chain of prints one bit apart over many tiles is one component."""
-    monkeypatch.setattr(simhash, "TILE", 8)
+    monkeypatch.setattr(simhash, "QUARTERS_FROM", quarters)
     prints = [(1 << i) - 1 for i in range(60)] + [0xFFFF << 40 | i for i in range(256)]
     df = spark.createDataFrame([(p,) for p in prints], "fp long")
     found = simhash.links(df).collect()
