@@ -92,3 +92,13 @@ def test_null_and_repeated_urls_and_the_key_of_labels(spark):
     urls = ["http://a.b/en/12", "http://a.b/12.html?x=3", "http://a.b/x12/", "http://a.b/12/x", "http://a.b/" + "9" * 30, None]
     numbers = [r.n for r in spark.createDataFrame([(u,) for u in urls], "url string").select(url_rules.numbered().alias("n")).collect()]
     assert numbers == [12, 12, 12, None, None, None]
+
+
+def test_very_long_urls_and_ties(spark):
+    """A path of 100,000 characters, one of 2,000 segments, and rules of the same confidence."""
+    long = ["http://long.info/" + "a" * 100_000, "http://deep.info/" + "/".join(f"s{i}" for i in range(2000))]
+    rows = [u for u in long for _ in range(40)] + ["http://tie.info/x/y"] * 40 + ["http://ok.info/z"] * 60 + ["", "://", "http://"]
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    truth = spark.createDataFrame([(i, int(u == "http://ok.info/z"), 0) for i, u in enumerate(rows)], "doc_id long, quality int, toxic int")
+    got = {r.url: r.verdict for r in url_rules.judge(pages, truth).collect()}
+    assert got == {u: "allow" if u in ("http://ok.info/z", "", "://", "http://") else "block" for u in rows}
