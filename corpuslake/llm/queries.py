@@ -31,7 +31,7 @@ def op2_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = quality.ledger(quality.measure(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    book = quality.ledger(quality.measure(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
     passed = quality.kept(quality.POLICIES["base"])
     return book.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslake.llm.common import blob, stored, text_batches
+from corpuslake.llm.common import blob, forget, stored, text_batches
 
 SHINGLE_WORDS = 3
 RADIUS = 3
@@ -207,6 +207,7 @@ def components(edges: DataFrame) -> DataFrame:
             .unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         )
         after = stored(small, "stars")
+        forget(now)
         heads = after.select(F.col("v").alias("u")).distinct()
         # every node has one parent, and no parent has one: stars, done
         if after.groupBy("u").count().filter("count > 1").isEmpty() and after.join(heads, "u", "left_semi").isEmpty():
