@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuslake.plans.storage import text_batches
+
 MIN_WORDS = 30
 #: Elements that are page furniture (fixed value).
 NOISE = frozenset("script style noscript svg template iframe nav footer form".split())
@@ -268,9 +270,9 @@ def count_people(root: Node) -> int:
 FIELDS = "title string, text string, reason string, declared string, links array<string>, headings array<string>, people int"
 
 
-def parse_pages(pages: DataFrame, url: str = "url", html: str = "html", batch_rows: int = 1024) -> DataFrame:
+def parse_pages(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Every column of pages but html, and FIELDS. A null html is an empty page; an empty table gives no rows."""
-    pages.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
+    text_batches(pages.sparkSession)
     names = [f.split()[0] for f in FIELDS.split(", ")]
     rest = [c for c in pages.columns if c != html and c not in names]
     kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.int32()]

@@ -48,6 +48,18 @@ def forget(*stages: DataFrame) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Bytes of an Arrow batch that carries whole texts; bounds a Python worker's memory.
+TEXT_BATCH_BYTES = 4 << 20
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Bound the bytes of batches that go to Python, where the session does not (a session setting)."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = (spark.conf.get(name, None) or "").lower().rstrip("b")
+    if not held.isdigit() or not 0 < int(held) <= 1 << 30:
+        spark.conf.set(name, str(TEXT_BATCH_BYTES))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df, dealt to all cores if its scan has fewer parts than there are cores.
 
