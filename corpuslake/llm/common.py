@@ -6,13 +6,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslake.plans.storage import forget, stored
+from corpuslake.plans.storage import forget, stored, text_batches
 
 __all__ = ["NULL_ID", "ROW", "blob", "bounded", "forget", "id_key", "passed", "passing", "stored", "table", "text_batches", "text_key", "unnamed"]
 
-#: Bytes of an Arrow batch that carries whole texts; bounds a Python worker's memory.
-TEXT_BATCH_BYTES = 4 << 20
-
 #: A null id sorts before every other one.
 NULL_ID = -(2**63)
 
@@ -24,15 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_batches(spark: SparkSession) -> None:
-    """Bound the bytes of batches that go to Python, where the session does not (a session setting)."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    held = spark.conf.get(name, None)
-    size = int(held.rstrip("bB")) if held and held.rstrip("bB").lstrip("-").isdigit() else 0
-    if size <= 0 or size > 1 << 30:
-        spark.conf.set(name, str(TEXT_BATCH_BYTES))
-
-
 def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
