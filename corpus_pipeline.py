@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslake.llm import contamination, language, near_copies, packing, secrets
-from corpuslake.llm.common import ROW, passing, stored, table
+from corpuslake.llm.common import ROW, forget, passing, stored, table
+
 
 def wrapped(docs: DataFrame, *needed: str) -> DataFrame:
     """The columns that an operator reads, and all others in one, so that no name of theirs meets its own."""
@@ -92,5 +93,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        done = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        forget(docs)  # the stage before, but not the documents
+        docs = done
     return docs
