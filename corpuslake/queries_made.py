@@ -354,6 +354,14 @@ def c12_embed_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("id", "embedding_model", F.col("embedding")[0].cast("double").alias("chars"), F.col("embedding")[1].cast("double").alias("n_words"))
 
 
+@query()
+def c12_embed_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pass with the built-in stand-in, whose vectors SQL cannot say; bench.py measures it."""
+    docs = web_documents(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("text").alias("content"), text.word_count("text").alias("token_count"))
+    made = embedding.embed(docs, embedding.HashEmbedder(64))
+    return made.select("id", F.size("embedding").alias("dims"), "embedding_model")
+
+
 @query("SELECT item_id AS id, 'flaky' AS embedding_model, CAST(length(text) AS DOUBLE) AS chars FROM benchmark")
 def c13_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every batch fails twice before it succeeds; the pauses are real but short."""
