@@ -8,10 +8,15 @@ of each link:
    19 of 128 bits on average and in more than RADIUS with probability 5 in 100,000; the
    more alike, the fewer. Sets without a common shingle differ in 64 on average and in RADIUS or
    fewer with probability 4 in 10 million.
-2. Fingerprints are compared tile by tile with numpy's exclusive-or and bit counts. Tile pairs whose
+2. Fingerprints are compared where their sets can be alike at all. Two sets of similarity 0.8 share one of
+   the smallest fifth of their hashes (prefix() has the proof; it loses none), so texts are dealt out by these
+   hashes and compared with those that they meet: work in proportion to the corpus.
+3. Texts that meet over CROWD others at one hash (of a line that is everywhere, or a large group of copies) are
+   compared with each other tile by tile with numpy's exclusive-or and bit counts. Tile pairs whose
    population counts differ beyond the radius are skipped, and those whose sizes forbid 0.8. Each
-   tile pair gives a spanning forest of what it links, never all pairs of a group.
-3. What such links hold together is a group, outside of which no text has a near copy. Inside
+   tile pair gives a spanning forest of what it links, never all pairs of a group. This part grows with the
+   square of such texts.
+4. What such links hold together is a group, outside of which no text has a near copy. Inside
    it the sets themselves (of 64-bit hashes) are compared, block by block: a block of a large group meets each of
    the others in a task of its own. Only pairs whose fingerprints are near and that no link joins so far
    are looked at, and each pair of blocks gives a spanning forest of its links.
@@ -45,6 +50,10 @@ TILE = 32768
 SALTS = 4
 #: Elements of one comparison.
 STEP = 1 << 18
+#: Sets that share a hash are compared at once up to so many; those of a larger meeting go by tiles.
+CROWD = 4096
+#: Meetings of up to so many are compared together, larger ones each by itself.
+FEW = 64
 #: Shingles of one block of a group, about: 2 MB.
 BLOCK_SHINGLES = 1 << 18
 #: Nodes whose texts are read again are broadcast up to so many (some 20 MB); beyond, they are joined by a shuffle.
@@ -84,20 +93,120 @@ def fingerprint(found: np.ndarray) -> np.ndarray:
     return np.packbits(2 * bits > len(found), bitorder="little").view(np.uint64)
 
 
+def prefix(found: np.ndarray) -> np.ndarray:
+    """32 bits of a sorted set's smallest hashes, of which it shares one with every set that is like it.
+
+    Sets that are alike have at least 0.8 n hashes in common, n being the size of either, so at most n - ceil(0.8 n)
+    hashes of each are not, and the smallest common one comes after no more than these.
+    """
+    n = len(found)
+    return found[: n + (-ALIKE[0] * n) // ALIKE[1] + 1].astype(np.uint32) if n >= LEAST_SET else found[:0].astype(np.uint32)
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The signature of each text; its prefix only where the task meets its set for the first time."""
+    seen: set[int] = set()
     for b in batches:
-        nodes, sizes, prints = [], [], []
+        nodes, sizes, prints, prefixes = [], [], [], []
         for text in blob(b.column("text")):
             found = shingles(text)
             nodes.append(xxhash.xxh64_intdigest(found.tobytes(), 1))
             sizes.append(len(found))
             prints.append(fingerprint(found))
+            prefixes.append(None if nodes[-1] in seen or len(found) < LEAST_SET else prefix(found).tobytes())
+            seen.add(nodes[-1])
         halves = np.array(prints, np.uint64).reshape(-1, 2).view(np.int64)
         arrays = [
             b.column("doc_id"), b.column("text_key"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()),
-            pa.array(halves[:, 0]), pa.array(halves[:, 1]),
+            pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(prefixes, pa.binary()),
         ]
-        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_key", "node", "n", "a", "b"])
+        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_key", "node", "n", "a", "b", "prefix"])
+
+
+_MET = np.dtype([("token", np.uint32), ("n", np.int32), ("node", np.int64), ("a", np.uint64), ("b", np.uint64)])
+
+
+def _dealt(parts: int):
+    """Rows of node, n, a, b, prefix: one row for each bucket of the prefixes' hashes, its _MET rows as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.frombuffer(x, np.uint32) for x in b.column("prefix").to_pylist()]
+            if not found:
+                continue
+            token = np.concatenate(found)
+            order = np.argsort((token % parts).astype(np.uint16 if parts <= 1 << 16 else np.uint32), kind="stable")
+            place = np.repeat(np.arange(len(found)), [len(x) for x in found])[order]
+            rows = np.empty(len(token), _MET)
+            rows["token"] = token[order]
+            for c in _COLUMNS:
+                values = b.column(c).to_numpy()
+                rows[c] = (values if c == "n" else values.view(_MET[c]))[place]
+            bucket = rows["token"] % parts
+            starts = np.flatnonzero(np.diff(bucket, prepend=parts))
+            data = [rows[i:j].tobytes() for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)])]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[starts].astype(np.int64)), pa.array(data, pa.binary())], names=["bucket", "rows"])
+
+    return run
+
+
+def met(rows: np.ndarray, crowd: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of links that span what the sets that share a token link; a node with itself if over crowd share its token."""
+    rows = rows[np.argsort(rows["token"], kind="stable")]
+    same = rows["token"][1:] == rows["token"][:-1]
+    rows = rows[np.append(same, False) | np.insert(same, 0, False)] if len(rows) else rows
+    rows = rows[np.lexsort((rows["node"], rows["token"]))]
+    again = (rows["token"][1:] == rows["token"][:-1]) & (rows["node"][1:] == rows["node"][:-1])  # a repeated row's, from another task
+    rows = rows[np.insert(~again, 0, True)] if len(rows) else rows
+    starts = np.flatnonzero(np.insert(rows["token"][1:] != rows["token"][:-1], 0, True)) if len(rows) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, len(rows)))
+    after = np.repeat(starts + sizes, sizes) - np.arange(len(rows))  # rows of the same token from here on
+    size = np.repeat(sizes, sizes)
+    us, vs = [], []
+    at, d = np.flatnonzero(size <= min(FEW, crowd)), 1
+    while len(at := at[after[at] > d]):
+        for i in range(0, len(at), STEP):
+            p = at[i : i + STEP]
+            near = np.bitwise_count(rows["a"][p] ^ rows["a"][p + d]) + np.bitwise_count(rows["b"][p] ^ rows["b"][p + d]) <= RADIUS
+            p = p[near]
+            n, m = rows["n"][p].astype(np.int64), rows["n"][p + d].astype(np.int64)
+            p = p[np.minimum(n, m) * ALIKE[1] >= np.maximum(n, m) * ALIKE[0]]
+            us.append(rows["node"][p])
+            vs.append(rows["node"][p + d])
+        d += 1
+    for i in np.flatnonzero((sizes > FEW) & (sizes <= crowd)).tolist():
+        group = rows[starts[i] : starts[i] + sizes[i]]
+        x = {c: np.ascontiguousarray(group[c]) for c in _COLUMNS}
+        for held, found in zip((us, vs), forest(x, x, True)):
+            held.append(found)
+    crowded = np.unique(rows["node"][size > crowd])
+    u, v = (np.concatenate([*z, np.zeros(0, np.int64)]) for z in (us, vs))
+    nodes, places = np.unique(np.concatenate([u, v]), return_inverse=True)
+    used, _ = _joined(np.arange(len(nodes)), places[: len(u)], places[len(u) :])
+    return np.concatenate([u[used], crowded]), np.concatenate([v[used], crowded])
+
+
+def _meet(crowd: int):
+    """Rows of bucket, rows, sorted by bucket: the links of each bucket."""
+
+    def links(held: list[bytes]) -> pa.RecordBatch:
+        u, v = met(np.frombuffer(b"".join(held), _MET), crowd)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        now = None
+        for b in batches:
+            for bucket, rows in zip(b.column("bucket").to_pylist(), b.column("rows").to_pylist()):
+                if held and bucket != now:
+                    yield links(held)
+                    held = []
+                now = bucket
+                held.append(rows)
+        if held:
+            yield links(held)
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,27 +285,33 @@ def _near(x: dict, y: dict, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray
         yield p[keep][order], q[keep][order]
 
 
+def _joined(label: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the pairs p, q of places span what they join, the first ones before others; and the labels after."""
+    at, used = np.arange(len(p)), []
+    while True:
+        low, high = np.minimum(label[p[at]], label[q[at]]), np.maximum(label[p[at]], label[q[at]])
+        apart = low != high
+        if not apart.any():
+            return np.concatenate([*used, np.zeros(0, np.int64)]), label
+        at, low, high = at[apart], low[apart], high[apart]
+        joined, first = np.unique(high, return_index=True)  # each label hangs on one that is lower
+        used.append(at[first])
+        onto = np.arange(len(label))
+        onto[joined] = low[first]
+        while (onto != onto[onto]).any():
+            onto = onto[onto]
+        label = onto[label]
+
+
 def forest(x: dict, y: dict, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Nodes of links that span what a tile pair's fingerprints link: fewer links than fingerprints."""
     n = len(x["node"])
     label = np.arange(n if same else n + len(y["node"]))
     us, vs = [], []
     for p, q in _near(x, y, same):
-        at = q if same else q + n
-        while True:
-            low, high = np.minimum(label[p], label[at]), np.maximum(label[p], label[at])
-            apart = low != high
-            if not apart.any():
-                break
-            p, q, at, low, high = (z[apart] for z in (p, q, at, low, high))
-            joined, first = np.unique(high, return_index=True)  # each label hangs on one that is lower
-            us.append(x["node"][p[first]])
-            vs.append(y["node"][q[first]])
-            onto = np.arange(len(label))
-            onto[joined] = low[first]
-            while (onto != onto[onto]).any():
-                onto = onto[onto]
-            label = onto[label]
+        used, label = _joined(label, p, q if same else q + n)
+        us.append(x["node"][p[used]])
+        vs.append(y["node"][q[used]])
     return tuple(np.concatenate(z) if z else np.zeros(0, np.int64) for z in (us, vs))
 
 
@@ -281,7 +396,20 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
+def candidates(signatures: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """u, v: links that span what fingerprints link of sets that can be alike; signatures: a, b, node, n, prefix (or null)."""
+    parts = int(signatures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sets = signatures.filter(F.col("prefix").isNotNull()).select(*_COLUMNS, "prefix")
+    dealt = sets.mapInArrow(_dealt(parts), "bucket long, rows binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    links = stored(dealt.mapInArrow(_meet(crowd), "u long, v long"), "near-met")
+    crowded = links.filter("u = v").select(F.col("u").alias("node")).distinct()
+    links = links.filter("u <> v")
+    if crowded.isEmpty():
+        return links
+    return links.unionByName(by_tiles(sets.drop("prefix").dropDuplicates(["node"]).join(crowded, "node", "left_semi")))
+
+
+def by_tiles(nodes: DataFrame) -> DataFrame:
     """u, v: links that span what fingerprints link; nodes: a, b, node, n."""
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # sets that are alike have sizes of ratio 0.8, so equal or neighbouring keys; a key is dealt out by salt
@@ -308,14 +436,14 @@ def rooted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", text_key("text").alias("text_key"), F.col("text").cast("binary").alias("text"))
-    signatures = stored(keyed.mapInArrow(_signatures, f"doc_id {kind}, text_key long, node long, n int, a long, b long"), "near-signatures")
+    signatures = stored(keyed.mapInArrow(_signatures, f"doc_id {kind}, text_key long, node long, n int, a long, b long, prefix binary"), "near-signatures")
     nodes = stored(
         signatures.groupBy("node").agg(
             F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "text_key")).alias("at"), F.first("n").alias("n"), F.first("a").alias("a"), F.first("b").alias("b")
         ),
         "near-nodes",
     )
-    groups = components(candidates(nodes.filter(F.col("n") >= LEAST_SET).select(*_COLUMNS)))
+    groups = components(candidates(signatures, CROWD))
     # the texts of groups are read again, one of each node, and their sets dealt out by group and pair of blocks
     members = groups.select("node", F.col("root").alias("part")).join(nodes, "node")
     blocks = members.groupBy("part").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))

@@ -110,5 +110,67 @@ def test_a_group_of_which_many_are_not_alike(make_docs, monkeypatch, shingles):
     assert got == want
 
 
+def test_sets_that_are_alike_share_a_hash_of_their_prefixes():
+    rng = np.random.default_rng(5)
+    for n in [4, 5, 6, 9, 10, 11, 99, 100, 101, 317]:
+        for _ in range(60):
+            x = np.unique(rng.integers(0, 2**63, n, np.uint64))
+            gone = int(rng.integers(0, n // 5 + 1))  # the smallest go, the worst that can be
+            y = np.unique(np.concatenate([x[gone:], rng.integers(0, 2**40, (n - gone) * 5 // 4 - (n - gone), np.uint64)]))
+            both = len(np.intersect1d(x, y))
+            if 5 * both >= 4 * (len(x) + len(y) - both):
+                assert np.intersect1d(near_copies.prefix(x), near_copies.prefix(y)).size
+
+
+@pytest.mark.parametrize("crowd", [2, 70, 4096])
+def test_meetings_span_what_brute_force_links(crowd):
+    rng = np.random.default_rng(9)
+    x = _rows(300)
+    x["a"][100:] = x["a"][:200] ^ np.uint64(0b1011)
+    x["b"] = x["a"] ^ np.uint64(5)
+    token = np.where(rng.random(300) < 0.4, 7, rng.integers(0, 60, 300)).astype(np.uint32)  # one large meeting
+    rows = np.empty(300, near_copies._MET)
+    rows["token"] = token
+    for c in x:
+        rows[c] = x[c]
+    u, v = near_copies.met(rng.permutation(np.concatenate([rows, rows[:50]])), crowd)
+    sizes = np.bincount(token)[token]
+    assert sorted(u[u == v]) == np.flatnonzero(sizes > crowd).tolist()
+    label = list(range(300))
+    for i, j in zip(u.tolist(), v.tolist()):
+        old, new = label[i], label[j]
+        label = [new if z == old else z for z in label]
+    want = list(range(300))
+    for i in range(300):
+        for j in range(i):
+            near = sum(bin(int(x[c][i]) ^ int(x[c][j])).count("1") for c in ("a", "b")) <= near_copies.RADIUS
+            if near and token[i] == token[j] and sizes[i] <= crowd:
+                old, new = want[i], want[j]
+                want = [new if z == old else z for z in want]
+    assert len(set(label)) == len(set(want)) == len(set(zip(label, want)))
+
+
+def test_texts_without_a_common_shingle_are_not_compared(make_docs, monkeypatch):
+    """Compared are those that share a shingle, not all pairs of the corpus."""
+    monkeypatch.setattr(near_copies, "by_tiles", None)  # for crowds only
+    seen = []
+    real = near_copies.components
+    monkeypatch.setattr(near_copies, "components", lambda links: seen.append(links.distinct().count()) or real(links))
+    rows = [(i, " ".join(f"w{i}-{k}" for k in range(30))) for i in range(40)] + [(50, " ".join(f"w3-{k}" for k in range(29)))]
+    got = dict(tuple(r) for r in near_copies.near_copies(make_docs(rows)).collect())
+    assert got == {i: i for i in range(40)} | {50: 3} and seen == [1, 1]
+
+
+def test_crowds_go_by_tiles_with_the_same_result(make_docs, monkeypatch):
+    rows = edited()
+    want, _ = plain_components(rows)
+    called = []
+    real = near_copies.by_tiles
+    monkeypatch.setattr(near_copies, "by_tiles", lambda nodes: called.append(nodes.count()) or real(nodes))
+    monkeypatch.setattr(near_copies, "CROWD", 2)
+    got = sorted(tuple(r) for r in near_copies.near_copies(make_docs(rows).repartition(3)).collect())
+    assert got == want and called[0] > 100
+
+
 def test_an_empty_table(make_docs):
     assert near_copies.near_copies(make_docs([(1, "a")]).limit(0)).collect() == []
