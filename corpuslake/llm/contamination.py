@@ -3,9 +3,10 @@
 The test side's phrases (windows of its items) are each filed under their rarest terms,
 by counts over the whole corpus. The index stores the training tokens' postings (row,
 place) of those terms: lists as short as the corpus allows. A phrase's lists are shifted
-by the terms' offsets in it and intersected by a group-by on the shifted place, which
-combines before its shuffle; what is left is compared word by word with the text, so
-matches are exact. Proximity matches are those of which all these terms occur within a few
+by the terms' offsets in it and intersected by a group-by on the shifted place. The lists
+are dealt out by document before they meet the phrases, so only postings are shuffled and not
+the many more rows that shifting makes of them; what is left is compared word by word with the
+text, so matches are exact. Proximity matches are those of which all these terms occur within a few
 places of where the phrase has them. Built-in expressions only. The documents are read three times and
 never shuffled, but for those with a match where these are too many to broadcast.
 """
@@ -70,10 +71,15 @@ def tokens(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     return raw.filter("raw <> ''").select(*extra, (F.col("pos") - F.col("lead")).alias("pos"), lowered(F.col("raw")).alias("word"))
 
 
-def _joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-    """left (word, pos) and right (word) by word: right is broadcast up to a bound; beyond, frequent words are dealt out by place."""
+def _joined(left: DataFrame, right: DataFrame, how: str, deal: str | None = None) -> DataFrame:
+    """left (word, pos) and right (word) by word: right is broadcast up to a bound; beyond, frequent words are dealt out by place.
+
+    deal: a column by which left is dealt out before a broadcast, for a later group-by on it and others.
+    """
     small = bounded(right, BROADCAST_TERMS)
     if small is not right:
+        if deal:
+            left = left.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), deal)
         return left.join(small, "word", how)
     salted = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return left.withColumn("salt", F.pmod("pos", F.lit(SALTS))).join(salted, ["word", "salt"], how).drop("salt")
@@ -113,16 +119,16 @@ def _keys() -> list[Column]:
 
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """The index: word, doc_key, row_key, pos of every occurrence of terms (word)."""
-    return _joined(tokens(docs.select(*_keys(), "text"), ("doc_key", "row_key")), terms, "left_semi")
+    """The index: word, doc_key, row_key, pos of every occurrence of terms (word); those of repeated rows once."""
+    return _joined(tokens(docs.select(*_keys(), "text"), ("doc_key", "row_key")), terms, "left_semi").distinct()
 
 
 def exact_candidates(index: DataFrame, filed: DataFrame) -> DataFrame:
     """doc_key, row_key, phrase_id, start where all anchors of a complete phrase agree."""
-    shifted = _joined(index, filed.filter("complete"), "inner").withColumn("start", F.col("pos") - F.col("offset")).filter("start >= 0")
+    shifted = _joined(index, filed.filter("complete"), "inner", "doc_key").withColumn("start", F.col("pos") - F.col("offset")).filter("start >= 0")
     return (
         shifted.groupBy("doc_key", "row_key", "phrase_id", "start").agg(F.bit_or("bit").alias("bits"), F.max("mask").alias("mask"))
-        .filter("bits = mask").select("doc_key", "row_key", "phrase_id", "start")
+        .filter("bits = mask").select("doc_key", "row_key", "phrase_id", "start").hint("rebalance", F.col("doc_key"))
     )
 
 
@@ -132,7 +138,7 @@ def proximity(index: DataFrame, filed: DataFrame, slop: int) -> DataFrame:
     A shifted place counts in the two buckets that a window of slop + 1 places can touch, so the
     intersection is a group-by of at most 2 * (slop + 1) places here too.
     """
-    shifted = _joined(index, filed, "inner").withColumn("start", F.col("pos") - F.col("offset"))
+    shifted = _joined(index, filed, "inner", "doc_key").withColumn("start", F.col("pos") - F.col("offset"))
     bucket = F.floor(F.col("start") / (slop + 1)).cast("long")
     spread = shifted.withColumn("bucket", F.explode(F.array(bucket - 1, bucket)))
     grouped = spread.groupBy("doc_key", "row_key", "phrase_id", "bucket").agg(
@@ -144,7 +150,7 @@ def proximity(index: DataFrame, filed: DataFrame, slop: int) -> DataFrame:
         return F.aggregate("s", F.lit(0), lambda bits, b: F.when(inside(b), bits.bitwiseOR(b["bit"])).otherwise(bits))
 
     within = F.exists("s", lambda a: bits_from(a) == F.col("mask"))
-    return grouped.filter("bits = mask").filter(within).select("doc_key", "row_key", "phrase_id").distinct()
+    return grouped.filter("bits = mask").filter(within).select("doc_key", "row_key", "phrase_id").distinct().hint("rebalance", F.col("doc_key"))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int | None = None) -> tuple[DataFrame, DataFrame | None]:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslake.llm.common import blob, bounded, stored, text_batches, text_key
+from corpuslake.llm.common import blob, bounded, stored, text_batches, text_key, trimmed
 from corpuslake.llm.simhash import components
 
 SHINGLE_WORDS = 5
@@ -400,8 +400,8 @@ def candidates(signatures: DataFrame, crowd: int = CROWD) -> DataFrame:
     """u, v: links that span what fingerprints link of sets that can be alike; signatures: a, b, node, n, prefix (or null)."""
     parts = int(signatures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sets = signatures.filter(F.col("prefix").isNotNull()).select(*_COLUMNS, "prefix")
-    dealt = sets.mapInArrow(_dealt(parts), "bucket long, rows binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    links = stored(dealt.mapInArrow(_meet(crowd), "u long, v long"), "near-met")
+    dealt = sets.mapInArrow(trimmed(_dealt(parts)), "bucket long, rows binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    links = stored(dealt.mapInArrow(trimmed(_meet(crowd)), "u long, v long"), "near-met")
     crowded = links.filter("u = v").select(F.col("u").alias("node")).distinct()
     links = links.filter("u <> v")
     if crowded.isEmpty():
@@ -418,7 +418,7 @@ def by_tiles(nodes: DataFrame) -> DataFrame:
         F.pmod(F.xxhash64("node"), F.lit(max(SALTS, nodes.count() // (64 * TILE)))).alias("salt"),
     )
     schema = "key long, tile long, low int, high int, a binary, b binary, node binary, n binary"
-    tiles = stored(keyed.repartition(parts, "key", "salt").sortWithinPartitions("key", "ones").mapInArrow(_tiles, schema), "near-tiles")
+    tiles = stored(keyed.repartition(parts, "key", "salt").sortWithinPartitions("key", "ones").mapInArrow(trimmed(_tiles), schema), "near-tiles")
     index = tiles.select("key", "tile", "low", "high")
     other = index.select(F.col("key").alias("k"), F.col("tile").alias("tb"), F.col("low").alias("lb"), F.col("high").alias("hb"))
     ahead = index.select(F.explode(F.array("key", F.col("key") + 1)).alias("k"), F.col("tile").alias("ta"), "key", "low", "high")
@@ -427,7 +427,7 @@ def by_tiles(nodes: DataFrame) -> DataFrame:
     sides = near.select("ta", "tb", F.explode(F.expr("if(ta = tb, array(0), array(0, 1))")).alias("side"))
     placed = sides.withColumn("tile", F.when(F.col("side") == 0, F.col("ta")).otherwise(F.col("tb")))
     dealt = placed.join(tiles.drop("key", "low", "high"), "tile").repartition(parts, "ta", "tb").sortWithinPartitions("ta", "tb", "side")
-    return dealt.select("ta", "tb", "side", *_COLUMNS).mapInArrow(_compare, "u long, v long")
+    return dealt.select("ta", "tb", "side", *_COLUMNS).mapInArrow(trimmed(_compare), "u long, v long")
 
 
 def rooted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -436,7 +436,7 @@ def rooted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", text_key("text").alias("text_key"), F.col("text").cast("binary").alias("text"))
-    signatures = stored(keyed.mapInArrow(_signatures, f"doc_id {kind}, text_key long, node long, n int, a long, b long, prefix binary"), "near-signatures")
+    signatures = stored(keyed.mapInArrow(trimmed(_signatures), f"doc_id {kind}, text_key long, node long, n int, a long, b long, prefix binary"), "near-signatures")
     nodes = stored(
         signatures.groupBy("node").agg(
             F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "text_key")).alias("at"), F.first("n").alias("n"), F.first("a").alias("a"), F.first("b").alias("b")
@@ -449,14 +449,14 @@ def rooted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     blocks = members.groupBy("part").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     wanted = stored(members.join(blocks, "part").select("at", "part", "blocks", *_COLUMNS), "near-wanted")
     texts = keyed.join(bounded(wanted, BROADCAST_NODES), F.struct("doc_id", "text_key").eqNullSafe(F.col("at")))
-    sets = texts.select("part", "blocks", *_COLUMNS, "text").mapInArrow(_sets, "part long, blocks int, a long, b long, node long, n int, set binary")
+    sets = texts.select("part", "blocks", *_COLUMNS, "text").mapInArrow(trimmed(_sets), "part long, blocks int, a long, b long, node long, n int, set binary")
     own = sets.withColumn("t", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pair = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda j: F.struct(F.least("t", j).alias("x"), F.greatest("t", j).alias("y"), (F.col("t") > j).cast("int").alias("side")),
     )
     dealt = own.withColumn("pair", F.explode(pair)).select("part", "pair.x", "pair.y", "pair.side", *_COLUMNS, "set")
-    links = dealt.repartition(parts, "part", "x", "y").sortWithinPartitions("part", "x", "y", "side").mapInArrow(_check, "u long, v long")
+    links = dealt.repartition(parts, "part", "x", "y").sortWithinPartitions("part", "x", "y", "side").mapInArrow(trimmed(_check), "u long, v long")
     roots = components(links)
     return signatures, nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
 

@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from corpuslake.llm import contamination
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -75,3 +77,20 @@ def test_ids_of_any_type_and_clashing_names(spark):
     got = contamination.contamination(docs, spark.createDataFrame([("i", "one two")], "item_id string, text string"))
     assert got.columns == ["doc_id", "text", "hit", "row_key", "__row", "n_words", "n_hit", "items", "whole_window", "contaminated"]
     assert sorted((r.doc_id or "", r.text or "", r.row_key, r.n_words, r.n_hit) for r in got.collect()) == [("", "one two", "k", 2, 2), ("a", "", "k", 0, 0), ("a", "x one two y", "k", 4, 2)]
+
+
+def test_postings_are_shuffled_before_they_are_shifted(spark, make_docs):
+    """One shuffle, of postings by document, below the join; shifted places are many more rows. Repeated rows have postings once."""
+    docs, items = cases()
+    found = contamination.phrases(spark.createDataFrame(items, "item_id long, text string")).withColumn("phrase_id", F.xxhash64("phrase"))
+    terms = found.select(F.explode("phrase").alias("word")).distinct()
+    table = make_docs(docs)
+    filed = contamination.anchors(found, contamination.counts(table, terms)).localCheckpoint()
+    index = contamination.postings(table, filed.select("word").distinct()).localCheckpoint()
+    assert index.count() == contamination.postings(table.unionAll(table), filed.select("word").distinct()).count()
+    for shifted in (contamination.exact_candidates(index, filed), contamination.proximity(index, filed, 3)):
+        plan = shifted._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        dealt = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line and "REBALANCE" not in line]  # what is found goes to few files
+        shuffles = [re.search(r"hashpartitioning\(([^)]*)\)", line)[1] for line in dealt]
+        assert all("start" not in s and "bucket" not in s for s in shuffles), plan
+        assert sum(s.startswith("doc_key") and "phrase_id" not in s for s in shuffles) == 1, plan

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from corpuslake.llm import near_copies
+from corpuslake.llm import common, near_copies
 
 
 def plain_sets(text):
@@ -174,3 +174,18 @@ def test_crowds_go_by_tiles_with_the_same_result(make_docs, monkeypatch):
 
 def test_an_empty_table(make_docs):
     assert near_copies.near_copies(make_docs([(1, "a")]).limit(0)).collect() == []
+
+
+def test_workers_give_memory_back(spark, make_docs, monkeypatch):
+    """After each task of Python, when the worker's last batch is out."""
+    seen = []
+    monkeypatch.setattr(common, "give_back", lambda: seen.append("back"))
+    for b in common.trimmed(lambda batches: (2 * b for b in batches))(iter([1, 2])):
+        seen.append(b)
+    assert seen == [2, 4, "back"]
+    sent = []
+    kind = type(spark.range(1))
+    through = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda df, run, *rest: sent.append(run) or through(df, run, *rest))
+    near_copies.near_copies(make_docs(edited()[:30])).collect()
+    assert len(sent) >= 5 and all(run.__qualname__.startswith("trimmed.") for run in sent)
