@@ -51,7 +51,7 @@ def content_hash(c: Column | str) -> Column:
 
 def stable_hash(c: Column | str) -> Column:
     """Hash of the multiset of words: the same for a text whose records were shuffled."""
-    return F.substring(F.sha2(F.array_join(F.array_sort(words(c)), "\0"), 256), 1, 16)
+    return F.substring(F.sha2(F.array_join(F.sort_array(words(c)), "\0"), 256), 1, 16)
 
 
 def provenance_header(title: Column | str, kind: Column | str, published: Column | str) -> Column:

@@ -50,9 +50,10 @@ def newest_start(runs: DataFrame) -> DataFrame:
     return runs.groupBy("prospect_id").agg(F.max("started_at").alias("newest"))
 
 
-def first_chunks(chunks: DataFrame) -> DataFrame:
-    """id (of a document), head: the content of its first chunk."""
-    return chunks.filter("chunk_index = 0").select(F.col("document_id").alias("id"), F.col("content").alias("head"))
+def first_chunks(chunks: DataFrame, chars: Column | None = None) -> DataFrame:
+    """id (of a document), head: the content of its first chunk, or so many characters of it."""
+    head = F.col("content") if chars is None else F.substring("content", F.lit(1), chars)
+    return chunks.filter("chunk_index = 0").select(F.col("document_id").alias("id"), head.alias("head"))
 
 
 def removed(stored: DataFrame, crawled: DataFrame, keys: list[str]) -> DataFrame:
@@ -60,6 +61,12 @@ def removed(stored: DataFrame, crawled: DataFrame, keys: list[str]) -> DataFrame
     return stored.join(crawled.select(*keys), keys, "left_anti")
 
 
+def _lead() -> Column:
+    """What a document's first chunk begins with."""
+    top = text.provenance_header("title", "kind", "published")
+    return F.when(top == "", "").otherwise(F.concat(top, F.lit("\n\n")))
+
+
 def change_classes(incoming: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
     """Every column of incoming, and change: inserted, unchanged, reordered, relabelled, changed, unknown.
 
@@ -74,9 +81,7 @@ def change_classes(incoming: DataFrame, stored: DataFrame, keys: list[str]) -> D
         *keys, F.lit(True).alias("__there"), F.col("content_hash").alias("__content"), F.col("stable_hash").alias("__stable"),
         F.col("head").alias("__head"), *[F.col("chunker").alias("__chunker")] * has_chunker,
     )
-    top = text.provenance_header("title", "kind", "published")
-    lead = F.when(top == "", "").otherwise(F.concat(top, F.lit("\n\n")))
-    same_head = F.coalesce(F.col("__head").startswith(lead), F.lit(False))
+    same_head = F.coalesce(F.col("__head").startswith(_lead()), F.lit(False))
     if has_chunker:
         same_head = same_head & F.col("chunker").eqNullSafe(F.col("__chunker"))
     known = F.coalesce(F.col("__stable"), F.lit("")) != ""
@@ -111,55 +116,65 @@ class Tables:
 def load(tables: Tables, artifacts: DataFrame, now: Column, chunk, max_age_hours: int = 0) -> tuple[Tables, DataFrame]:
     """Tables after loading artifacts, and a report: one row for each tenant.
 
-    artifacts: read_artifacts(), one for each tenant. Stale ones, and those without a robots
-    reason, are left out whole and reported as refused. Runs and outcomes are appended if
+    artifacts: read_artifacts(), one for each tenant, whole or in parts (sources.artifact). Stale ones, and
+    those without a robots reason, are left out whole and reported as refused. Runs and outcomes are appended if
     absent. Documents are written only if no newer crawl is stored; stored documents that a
     crawl does not have go only if it completed and has some. chunk(documents) gives
     document_id, chunk_index, content, token_count, kind for changed documents.
+
+    Tenants and documents are joined by their keys, hashes and counts. Only two joins move texts, once each:
+    that of crawled texts with the keys to chunk, and that of stored chunks with the keys to keep.
     """
-    bad = A.refused(artifacts, now, max_age_hours)
-    good = artifacts.join(bad.select("domain"), "domain", "left_anti").withColumn("prospect_id", row_id("domain"))
+    bad = A.refused(artifacts, now, max_age_hours).distinct()
+    good = A.heads(artifacts).join(bad.select("domain"), "domain", "left_anti").withColumn("prospect_id", row_id("domain"))
+    accepted = artifacts.withColumn("prospect_id", row_id("domain"))
     prospects = upsert(tables.prospects, good.select(F.col("prospect_id").alias("id"), "company_name", "domain", "signals"), ["domain"])
-    fetched = F.size(F.filter("page_outcomes", lambda o: ~o["outcome"].isin(*A.NOT_FETCHED)))
     runs = good.select(
         row_id("prospect_id", "crawled_at_utc").alias("id"), "prospect_id", F.col("crawled_at_utc").alias("started_at"), F.col("crawled_at_utc").alias("finished_at"),
-        "robots_reason", F.col("crawl_outcome").alias("outcome"), F.lit(DEFAULTS.max_pages).alias("max_pages"), fetched.alias("pages_fetched"),
-        F.size("documents").alias("documents_stored"), F.lit(DEFAULTS.user_agent).alias("user_agent"), A.derivation_note().alias("detail"),
+        "robots_reason", F.col("crawl_outcome").alias("outcome"), F.lit(DEFAULTS.max_pages).alias("max_pages"), "pages_fetched",
+        F.col("n_documents").alias("documents_stored"), F.lit(DEFAULTS.user_agent).alias("user_agent"), A.derivation_note().alias("detail"),
     )
     new_runs = insert_absent(tables.crawl_runs, runs, ["prospect_id", "started_at"])
-    outcomes = good.select(row_id("prospect_id", "crawled_at_utc").alias("crawl_run_id"), F.explode("page_outcomes").alias("o")).select("crawl_run_id", "o.*")
+    outcomes = accepted.select("prospect_id", "crawled_at_utc", F.explode("page_outcomes").alias("o")).join(good.select("prospect_id", "crawled_at_utc"), ["prospect_id", "crawled_at_utc"], "left_semi")
+    outcomes = outcomes.select(row_id("prospect_id", "crawled_at_utc").alias("crawl_run_id"), "o.*")
     outcomes = outcomes.select(row_id("crawl_run_id", "url").alias("id"), "crawl_run_id", "url", "outcome", "http_status", F.nullif("detail", F.lit("")).alias("detail"))
     new_outcomes = insert_absent(tables.crawl_page_outcomes, outcomes, ["crawl_run_id", "url"])
     crawl_runs = tables.crawl_runs.unionByName(new_runs)
     newest = newest_start(crawl_runs).withColumnRenamed("newest", "__newest")
     current = good.join(newest, "prospect_id").filter(F.col("crawled_at_utc") >= F.col("__newest")).drop("__newest")
-    incoming = current.select("prospect_id", "crawled_at_utc", F.explode("documents").alias("d")).select("prospect_id", "crawled_at_utc", "d.*")
-    incoming = incoming.select(
+    crawled = accepted.select("prospect_id", "crawled_at_utc", F.explode("documents").alias("d")).select("prospect_id", "crawled_at_utc", "d.*")
+    crawled = crawled.select(
         row_id("prospect_id", "url").alias("id"), "prospect_id", F.col("url").alias("source_url"), "kind", F.coalesce("title", F.lit("")).alias("title"),
-        "published", "text", "content_hash", F.nullif("stable_hash", F.lit("")).alias("stable_hash"),
+        "published", "text", text.word_count("text").alias("word_count"), "content_hash", F.nullif("stable_hash", F.lit("")).alias("stable_hash"),
         F.coalesce("duplicate_urls", F.array().cast("array<string>")).alias("duplicate_urls"), F.col("crawled_at_utc").alias("fetched_at"),
     )
-    stored = tables.documents.select("id", "content_hash", "stable_hash").join(first_chunks(tables.chunks), "id", "left")
+    now_current = current.select("prospect_id", F.col("crawled_at_utc").alias("fetched_at"))
+    incoming = crawled.drop("text").join(now_current, ["prospect_id", "fetched_at"], "left_semi")
+    longest = F.broadcast(crawled.agg(F.coalesce(F.max(F.length(_lead())), F.lit(0)).alias("__longest")))
+    heads = first_chunks(tables.chunks.crossJoin(longest), F.col("__longest"))
+    stored = tables.documents.select("id", "content_hash", "stable_hash").join(heads, "id", "left")
     classed = change_classes(incoming, stored, ["id"])
     rows = classed.select(
         "id", "prospect_id", "source_url", "kind", F.substring("title", 1, 500).alias("title"), dates.parse_published("published").alias("published_at"),
-        text.word_count("text").alias("word_count"), "content_hash", "stable_hash", "duplicate_urls", "fetched_at",
+        "word_count", "content_hash", "stable_hash", "duplicate_urls", "fetched_at",
     )
-    whole = current.filter((F.col("crawl_outcome") == "completed") & (F.size("documents") > 0)).select("prospect_id")
+    whole = current.filter((F.col("crawl_outcome") == "completed") & (F.col("n_documents") > 0)).select("prospect_id")
     gone = removed(tables.documents.join(whole, "prospect_id", "left_semi"), rows, ["id"])
     documents = upsert(tables.documents, rows, ["id"]).join(gone.select("id"), "id", "left_anti")
-    again = classed.filter(F.col("change").isin(*RECHUNK))
-    made = chunk(again.select(F.col("id").alias("document_id"), "prospect_id", "kind", "title", "published", "text"))
+    again = classed.filter(F.col("change").isin(*RECHUNK)).select("id", "fetched_at")
+    fresh = crawled.select("id", "prospect_id", "fetched_at", "kind", "title", "published", "text").join(again, ["id", "fetched_at"], "left_semi")
+    made = chunk(fresh.select(F.col("id").alias("document_id"), "prospect_id", "kind", "title", "published", "text"))
     made = made.select(
         row_id("document_id", "chunk_index").alias("id"), "document_id", "prospect_id", "kind", "chunk_index", "content", "token_count",
         F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast("string").alias("embedding_model"),
     )
-    kept = tables.chunks.join(again.select(F.col("id").alias("document_id")), "document_id", "left_anti")
-    chunks = cascade(kept.unionByName(made.select(*kept.columns)), documents, {"document_id": "id", "prospect_id": "prospect_id"})
+    unchanged = documents.select("id", "prospect_id").join(again.select("id"), "id", "left_anti")
+    kept = cascade(tables.chunks, unchanged, {"document_id": "id", "prospect_id": "prospect_id"})
+    chunks = kept.unionByName(made.select(*kept.columns))
     held = (
         F.when(F.col("__newest") > F.col("crawled_at_utc"), "a newer crawl is stored, so the documents were not written")
         .when(F.col("crawl_outcome") != "completed", "the crawl did not complete, so stored documents were kept")
-        .when(F.size("documents") == 0, "the crawl has no documents, so none were removed").otherwise("")
+        .when(F.col("n_documents") == 0, "the crawl has no documents, so none were removed").otherwise("")
     )
     counts = load_counts(classed, "prospect_id")
     left = gone.groupBy("prospect_id").agg(F.sort_array(F.collect_list("source_url")).alias("removed"))

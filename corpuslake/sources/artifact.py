@@ -1,4 +1,9 @@
-"""Crawl artifacts: one JSON object a tenant, read strictly and written whole."""
+"""Crawl artifacts: one JSON object a tenant, read strictly and written whole.
+
+A tenant of many documents may come in parts: rows of the same domain and crawl time with the same
+head (all but documents and page outcomes), each with a share of the documents and outcomes. So no row
+has to hold all texts of a tenant. What reads documents or outcomes needs no more than explode; heads() sums up the rest.
+"""
 
 from __future__ import annotations
 
@@ -18,6 +23,8 @@ class ArtifactTooOld(ArtifactRefused):
 
 
 _KEYS = [f.name for f in ARTIFACT.fields]
+#: What every part of an artifact has alike, and a load reads.
+HEAD = ("domain", "crawled_at_utc", "company_name", "robots_reason", "crawl_outcome", "signals")
 
 
 def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
@@ -78,6 +85,13 @@ def refused(artifacts: DataFrame, now: Column, max_age_hours: int = 0) -> DataFr
     return artifacts.select("domain", reason.alias("reason")).filter(F.col("reason").isNotNull())
 
 
+def heads(artifacts: DataFrame) -> DataFrame:
+    """domain, crawled_at_utc, company_name, robots_reason, crawl_outcome, signals, n_documents, pages_fetched: one row for an artifact, in however many parts."""
+    fetched = F.size(F.filter("page_outcomes.outcome", lambda o: ~o.isin(*NOT_FETCHED)))
+    each = artifacts.select(*HEAD, F.size("documents.url").alias("n"), fetched.alias("f"))
+    return each.groupBy(*HEAD).agg(F.sum("n").cast("int").alias("n_documents"), F.sum("f").cast("int").alias("pages_fetched"))
+
+
 def documents(artifacts: DataFrame) -> DataFrame:
     return artifacts.select("domain", "crawled_at_utc", F.explode("documents").alias("d")).select("domain", "crawled_at_utc", "d.*")
 

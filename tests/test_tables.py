@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import re
 
 import numpy as np
 import pytest
@@ -131,6 +132,49 @@ def test_load_is_idempotent_and_never_goes_back(spark):
         assert report.first().held and held.documents.count() == 4
 
 
+def test_an_artifact_in_parts_loads_as_one(spark):
+    empty = loading.Tables(*[spark.createDataFrame([], TABLES[t]) for t in ("prospects", "documents", "chunks", "crawl_runs", "crawl_page_outcomes")])
+    chunk = pipeline.chunker(chunking.word_counter())
+    at = "2026-01-02T00:00:00+00:00", "2026-01-05T00:00:00+00:00"
+    first = [(f"u{i}", "T" * (1 + 300 * (i % 3)), f"text {i}", f"c{i}", f"s{i}") for i in range(9)]
+    second = [(u, t if u != "u3" else "New", x + "!" * (u == "u5"), c + "!" * (u == "u5"), s + "!" * (u == "u5")) for u, t, x, c, s in [*first[2:], ("u9", "T", "nine", "c9", "s9")]]
+    found = []
+    for size in (99, 2):
+        tables = empty
+        for day, docs in zip(at, (first, second)):
+            pieces = [crawl(d, day, docs[i : i + size]) for d in ("a.com", "b.com") for i in range(0, len(docs), size)]
+            refused = [crawl("c.com", day, docs[i : i + size], robots="") for i in range(0, len(docs), size)]
+            tables, report = loading.load(tables, parsed(spark, *pieces, *refused), now(), chunk)
+            report = sorted(map(str, report.collect()))
+            tables = kept(tables, spark)
+        found.append((report, *[sorted(map(str, getattr(tables, t).collect())) for t in ("prospects", "documents", "chunks", "crawl_runs", "crawl_page_outcomes")]))
+    assert found[0] == found[1] and len(found[0][0]) == 3 and "inserted=1, updated=2, unchanged=5" in found[0][0][1] + found[0][0][0]
+    with pytest.raises(Exception, match="comes twice"):  # parts of two crawls, or with two heads
+        loading.load(empty, parsed(spark, crawl("a.com", at[0], first[:1]), crawl("a.com", at[1], first[1:])), now(), chunk)[0].prospects.collect()
+
+
+def test_a_load_moves_texts_twice_only(spark):
+    from corpuslake.queries_made import _artifacts
+
+    docs = spark.createDataFrame([(i, f"d{i % 2}", "word " * i) for i in range(8)], "doc_id long, domain string, text string")
+    made = _artifacts(spark, "", docs)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString().replace("RoundRobin", "")
+    made = made.selectExpr("*", "domain as company_name", "timestamp'2026-01-09' as crawled_at_utc", "'ok' as robots_reason", "'completed' as crawl_outcome").withColumn("signals", F.lit(None).cast(TABLES["prospects"]["signals"].dataType))
+    tables = loading.Tables(**{t: spark.createDataFrame([], TABLES[t]) for t in TABLES})
+    tables, report = loading.load(tables, made, now(), pipeline.chunker(chunking.word_counter()))
+
+    def moved(df):  # sides of joins whose rows have a text
+        nodes, out = [df._jdf.queryExecution().sparkPlan()], 0
+        while nodes:
+            node = nodes.pop()
+            nodes += [node.children().apply(i) for i in range(node.children().size())]
+            if "Join" in node.nodeName() and "Broadcast" not in node.nodeName():
+                out += sum(not {"text", "content", "documents"}.isdisjoint(re.findall(r"(\w+)#", node.children().apply(i).output().mkString(","))) for i in range(2))
+        return out
+
+    assert moved(report) == 0 and moved(tables.documents) == 0 and moved(tables.chunks) == 2
+
+
 def test_refused_artifacts(spark):
     old, bare, good = crawl("o.com", "2025-01-01T00:00:00+00:00", []), crawl("b.com", "2026-01-09T00:00:00+00:00", [], robots=""), crawl("g.com", "2026-01-09T00:00:00+00:00", [])
     bad = {r.domain: r.reason for r in artifact.refused(parsed(spark, old, bare, good), now()).collect()}
