@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: White space as Unicode-aware string splitting has it (fixed value).
 WHITE = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_WHITE_CHARS = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: The reply that declines (fixed value).
 INSUFFICIENT = "Insufficient evidence."
 #: The mark that cites the computed facts (fixed value).
@@ -29,7 +30,8 @@ def _text(c: Column | str) -> Column:
 
 def words(c: Column | str) -> Column:
     """Array of a text's words; empty for null."""
-    return F.filter(F.split(_text(c), WHITE + "+"), lambda w: w != "")
+    spaced = F.translate(_text(c), _WHITE_CHARS, " " * len(_WHITE_CHARS))  # one character is split at without a pattern
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def word_count(c: Column | str) -> Column:

@@ -122,8 +122,14 @@ def write_artifacts(artifacts: DataFrame, path: str) -> None:
     artifacts.select(*[c for c in _KEYS if c in artifacts.columns]).write.mode("errorifexists").json(path)
 
 
-def find_documents(artifacts: DataFrame, needle: str) -> DataFrame:
-    """Documents whose URL contains a text, longest first."""
+def find_documents(artifacts: DataFrame, needle: str, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """Documents whose URL contains a text, longest first, with their words: all columns, or those that are named.
+
+    What is found is stored before it is sorted, as a sort reads its input twice; columns that are not asked for do not get there.
+    """
     from corpuslake.functions.text import word_count
+    from corpuslake.plans.storage import stored
 
-    return documents(artifacts).filter(F.col("url").contains(needle)).orderBy(F.desc(word_count("text")), "url")
+    found = documents(artifacts).filter(F.col("url").contains(needle)).withColumn("words", word_count("text"))
+    found = found if columns is None else found.select(*dict.fromkeys([*columns, "url", "words"]))
+    return stored(found, "found").orderBy(F.desc("words"), "url")

@@ -175,6 +175,13 @@ def test_a_load_moves_texts_twice_only(spark):
     assert moved(report) == 0 and moved(tables.documents) == 0 and moved(tables.chunks) == 2
 
 
+def test_found_documents_are_sorted_without_their_texts(spark, tmp_path):
+    pieces = [crawl("a.com", "2026-01-02T00:00:00+00:00", [(f"x{i}", "T", "one\u3000two \U0001f600" * i, "c", "s")]) for i in range(4)]
+    found = artifact.find_documents(parsed(spark, *pieces), "x", ("domain",))
+    assert [(r.url, r.words) for r in found.collect()] == [("x3", 7), ("x2", 5), ("x1", 3), ("x0", 0)] and "text" not in found.columns
+    assert "text" in artifact.find_documents(parsed(spark, *pieces), "x").columns
+
+
 def test_refused_artifacts(spark):
     old, bare, good = crawl("o.com", "2025-01-01T00:00:00+00:00", []), crawl("b.com", "2026-01-09T00:00:00+00:00", [], robots=""), crawl("g.com", "2026-01-09T00:00:00+00:00", [])
     bad = {r.domain: r.reason for r in artifact.refused(parsed(spark, old, bare, good), now()).collect()}
