@@ -118,8 +118,12 @@ def derivation_note() -> Column:
     )
 
 
+#: Objects of a written file at most. The reader takes a file whole, so a large crawl is many files.
+FILE_OBJECTS = 1024
+
+
 def write_artifacts(artifacts: DataFrame, path: str) -> None:
-    artifacts.select(*[c for c in _KEYS if c in artifacts.columns]).write.mode("errorifexists").json(path)
+    artifacts.select(*[c for c in _KEYS if c in artifacts.columns]).write.mode("errorifexists").option("maxRecordsPerFile", FILE_OBJECTS).json(path)
 
 
 def find_documents(artifacts: DataFrame, needle: str, columns: tuple[str, ...] | None = None) -> DataFrame:

@@ -182,6 +182,16 @@ def test_found_documents_are_sorted_without_their_texts(spark, tmp_path):
     assert "text" in artifact.find_documents(parsed(spark, *pieces), "x").columns
 
 
+def test_a_large_crawl_is_written_as_many_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(artifact, "FILE_OBJECTS", 3, raising=False)
+    made = parsed(spark, *[crawl("a.com", "2026-01-02T00:00:00+00:00", [(f"x{i}", "T", f"t{i}", "c", "s")]) for i in range(8)]).coalesce(1)
+    artifact.write_artifacts(made, f"{tmp_path}/a")
+    assert len(list((tmp_path / "a").glob("*.json"))) == 3
+    back = artifact.read_artifacts(spark, f"{tmp_path}/a")
+    assert sorted(r.url for r in artifact.documents(back).collect()) == [f"x{i}" for i in range(8)]
+    assert artifact.heads(back).collect()[0].n_documents == 8 and artifact.heads(back).count() == 1
+
+
 def test_refused_artifacts(spark):
     old, bare, good = crawl("o.com", "2025-01-01T00:00:00+00:00", []), crawl("b.com", "2026-01-09T00:00:00+00:00", [], robots=""), crawl("g.com", "2026-01-09T00:00:00+00:00", [])
     bad = {r.domain: r.reason for r in artifact.refused(parsed(spark, old, bare, good), now()).collect()}
